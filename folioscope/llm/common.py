@@ -49,6 +49,10 @@ class Scratch:
         self.at[id(back)] = to
         return back
 
+    def again(self, df: DataFrame) -> DataFrame:
+        """The same table as a frame of its own, for joins of a table with itself."""
+        return self.spark.read.schema(df.schema).parquet(self.at[id(df)])
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             self.delete(self.at.pop(id(df)))
