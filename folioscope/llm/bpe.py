@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 A task treats a block of documents as one corpus: the pattern cuts the texts into pieces, and the
-pieces not yet known are laid out one after another as lists of byte symbols. An inverted index from
+pieces not yet known are laid out one after another as symbols. An inverted index from
 merge rank to positions then applies merges in rank order over the whole block; a merge touches only
 its two neighbours, whose new pairs enter the index. Ids come from the ranks; known pieces are
 remembered within a bound, so a piece is replayed once per task and not once per occurrence. Blocks
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Rows, rows_of
+from folioscope.llm.common import Rows, rows_of, text_blocks
 
 
 @dataclass(frozen=True)
@@ -47,67 +47,98 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def replay_merges(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The ids of every piece, all merged together in rank order."""
-    symbols: list[bytes | None] = []
-    following: list[int] = []  # position of the next symbol of the piece, -1 at its end
-    before: list[int] = []
-    starts = []
-    for piece in pieces:
-        start, n = len(symbols), len(piece)
-        starts.append(start)
-        symbols += [piece[i : i + 1] for i in range(n)]
-        following += [*range(start + 1, start + n), -1]
-        before += [-1, *range(start, start + n - 1)]
-    index: dict[int, list[int]] = {}  # rank -> positions whose pair merges at it
-    for at, right in enumerate(following):
-        if right >= 0 and (rank := ranks.get(symbols[at] + symbols[right])) is not None:
-            index.setdefault(rank, []).append(at)
+@dataclass
+class Merges:
+    """Pairs of ids that merge, as left << 17 | right -> rank, and the ranks of byte pairs."""
+
+    ranks: dict[bytes, int]
+
+    def __post_init__(self) -> None:
+        ranks = self.ranks
+        self.pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 17 | right] = rank
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)])
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+
+
+def replay_merges(pieces: list[bytes], merges: Merges) -> list[bytes]:
+    """Every piece's ids as little-endian unsigned 32-bit integers, all merged together in rank order."""
+    if not pieces:
+        return []
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    ends = np.cumsum([len(p) for p in pieces])
+    n = len(text)
+    pair_ranks = np.full(n, -1)
+    pair_ranks[:-1] = merges.byte_pairs[text[:-1], text[1:]]
+    last = np.zeros(n, bool)
+    last[ends - 1] = True
+    pair_ranks[last] = -1
+    following = np.where(last, -1, np.arange(1, n + 1)).tolist()
+    before = np.arange(-1, n - 1)
+    before[np.concatenate([[0], ends[:-1]])] = -1
+    before = before.tolist()
+    # the inverted index: rank -> positions whose pair merges at it
+    order = np.argsort(pair_ranks, kind="stable")
+    order = order[np.searchsorted(pair_ranks[order], 0) :]
+    present, starts = np.unique(pair_ranks[order], return_index=True)
+    index = {rank: part.tolist() for rank, part in zip(present.tolist(), np.split(order, starts[1:]), strict=True)} if len(order) else {}
     queue = list(index)
     heapq.heapify(queue)
+    symbols, pair_ranks, pairs = merges.bytes[text].tolist(), pair_ranks.tolist(), merges.pairs.get
     while queue:
         rank = heapq.heappop(queue)
         if (positions := index.pop(rank, None)) is None:
             continue
         positions.sort()
         for done, at in enumerate(positions):
-            left = symbols[at]
-            right = following[at] if left is not None else -1
-            if right < 0 or ranks.get(merged := left + symbols[right]) != rank:
+            if pair_ranks[at] != rank:
                 continue  # an earlier merge took one of the two
-            symbols[at], symbols[right] = merged, None
+            right = following[at]
             after = following[at] = following[right]
+            symbols[at], symbols[right] = rank, -1
+            pair_ranks[right] = -1
+            lowest = rank + 1
             if after >= 0:
                 before[after] = at
-            lower = False
-            for first, second in ((before[at], at), (at, after)):
-                if first >= 0 and second >= 0 and (new := ranks.get(symbols[first] + symbols[second])) is not None:
+                new = pair_ranks[at] = pairs(rank << 17 | symbols[after], -1)
+                if new >= 0:
+                    lowest = min(lowest, new)
+                    if new in index:
+                        index[new].append(at)
+                    else:
+                        index[new] = [at]
+                        heapq.heappush(queue, new)
+            else:
+                pair_ranks[at] = -1
+            first = before[at]
+            if first >= 0:
+                new = pair_ranks[first] = pairs(symbols[first] << 17 | rank, -1)
+                if new >= 0:
+                    lowest = min(lowest, new)
                     if new in index:
                         index[new].append(first)
                     else:
                         index[new] = [first]
                         heapq.heappush(queue, new)
-                    lower |= new <= rank
-            if lower and done + 1 < len(positions):
-                if rank in index:
-                    index[rank] += positions[done + 1 :]
-                else:
-                    index[rank] = positions[done + 1 :]
-                    heapq.heappush(queue, rank)
+            if lowest <= rank and done + 1 < len(positions):
+                index.setdefault(rank, []).extend(positions[done + 1 :])
+                heapq.heappush(queue, rank)
                 break
-    out = []
-    for start, piece in zip(starts, pieces, strict=True):
-        at, ids = start if piece else -1, []
-        while at >= 0:
-            ids.append(ranks[symbols[at]])
-            at = following[at]
-        out.append(ids)
-    return out
+    found = np.array(symbols)
+    alive = found >= 0
+    to = np.concatenate([[0], np.cumsum(alive)[ends - 1]]) * 4
+    ids = found[alive].astype("<u4").tobytes()
+    return [ids[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
 
 
 class Encoder:
     def __init__(self, params: BpeParams):
         self.ranks = read_ranks(params.rank_file)
+        self.merges = Merges(self.ranks)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.cut = regex.compile(params.pattern).findall
         self.remember = params.remember
@@ -118,9 +149,14 @@ class Encoder:
         cut = [self.cut(t) for t in texts]
         if len(self.known) > self.remember:
             self.known = {}
-        new = {p: None for pieces in cut for p in pieces if p not in self.known}
-        for piece, ids in zip(new, replay_merges([p.encode() for p in new], self.ranks), strict=True):
-            self.known[piece] = np.array(ids, "<u4").tobytes()
+        new = []
+        for piece in {p for pieces in cut for p in pieces if p not in self.known}:
+            body = piece.encode()
+            if body in self.ranks:  # a piece that is a token whole stays one
+                self.known[piece] = np.array([self.ranks[body]], "<u4").tobytes()
+            else:
+                new.append((piece, body))
+        self.known.update(zip([p for p, _ in new], replay_merges([b for _, b in new], self.merges), strict=True))
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, ids: bytes) -> bytes:
@@ -128,15 +164,8 @@ class Encoder:
 
 
 def encoded_blocks(batches: Iterator[pa.RecordBatch], encoder: Encoder, block_chars: int) -> Iterator[tuple[int, bytes]]:
-    ids, texts, size = [], [], 0
-    for doc_id, text in rows_of(batches, "doc_id", "text", at_once=200):
-        ids.append(doc_id)
-        texts.append(text or "")
-        size += len(text or "")
-        if size >= block_chars:
-            yield from zip(ids, encoder.encode_block(texts), strict=True)
-            ids, texts, size = [], [], 0
-    yield from zip(ids, encoder.encode_block(texts), strict=True)
+    for block in text_blocks(batches, block_chars):
+        yield from zip((i for i, _ in block), encoder.encode_block([t for _, t in block]), strict=True)
 
 
 def encode(docs: DataFrame, params: BpeParams) -> DataFrame:

@@ -82,6 +82,19 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 1000)
             yield from zip(*(c.slice(start, at_once).to_pylist() for c in columns), strict=True)
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[list[tuple[int, str]]]:
+    """(doc_id, text) rows, a null text as empty, in lists of about ``chars`` characters."""
+    block, size = [], 0
+    for doc_id, text in rows_of(batches, "doc_id", "text", at_once=200):
+        block.append((doc_id, text or ""))
+        size += len(text or "")
+        if size >= chars:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 class Rows:
     """Gathers output rows and hands out record batches of bounded size."""
 

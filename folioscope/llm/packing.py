@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Scratch, rows_of, shuffle_partitions
+from folioscope.llm.common import Scratch, shuffle_partitions, text_blocks
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,8 @@ class PackingParams:
     tokenizer: str  # path of a tokenizers file
     capacity: int = 2048
     end_id: int = 0
-    cache_words: int = 300_000  # encoded words that a task remembers
+    cache_words: int = 500_000  # encoded words that a task remembers
+    block_chars: int = 4 << 20  # characters of the documents encoded together
 
 
 class CapacityTree:
@@ -106,11 +108,16 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 class WordEncoder:
-    """Encodes white-space separated words through the tokenizer and remembers their ids.
+    """Ids of whole texts by the tokenizer, which sees every distinct word once.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are its words' ids.
+    The tokenizer drops white space and no token spans it, so a text's ids are its words' ids. Words
+    of plain Latin letters are cut further by the tokenizer's own pattern after lower-casing; new
+    pieces are then encoded many at a time. Other words go to the tokenizer as they are.
     """
 
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed: that of the tokenizer file
+    PLAIN = r"[\x21-\x7e\xa1-\xff]+"  # here lower-casing is by character and NFC changes nothing
+
     def __init__(self, path: str, remember: int):
         import os
 
@@ -119,22 +126,36 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.cut, self.plain = regex.compile(self.PATTERN).findall, regex.compile(self.PLAIN).fullmatch
         self.remember = remember
         self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = text.split(" ") if not any(c in text for c in "\n\t\r") else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
+        self.pieces: dict[str, bytes] = {}
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        for start in range(0, len(pieces), 20_000):
+            part = pieces[start : start + 20_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, words = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+            at = np.searchsorted(words, np.arange(len(part) + 1))
+            if len(words) == 0 or words[-1] != len(part) - 1:
+                raise ValueError("the tokenizer cuts words otherwise than its pattern")
+            at, ids = (at * 4).tolist(), ids.tobytes()
+            self.pieces.update((p, ids[a:b]) for p, a, b in zip(part, at, at[1:], strict=False))
+
+    def encode_block(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > self.remember:
-            self.known = {}
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            self.known, self.pieces = {}, {}
+        new = {w for words in cut for w in words if w not in self.known}
+        plain = {w: self.cut(w.lower()) for w in new if self.plain(w)}
+        self.learn_pieces(list({p for pieces in plain.values() for p in pieces if p not in self.pieces}))
+        for word, pieces in plain.items():
+            self.known[word] = b"".join(map(self.pieces.__getitem__, pieces))
+        other = [w for w in new if w not in plain]
+        for word, found in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
             self.known[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -149,16 +170,13 @@ def token_pieces(docs: DataFrame, params: PackingParams) -> DataFrame:
             kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-        rows = []
-        for doc_id, text in rows_of(batches, "doc_id", "text", at_once=200):
-            ids = encoder.encode(text or "") + end
-            for piece, at in enumerate(range(0, len(ids), width)):
-                part = ids[at : at + width]
-                rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            if len(rows) >= 10_000:
-                yield out(rows)
-                rows = []
-        if rows:
+        for block in text_blocks(batches, params.block_chars):
+            rows = []
+            for (doc_id, _), ids in zip(block, encoder.encode_block([t for _, t in block]), strict=True):
+                ids += end
+                for piece, at in enumerate(range(0, len(ids), width)):
+                    part = ids[at : at + width]
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield out(rows)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
