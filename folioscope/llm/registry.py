@@ -12,6 +12,7 @@ from folioscope.llm.bpe import BpeParams, round_trip
 from folioscope.llm.common import Scratch
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.packing import PackingParams, best_fit_packing
+from folioscope.llm.substring_dedup import substring_dedup
 from folioscope.llm.topk_search import topk_search
 from folioscope.llm.warc import read_warc, write_warc
 
@@ -25,6 +26,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), params)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ FROM g
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_substring_dedup": op4_substring_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_topk_search": op7_topk_search,
         "op9_best_fit_packing": op9_best_fit_packing,
