@@ -83,13 +83,16 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
     """(WARC headers, HTTP headers, payload) of every record of one compressed file."""
-    rest = data
-    while rest:
-        member = zlib.decompressobj(31)
-        record = member.decompress(rest)
+    view, at, step = memoryview(data), 0, 64 << 10
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof and at < len(view):
+            fed = view[at : at + step]
+            parts.append(member.decompress(fed))
+            at += len(fed) - len(member.unused_data)
         if not member.eof:
             raise ValueError("a WARC record is cut off")
-        rest = member.unused_data
+        record = b"".join(parts)
         head, _, block = record.partition(LINE * 2)
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
