@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
@@ -37,13 +38,15 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
         self.at: dict[int, str] = {}
+        self.made = 0
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        to = self.path(f"{name}-{len(self.at)}")
+        self.made += 1
+        to = self.path(f"{name}-{self.made}")
         df.write.option("compression", "zstd").parquet(to)
         back = self.spark.read.schema(df.schema).parquet(to)
         self.at[id(back)] = to
@@ -74,6 +77,40 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def per_worker(spark: SparkSession) -> Broadcast:
+    """An empty broadcast dict. Each Python worker keeps its own copy from task to task, so what
+    ``made_once`` puts there (a vocabulary, words already encoded) is made once a worker."""
+    return spark.sparkContext.broadcast({})
+
+
+def made_once(cell: Broadcast, make: Callable[[], object]):
+    held = cell.value
+    if "it" not in held:
+        held["it"] = make()
+    return held["it"]
+
+
+class Remembered:
+    """A bounded cache in two generations: what blocks of rows go on using stays, the rest is dropped."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.now: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Of the distinct keys those that must be made; known ones are in ``now`` afterwards."""
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        now, old, out = self.now, self.old, []
+        for key in {k for k in keys if k not in now}:
+            if (value := old.get(key)) is None:
+                out.append(key)
+            else:
+                now[key] = value
+        return out
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 1000) -> Iterator[tuple]:
     """Rows of the named columns, with a bounded number of Python objects alive."""
     for batch in batches:

@@ -99,7 +99,7 @@ def grow_directory(cells: list[tuple[int, int, int]], bits: int, params: ExactDe
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, code points, bytes of the normalised text, key, digest."""
+    """A row per document: doc_id, text_key (of the unchanged text), code points, bytes, key, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,11 +107,11 @@ def text_keys(docs: DataFrame) -> DataFrame:
             found = [normalised(t) for t in texts.to_pylist()]
             digests = [hashlib.sha256(b).digest() for b in found]
             yield pa.record_batch(
-                [batch.column(0), pc.cast(pc.utf8_length(texts), pa.int64()), pa.array([len(b) for b in found], pa.int64()), pa.array(map(digest_key, digests), pa.int64()), pa.array(digests, pa.binary())],
-                names=["doc_id", "n_points", "n_bytes", "key", "digest"],
+                [batch.column(0), batch.column(2), pc.cast(pc.utf8_length(texts), pa.int64()), pa.array([len(b) for b in found], pa.int64()), pa.array(map(digest_key, digests), pa.int64()), pa.array(digests, pa.binary())],
+                names=["doc_id", "text_key", "n_points", "n_bytes", "key", "digest"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_points long, n_bytes long, key long, digest binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, n_points long, n_bytes long, key long, digest binary")
 
 
 def directory_of(keys: DataFrame, params: ExactDedupParams) -> Directory:
@@ -212,7 +212,7 @@ def build_index(entries: DataFrame, owners: int) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, params: ExactDedupParams = ExactDedupParams()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_key."""
     scratch = Scratch(spark, "exact")
     # row_id numbers repeated rows apart; it is fixed once the table is written
     keys = scratch.keep(text_keys(docs).withColumn("row_id", F.monotonically_increasing_id()), "keys")
@@ -234,4 +234,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, params: ExactDedupParams =
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("group_size").isNull() | F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(False))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_key",
     )
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, params: ExactDedupParams = ExactDedupParams()) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    stays = exact_dedup(spark, docs, params).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    rows = docs.withColumn("__key_here", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(stays["__id"]) & (rows["__key_here"] == stays["__key"])
+    # a row that is repeated whole comes through as often as it stands; one stays
+    return rows.join(stays, same, "left_semi").dropDuplicates(["doc_id", "__key_here"]).drop("__key_here")

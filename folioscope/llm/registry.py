@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,11 @@ from pyspark.sql import functions as F
 from folioscope.llm.bpe import BpeParams, round_trip
 from folioscope.llm.common import Scratch
 from folioscope.llm.exact_dedup import exact_dedup
+from folioscope.llm.html_extract import main_text
+from folioscope.llm.lang_id import identify
+from folioscope.llm.order_minhash import near_classes
 from folioscope.llm.packing import PackingParams, best_fit_packing
+from folioscope.llm.pii import KINDS, pseudonymise
 from folioscope.llm.substring_dedup import substring_dedup
 from folioscope.llm.topk_search import topk_search
 from folioscope.llm.warc import read_warc, write_warc
@@ -21,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = BpeParams(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return round_trip(table(spark, sf_dir, "documents"), params)
@@ -30,8 +43,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", *(F.coalesce(found["pii_counts"][kind], F.lit(0)).alias(f"n_{kind}") for kind in KINDS))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark, table(spark, sf_dir, "documents"))
+    return exact_dedup(spark, table(spark, sf_dir, "documents")).drop("text_key")
 
 
 OP6_SQL = r"""
@@ -53,6 +71,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(spark, table(spark, sf_dir, "documents"), PackingParams(public_tokenizers.path("word_bpe_49k.json")))
 
@@ -76,18 +98,24 @@ FROM g
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_html_extraction": op2_html_extraction,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_pii_pseudonyms": op5_pii_pseudonyms,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_topk_search": op7_topk_search,
+        "op8_order_minhash": op8_order_minhash,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_warc": op10_warc,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "op6_exact_dedup": OP6_SQL,
         "op7_topk_search": OP7_SQL,
         "op10_warc": OP10_SQL,
     }
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
