@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.plans import layout
+
+BOOKS = (layout.BOOK,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return queries()["score_documents"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for book in BOOKS for name, (run, _) in book.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in BOOKS for name, (_, sql) in book.items() if sql}
