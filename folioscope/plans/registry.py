@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import layout
+from folioscope.plans import layout, scoring
 
-BOOKS = (layout.BOOK,)
+BOOKS = (layout.BOOK, scoring.BOOK)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

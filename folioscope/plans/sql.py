@@ -56,10 +56,6 @@ offs AS (
 raw AS (SELECT doc_id, string_agg(lead || text, '' ORDER BY run_ord) AS raw_text FROM placed GROUP BY doc_id),
 """
 )
-LEXICON = """
-lex(heading, section) AS (VALUES ('the.', 'summary'), ('and.', 'skills'), ('of.', 'experience'), ('de.', 'education'), ('is.', 'other')),
-tl AS (SELECT doc_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
-"""
 KEYWORDS = """
 toks AS (SELECT posting_id, generate_subscripts(a, 1) AS pos, unnest(a) AS keyword FROM (SELECT item_id AS posting_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+.#-]*'), lambda t: regexp_replace(t, '[.]+$', '')) AS a FROM benchmark)),
 segs AS (SELECT posting_id, generate_subscripts(a, 1) AS seg, unnest(a) AS part FROM (SELECT item_id AS posting_id, regexp_split_to_array(lower(text), '[,;:!?()\\[\\]{}|/\\\\•·\\n]+|\\.(\\s|$)|\\s[-\\x{2013}\\x{2014}]\\s') AS a FROM benchmark)),
