@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Scratch, shuffle_partitions, text_blocks
+from folioscope.llm.common import Remembered, Scratch, made_once, per_worker, shuffle_partitions, text_blocks
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ class PackingParams:
     tokenizer: str  # path of a tokenizers file
     capacity: int = 2048
     end_id: int = 0
-    cache_words: int = 500_000  # encoded words that a task remembers
+    remember: int = 400_000  # encoded words in a generation of a worker's cache
     block_chars: int = 4 << 20  # characters of the documents encoded together
 
 
@@ -127,9 +127,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut, self.plain = regex.compile(self.PATTERN).findall, regex.compile(self.PLAIN).fullmatch
-        self.remember = remember
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Remembered(remember), Remembered(remember)
 
     def learn_pieces(self, pieces: list[str]) -> None:
         for start in range(0, len(pieces), 20_000):
@@ -140,30 +138,32 @@ class WordEncoder:
             if len(words) == 0 or words[-1] != len(part) - 1:
                 raise ValueError("the tokenizer cuts words otherwise than its pattern")
             at, ids = (at * 4).tolist(), ids.tobytes()
-            self.pieces.update((p, ids[a:b]) for p, a, b in zip(part, at, at[1:], strict=False))
+            self.pieces.now.update((p, ids[a:b]) for p, a, b in zip(part, at, at[1:], strict=False))
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.remember:
-            self.known, self.pieces = {}, {}
-        new = {w for words in cut for w in words if w not in self.known}
+        new = self.known.missing(w for words in cut for w in words)
+        known = self.known.now
         plain = {w: self.cut(w.lower()) for w in new if self.plain(w)}
-        self.learn_pieces(list({p for pieces in plain.values() for p in pieces if p not in self.pieces}))
+        self.learn_pieces(self.pieces.missing(p for pieces in plain.values() for p in pieces))
+        piece = self.pieces.now.__getitem__
         for word, pieces in plain.items():
-            self.known[word] = b"".join(map(self.pieces.__getitem__, pieces))
+            known[word] = piece(pieces[0]) if len(pieces) == 1 else b"".join(map(piece, pieces))
         other = [w for w in new if w not in plain]
         for word, found in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+            known[word] = np.array(found.ids, "<u4").tobytes()
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, params: PackingParams) -> DataFrame:
+    cell = per_worker(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width = WordEncoder(params.tokenizer, params.cache_words), 4 * params.capacity
+        encoder, width = made_once(cell, lambda: WordEncoder(params.tokenizer, params.remember)), 4 * params.capacity
         end = np.array([params.end_id], "<u4").tobytes()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
