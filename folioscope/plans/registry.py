@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import layout, scoring
+from folioscope.plans import layout, reports, scoring, usage
 
-BOOKS = (layout.BOOK, scoring.BOOK)
+BOOKS = (layout.BOOK, scoring.BOOK, reports.BOOK, usage.BOOK)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
