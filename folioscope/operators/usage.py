@@ -45,36 +45,50 @@ def client_ip(forwarded, real):
 HEX = "0123456789abcdef"
 
 
+def let(value, body):
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ipv6_groups(ip):
     """Eight numbers of an IPv6 text (a dotted tail allowed), null where it is none."""
-    dotted = F.regexp_extract(ip, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
-    octets = F.transform(F.split(dotted, r"\."), lambda o: o.try_cast("int"))
-    tail = F.concat_ws(":", F.lower(F.hex(octets[0] * 256 + octets[1])), F.lower(F.hex(octets[2] * 256 + octets[3])))
-    good_tail = (F.size(octets) == 4) & F.forall(octets, lambda o: o.isNotNull() & (o <= 255))
-    text = F.when(dotted == "", ip).when(good_tail, F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(dotted)), tail))
-    halves = F.split(text, "::")
-    split = lambda x: F.filter(F.split(x, ":"), lambda g: F.lit(True))
-    left = F.when(halves[0] == "", F.array().cast("array<string>")).otherwise(split(halves[0]))
-    right = F.when((F.size(halves) < 2) | (F.get(halves, F.lit(1)) == ""), F.array().cast("array<string>")).otherwise(split(F.get(halves, F.lit(1))))
-    missing = 8 - F.size(left) - F.size(right)
-    groups = F.concat(left, F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))).otherwise(F.array().cast("array<string>")), right)
-    fits = ip.contains(":") & (F.size(halves) <= 2) & F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0) & F.forall(groups, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
-    return F.when(fits, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+    none = F.array().cast("array<string>")
+    parts = lambda x: F.when(x == "", none).otherwise(F.split(x, ":"))
+
+    def without_tail(ip):
+        dotted = F.regexp_extract(ip, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
+        octets = F.transform(F.split(dotted, r"\."), lambda o: o.try_cast("int"))
+        word = lambda o, i: F.lower(F.hex(o[i] * 256 + o[i + 1]))
+        tail = let(octets, lambda o: F.when((F.size(o) == 4) & F.forall(o, lambda x: x.isNotNull() & (x <= 255)), F.concat_ws(":", word(o, 0), word(o, 2))))
+        return F.when(dotted == "", ip).otherwise(F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(dotted)), tail))
+
+    def filled(halves):
+        left, right = parts(halves[0]), parts(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+        missing = 8 - F.size(left) - F.size(right)
+        fits = (F.size(halves) <= 2) & F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0)
+        return F.when(fits, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right))
+
+    groups = let(without_tail(ip), lambda text: let(F.split(text, "::"), filled))
+    numbers = let(groups, lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9a-fA-F]{1,4}$")), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int"))))
+    return F.when(ip.contains(":"), numbers)
+
+
+def plain_address(address):
+    """Without brackets, port and zone."""
+    ip = F.regexp_replace(F.lower(trimmed(address)), r"^\[([^\]]+)\](?::\d+)?$", "$1")
+    return F.regexp_replace(F.regexp_replace(ip, "%.*$", ""), r"^(\d{1,3}(?:\.\d{1,3}){3}):\d+$", "$1")
 
 
 def client_network(address):
     """The identity that is counted: an IPv4 address, an IPv6 /64, or the text as it is."""
-    ip = F.lower(trimmed(address))
-    inner = F.regexp_extract(ip, r"^\[([^\]]+)\](?::\d+)?$", 1)
-    ip = F.regexp_replace(F.when(inner != "", inner).otherwise(ip), "%.*$", "")
-    plain = F.regexp_extract(ip, r"^(\d{1,3}(?:\.\d{1,3}){3}):\d+$", 1)
-    ip = F.when(plain != "", plain).otherwise(ip)
-    g = ipv6_groups(ip)
-    mapped = F.forall(F.slice(g, 1, 5), lambda x: x == 0) & (F.element_at(g, 6) == 65535)
-    byte = lambda at, high: (F.floor(F.element_at(g, at) / 256) if high else F.element_at(g, at) % 256).cast("int").cast("string")
-    v4 = F.concat_ws(".", byte(7, True), byte(7, False), byte(8, True), byte(8, False))
-    v6 = F.concat(F.array_join(F.transform(F.slice(g, 1, 4), lambda x: F.lower(F.hex(x))), ":"), F.lit("::/64"))
-    return F.when(g.isNull(), ip).when(mapped, v4).otherwise(v6)
+
+    def counted(groups, ip):
+        byte = lambda at, high: (F.floor(groups[at] / 256) if high else groups[at] % 256).cast("int").cast("string")
+        mapped = F.forall(F.slice(groups, 1, 5), lambda x: x == 0) & (groups[5] == 65535)
+        v6 = F.concat(F.array_join(F.transform(F.slice(groups, 1, 4), lambda x: F.lower(F.hex(x))), ":"), F.lit("::/64"))
+        return F.when(groups.isNull(), ip).when(mapped, F.concat_ws(".", byte(6, True), byte(6, False), byte(7, True), byte(7, False))).otherwise(v6)
+
+    return let(plain_address(address), lambda ip: let(ipv6_groups(ip), lambda g: counted(g, ip)))
 
 
 def hmac_sha256(message, secret: str):
