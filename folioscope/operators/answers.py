@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from folioscope.functions.text import clean_prose, clip, escape_data_tags, to_score, trimmed
 from folioscope.params import CHECK_WEIGHTS, AnswerLimits
@@ -55,7 +56,7 @@ def objects_in(raw: str) -> list[str]:
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def top_level_objects(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for raw in batches:
         yield raw.map(lambda r: objects_in(r or ""))

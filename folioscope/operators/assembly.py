@@ -13,14 +13,22 @@ from folioscope.functions.text import collapse_ws, neutralize_markers, trimmed
 from folioscope.operators.hidden import joined
 from folioscope.params import WS, Layout
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("run_ord")
-SO_FAR = BY_DOC.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BY_DOC.rowsBetween(Window.unboundedPreceding, -1)
+
+def by_doc():
+    return Window.partitionBy("doc_id").orderBy("run_ord")
+
+
+def so_far():
+    return by_doc().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before():
+    return by_doc().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def run_separator(runs: DataFrame, params: Layout = Layout()) -> DataFrame:
     """Adds ``sep``: what stands between a run and the one before it."""
-    lag = lambda c: F.lag(c).over(BY_DOC)
+    lag = lambda c: F.lag(c).over(by_doc())
     em = F.greatest(lag("font_size"), F.col("font_size"), F.lit(1.0))
     gap = F.col("x") - (lag("x") + lag("width"))
     newline = (lag("page_number") != F.col("page_number")) | (F.abs(F.col("y") - lag("y")) > em * params.line_shift)
@@ -39,10 +47,10 @@ def ends_blank(x):
 
 def assemble_raw(runs: DataFrame) -> DataFrame:
     """Runs with ``piece`` (separator and text) and their [text_start, text_end) in the raw text."""
-    left = F.last(F.when(F.col("text") != "", F.col("text")), ignorenulls=True).over(BEFORE)
+    left = F.last(F.when(F.col("text") != "", F.col("text")), ignorenulls=True).over(before())
     pieces = runs.withColumn("lead", joint(ends_blank(left), F.col("sep"), F.col("text")))
     size = F.length("lead") + F.length("text")
-    end = F.sum(size).over(SO_FAR)
+    end = F.sum(size).over(so_far())
     return pieces.withColumn("text_end", end.cast("int")).withColumn("text_start", (F.col("text_end") - F.length("text")).cast("int"))
 
 
@@ -54,12 +62,12 @@ def assemble_sanitized(runs: DataFrame) -> DataFrame:
     """(doc_id, sanitized_text): hidden text in [IGNORED] blocks, brackets of the text itself turned round."""
     has_text = trimmed(F.col("text")) != ""
     # a run without text keeps the state of the runs before it
-    state = F.coalesce(F.last(F.when(has_text, F.col("hidden")), ignorenulls=True).over(SO_FAR), F.lit(False))
+    state = F.coalesce(F.last(F.when(has_text, F.col("hidden")), ignorenulls=True).over(so_far()), F.lit(False))
     held = runs.withColumn("safe", neutralize_markers(F.col("text"))).withColumn("inside", state)
-    was = F.coalesce(F.lag("inside").over(BY_DOC), F.lit(False))
+    was = F.coalesce(F.lag("inside").over(by_doc()), F.lit(False))
     opens, closes = F.col("inside") & ~was, ~F.col("inside") & was
     # what the text before ends with: a mark, or the last run with characters
-    left = F.last(F.when(F.col("safe") != "", F.col("safe")), ignorenulls=True).over(BEFORE)
+    left = F.last(F.when(F.col("safe") != "", F.col("safe")), ignorenulls=True).over(before())
     blank_left = F.when(closes, F.lit(False)).otherwise(ends_blank(left))
     shown = F.when(opens, F.concat(F.lit("[IGNORED]"), F.col("safe"))).otherwise(F.col("safe"))
     piece = F.concat(F.when(closes, "[/IGNORED]").otherwise(""), joint(blank_left, F.col("sep"), shown), shown)
@@ -72,10 +80,10 @@ def assemble_visible(runs: DataFrame) -> DataFrame:
     """(doc_id, visible_text): hidden runs left out, with the strongest separator since the last visible one."""
     strength = F.when(F.col("sep") == "\n", 2).when(F.col("sep") == " ", 1).otherwise(0)
     shown = F.sum((~F.col("hidden")).cast("int"))
-    grouped = runs.withColumn("strength", strength).withColumn("since", F.coalesce(shown.over(BEFORE), F.lit(0)))
+    grouped = runs.withColumn("strength", strength).withColumn("since", F.coalesce(shown.over(before()), F.lit(0)))
     in_group = Window.partitionBy("doc_id", "since").orderBy("run_ord").rowsBetween(Window.unboundedPreceding, 0)
     seen = grouped.withColumn("pending", F.max("strength").over(in_group)).where("not hidden")
-    left = F.last(F.when(F.col("text") != "", F.col("text")), ignorenulls=True).over(BEFORE)
+    left = F.last(F.when(F.col("text") != "", F.col("text")), ignorenulls=True).over(before())
     sep = F.when(F.col("pending") == 2, "\n").when(F.col("pending") == 1, " ").otherwise("")
     pieces = seen.withColumn("piece", F.concat(F.when(left.isNull(), "").otherwise(joint(ends_blank(left), sep, F.col("text"))), F.col("text")))
     visible = pieces.groupBy("doc_id").agg(joined(F.col("piece"), "").alias("visible_text"))
