@@ -9,8 +9,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
+    from pyspark import cloudpickle
     from pyspark.sql import SparkSession
 
+    import folioscope
+
+    cloudpickle.register_pickle_by_value(folioscope)  # workers need no path to the package
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
