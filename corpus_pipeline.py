@@ -41,7 +41,9 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str, params: PiiParams = P
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing(spark, docs, PackingParams(public_tokenizers.path("word_bpe_49k.json")))
+    # smaller caches than by default, as executors come here with the memory of four stages behind them
+    params = PackingParams(public_tokenizers.path("word_bpe_49k.json"), remember=250_000, remember_pieces=125_000, block_chars=2 << 20)
+    return best_fit_packing(spark, docs, params)
 
 
 STAGES = [

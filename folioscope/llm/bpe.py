@@ -4,7 +4,7 @@ A task treats a block of documents as one corpus: the pattern cuts the texts int
 pieces not yet known are laid out one after another as symbols. An inverted index from
 merge rank to positions then applies merges in rank order over the whole block; a merge touches only
 its two neighbours, whose new pairs enter the index. Ids come from the ranks; known pieces are
-remembered within a bound, so a piece is replayed once per task and not once per occurrence. Blocks
+remembered by the worker within a bound, so a piece is not replayed once per occurrence. Blocks
 need nothing from each other, so the job is one pass without a shuffle and loses nothing when
 executors do.
 
@@ -24,6 +24,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Rows, rows_of, text_blocks
+from folioscope.llm.common import Remembered, Rows, made_once, per_worker, rows_of, text_blocks
 
 
 @dataclass(frozen=True)
 class BpeParams:
     rank_file: str
     pattern: str
-    block_chars: int = 4 << 20  # characters of a block of documents
-    remember: int = 400_000  # pieces a task remembers
+    block_chars: int = 2 << 20  # characters of a block of documents
+    remember: int = 250_000  # pieces in a generation of a worker's cache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -141,23 +142,20 @@ class Encoder:
         self.merges = Merges(self.ranks)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.cut = regex.compile(params.pattern).findall
-        self.remember = params.remember
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(params.remember)
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, per text."""
         cut = [self.cut(t) for t in texts]
-        if len(self.known) > self.remember:
-            self.known = {}
-        new = []
-        for piece in {p for pieces in cut for p in pieces if p not in self.known}:
+        known, new = self.known, []
+        for piece in known.missing(chain.from_iterable(cut)):
             body = piece.encode()
             if body in self.ranks:  # a piece that is a token whole stays one
-                self.known[piece] = np.array([self.ranks[body]], "<u4").tobytes()
+                known.now[piece] = np.array([self.ranks[body]], "<u4").tobytes()
             else:
                 new.append((piece, body))
-        self.known.update(zip([p for p, _ in new], replay_merges([b for _, b in new], self.merges), strict=True))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        known.now.update(zip([p for p, _ in new], replay_merges([b for _, b in new], self.merges), strict=True))
+        return [b"".join(map(known.now.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -171,10 +169,11 @@ def encoded_blocks(batches: Iterator[pa.RecordBatch], encoder: Encoder, block_ch
 def encode(docs: DataFrame, params: BpeParams) -> DataFrame:
     """doc_id and the ids of its whole text, as array<int>."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    cell = per_worker(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Rows(schema)
-        for doc_id, ids in encoded_blocks(batches, Encoder(params), params.block_chars):
+        for doc_id, ids in encoded_blocks(batches, made_once(cell, lambda: Encoder(params)), params.block_chars):
             if full := gathered.add((doc_id, np.frombuffer(ids, "<i4")), len(ids) + 16):
                 yield full
         if last := gathered.flush():
@@ -203,9 +202,10 @@ def decode(encoded: DataFrame, params: BpeParams) -> DataFrame:
 def round_trip(docs: DataFrame, params: BpeParams) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: encodes, then decodes the ids, in one pass."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    cell = per_worker(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, gathered = Encoder(params), Rows(schema, 1 << 20)
+        encoder, gathered = made_once(cell, lambda: Encoder(params)), Rows(schema, 1 << 20)
         for doc_id, ids in encoded_blocks(batches, encoder, params.block_chars):
             if full := gathered.add((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()), 200):
                 yield full

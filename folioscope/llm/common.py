@@ -103,7 +103,7 @@ class Remembered:
         if len(self.now) > self.limit:
             self.now, self.old = {}, self.now
         now, old, out = self.now, self.old, []
-        for key in {k for k in keys if k not in now}:
+        for key in set(keys).difference(now):
             if (value := old.get(key)) is None:
                 out.append(key)
             else:

@@ -37,18 +37,19 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LangIdParams:
-    per_language: int = 1200  # bound of the sample, in rows of each language
+    per_language: int = 1000  # bound of the sample, in rows of each language; Spark limits groups of up to 1000 early
     cells: int = 1 << 16
     width: int = 16
     longest: int = 4  # characters of the longest subword
     epochs: int = 5
+    least_steps: int = 600  # a small sample is gone over more often
     batch: int = 64
     rate: float = 4.0
     calibration: float = 0.2  # share of the sample that sets temperature and threshold
     most_rejected: float = 0.001  # share of correctly labelled segments that the threshold may lose
     highest_threshold: float = 0.4
     seed: int = 7
-    remember: int = 500_000  # words a worker remembers
+    remember: int = 300_000  # words a worker remembers
 
 
 def subwords(word: str, params: LangIdParams) -> list[int]:
@@ -134,11 +135,11 @@ def train(sample: list[tuple[str, str]], params: LangIdParams) -> Model:
         mean = np.add.reduceat(embed[flat], np.concatenate([[0], sizes.cumsum()[:-1]])) / sizes[:, None]
         return mean, mean @ weights + bias, flat, sizes
 
-    steps, step = params.epochs * -(-len(learn) // params.batch), 0
-    for _ in range(params.epochs if k else 0):
-        for rows in np.array_split(rng.permutation(learn), max(1, -(-len(learn) // params.batch))):
-            if not len(rows):
-                continue
+    batches = -(-len(learn) // params.batch)
+    epochs = max(params.epochs, -(-params.least_steps // batches)) if batches else 0
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
+        for rows in np.array_split(rng.permutation(learn), batches):
             rate = params.rate * (1 - step / steps)
             step += 1
             mean, logits, flat, sizes = forward(rows)

@@ -48,8 +48,8 @@ class OrderMinHashParams:
     sketches: int = 40
     similarity: float = 0.8
     seed: int = 20
-    remember: int = 800_000  # word hashes a worker remembers
-    block_words: int = 300_000  # words hashed at a time
+    remember: int = 400_000  # word hashes a worker remembers
+    block_words: int = 200_000  # words hashed at a time
     tile: int = 64  # documents of a block; two blocks meet in a tile
 
 
@@ -76,7 +76,7 @@ def order_sketches(hashes: np.ndarray, params: OrderMinHashParams) -> np.ndarray
     labelled = mixed(kmers + occurrences(kmers) * STEP)
     n, kept = len(kmers), min(params.kept, len(kmers))
     out = np.empty(params.sketches, np.uint64)
-    at_once = max(1, (1 << 22) // n)
+    at_once = max(1, (1 << 20) // n)
     for start in range(0, params.sketches, at_once):
         part = slice(start, start + at_once)
         values = (labelled[None, :] ^ masks[part, None]) * odd[part, None]
@@ -247,6 +247,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
     sketched = scratch.keep(sketched.select("band", "sketch", "doc_id"), "sketches")
     scratch.drop(keys)
     buckets = sketched.groupBy("band", "sketch").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
+    buckets = scratch.keep(buckets, "buckets")  # a table of its own, so Spark can split a hot bucket
     members = scratch.keep(sketched.join(buckets, ["band", "sketch"]), "members")
     scratch.drop(sketched)
     pairs = scratch.keep(members.where("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
@@ -275,8 +276,8 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
         links = scratch.keep(links.unionByName(more), "links")
         labels = components(links, scratch)
     labels = scratch.keep(labels, "labels")
-    scratch.drop(members, texts, placed, pairs)
-    sizes = labels.groupBy("component").agg(F.count("*").alias("class_size"))
+    scratch.drop(members, texts, placed, pairs, buckets)
+    sizes = scratch.keep(labels.groupBy("component").agg(F.count("*").alias("class_size")), "sizes")
     named = labels.join(sizes, "component").withColumnRenamed("id", "doc_id")
     return docs.select(F.col("doc_id").cast("long")).join(named, "doc_id", "left").select(
         "doc_id",

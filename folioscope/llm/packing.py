@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ class PackingParams:
     capacity: int = 2048
     end_id: int = 0
     remember: int = 400_000  # encoded words in a generation of a worker's cache
+    remember_pieces: int = 400_000
     block_chars: int = 4 << 20  # characters of the documents encoded together
 
 
@@ -118,7 +120,7 @@ class WordEncoder:
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed: that of the tokenizer file
     PLAIN = r"[\x21-\x7e\xa1-\xff]+"  # here lower-casing is by character and NFC changes nothing
 
-    def __init__(self, path: str, remember: int):
+    def __init__(self, path: str, remember: int, remember_pieces: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,7 +129,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut, self.plain = regex.compile(self.PATTERN).findall, regex.compile(self.PLAIN).fullmatch
-        self.known, self.pieces = Remembered(remember), Remembered(remember)
+        self.known, self.pieces = Remembered(remember), Remembered(remember_pieces or remember)
 
     def learn_pieces(self, pieces: list[str]) -> None:
         for start in range(0, len(pieces), 20_000):
@@ -140,13 +142,19 @@ class WordEncoder:
             at, ids = (at * 4).tolist(), ids.tobytes()
             self.pieces.now.update((p, ids[a:b]) for p, a, b in zip(part, at, at[1:], strict=False))
 
+    def words(self, text: str) -> list[str]:
+        """White-space separated words; the four separators that only Python calls white space stay in them."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return text.split()
+
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = self.known.missing(w for words in cut for w in words)
+        cut = [self.words(t) for t in texts]
+        new = self.known.missing(chain.from_iterable(cut))
         known = self.known.now
         plain = {w: self.cut(w.lower()) for w in new if self.plain(w)}
-        self.learn_pieces(self.pieces.missing(p for pieces in plain.values() for p in pieces))
+        self.learn_pieces(self.pieces.missing(chain.from_iterable(plain.values())))
         piece = self.pieces.now.__getitem__
         for word, pieces in plain.items():
             known[word] = piece(pieces[0]) if len(pieces) == 1 else b"".join(map(piece, pieces))
@@ -163,7 +171,7 @@ def token_pieces(docs: DataFrame, params: PackingParams) -> DataFrame:
     cell = per_worker(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width = made_once(cell, lambda: WordEncoder(params.tokenizer, params.remember)), 4 * params.capacity
+        encoder, width = made_once(cell, lambda: WordEncoder(params.tokenizer, params.remember, params.remember_pieces)), 4 * params.capacity
         end = np.array([params.end_id], "<u4").tobytes()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
