@@ -39,8 +39,8 @@ from folioscope.llm.common import Remembered, Rows, made_once, per_worker, rows_
 class BpeParams:
     rank_file: str
     pattern: str
-    block_chars: int = 2 << 20  # characters of a block of documents
-    remember: int = 250_000  # pieces in a generation of a worker's cache
+    block_chars: int = 4 << 20  # characters of a block of documents
+    remember: int = 400_000  # pieces in a generation of a worker's cache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
