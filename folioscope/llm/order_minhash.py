@@ -5,14 +5,17 @@ labelled with its occurrence number in the text. A sketch takes the 4 k-mers tha
 its hash and keeps them in text order, so it agrees when content and order agree, as edit similarity
 asks. Documents that share one of 40 sketches are candidates. A pair is linked when the word edit
 distance, by a bit-parallel alignment inside the band that 0.8 allows, is at most 0.2 of the longer
-text. Of pairs with 0.8 of their k-mers in common a sketch meets about 0.41, so one pair in 10^9 is
-missed; at 0.63 (one word in twenty changed) one in 1000.
+text. One word in five changed leaves few runs of 5 words, so 32 loose sketches of 2 k-mers of 2 words
+stand beside: they carry the recall down to the link threshold. Texts of up to 14 words with few edits
+are found without chance: two of them are within e edits only if leaving out at most e words of each
+gives one sequence, and every such sequence is a key.
 
 Copies (equal word sequences) are one class before anything else. In a bucket every text is compared
 with the bucket's least document only, so a group of n near copies costs n - 1 alignments; the star
 of links is closed to components. Where a bucket still holds several components, its documents meet
 in tiles of bounded size, which skip pairs that are already together: so no link between different
-texts is lost and no group's pairs are ever emitted.
+texts is lost and no group's pairs are ever emitted. Texts are read only for documents whose bags of
+words, counted in 256 cells, leave a link possible: two texts share no more words than their cells do.
 
 Skew: buckets are grouped with partial aggregation, and the joins back to their members and texts
 are sort-merge joins of which Spark splits the skewed side.
@@ -28,6 +31,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +51,17 @@ class OrderMinHashParams:
     k: int = 5
     kept: int = 4  # k-mers in a sketch
     sketches: int = 40
+    loose_k: int = 2
+    loose_kept: int = 2
+    loose_sketches: int = 32
+    short_words: int = 14  # texts up to this length also meet by what a few words left out leave
+    most_left_out: int = 128  # such sequences of a text; a text with more has none
     similarity: float = 0.8
     seed: int = 20
     remember: int = 400_000  # word hashes a worker remembers
     block_words: int = 200_000  # words hashed at a time
     tile: int = 64  # documents of a block; two blocks meet in a tile
+    bag_tile: int = 512  # the same where only bags of words are compared
 
 
 def words_of(text: str | None) -> list[str]:
@@ -67,20 +78,30 @@ def occurrences(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_sketches(hashes: np.ndarray, params: OrderMinHashParams) -> np.ndarray:
-    """The sketches of one text, from its word hashes (at least one)."""
-    rng = np.random.default_rng(params.seed)
-    masks = rng.integers(0, 2**63, params.sketches, np.uint64)
-    odd = rng.integers(0, 2**63, params.sketches, np.uint64) * np.uint64(2) + np.uint64(1)
-    kmers = grams(hashes, min(params.k, len(hashes)))
+def least_places(values: np.ndarray, kept: int) -> np.ndarray:
+    """The places of the least ``kept`` values of each row, in order of place; overwrites ``values``."""
+    rows = np.arange(len(values))
+    out = np.empty((len(values), kept), np.int64)
+    for n in range(kept):
+        out[:, n] = values.argmin(axis=1)
+        values[rows, out[:, n]] = np.uint64(2**64 - 1)
+    return np.sort(out, axis=1)
+
+
+def sketches_of(hashes: np.ndarray, k: int, most: int, count: int, seed: int) -> np.ndarray:
+    """``count`` sketches of ``most`` k-mers each."""
+    rng = np.random.default_rng(seed)
+    masks = rng.integers(0, 2**63, count, np.uint64)
+    odd = rng.integers(0, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+    kmers = grams(hashes, min(k, len(hashes)))
     labelled = mixed(kmers + occurrences(kmers) * STEP)
-    n, kept = len(kmers), min(params.kept, len(kmers))
-    out = np.empty(params.sketches, np.uint64)
+    n, kept = len(kmers), min(most, len(kmers))
+    out = np.empty(count, np.uint64)
     at_once = max(1, (1 << 20) // n)
-    for start in range(0, params.sketches, at_once):
+    for start in range(0, count, at_once):
         part = slice(start, start + at_once)
         values = (labelled[None, :] ^ masks[part, None]) * odd[part, None]
-        at = np.sort(np.argpartition(values, kept - 1, axis=1)[:, :kept], axis=1) if kept < n else np.broadcast_to(np.arange(n), values.shape)
+        at = least_places(values, kept) if kept < n else np.broadcast_to(np.arange(n), values.shape)
         sketch = np.zeros(len(values), np.uint64)
         for column in kmers[at].T:
             sketch = sketch * STEP + column
@@ -88,7 +109,55 @@ def order_sketches(hashes: np.ndarray, params: OrderMinHashParams) -> np.ndarray
     return out
 
 
-KEYS = "doc_id long, c1 long, c2 long, n_words int, sketches array<long>"
+def order_sketches(hashes: np.ndarray, params: OrderMinHashParams) -> np.ndarray:
+    """The sketches of one text, from its word hashes (at least one)."""
+    return sketches_of(hashes, params.k, params.kept, params.sketches, params.seed)
+
+
+def left_out(hashes: np.ndarray, params: OrderMinHashParams) -> np.ndarray:
+    """Keys of the sequences that a short text leaves when up to its allowed edits of words are left out."""
+    n = len(hashes)
+    edits = allowed_edits(n, n, params.similarity)
+    if n > params.short_words or sum(comb(n, e) for e in range(edits + 1)) > params.most_left_out:
+        return np.empty(0, np.uint64)
+    found = []
+    for size in range(max(1, n - edits), n + 1):
+        rows = hashes[np.array(list(combinations(range(n), size)))]
+        key = np.full(len(rows), size, np.uint64)
+        for column in rows.T:
+            key = key * STEP + column
+        found.append(mixed(key))
+    return np.unique(np.concatenate(found))
+
+
+def text_sketches(hashes: np.ndarray, params: OrderMinHashParams) -> np.ndarray:
+    """Those of 5 words, the loose ones, and, from place sketches + loose_sketches on, what short texts leave."""
+    loose = sketches_of(hashes, params.loose_k, params.loose_kept, params.loose_sketches, params.seed + 1)
+    return np.concatenate([order_sketches(hashes, params), loose, left_out(hashes, params)])
+
+
+CELLS = 256
+
+
+def bag_of(hashes: np.ndarray) -> bytes:
+    """How many words fall in each cell; empty where a byte does not hold a count."""
+    counts = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_be_alike(n: int, bag: np.ndarray, others: np.ndarray, bags: np.ndarray, similarity: float) -> np.ndarray:
+    """Which texts could be linked with one of n words; a bag of zeros says nothing."""
+    longer = np.maximum(others, n)
+    limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    shared = np.minimum(bags, bag).sum(axis=1, dtype=np.int64)
+    return (longer - np.minimum(others, n) <= limit) & ((shared >= longer - limit) | ~bags.any(axis=1) | ~bag.any())
+
+
+def bag_rows(bags: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(b or bytes(CELLS) for b in bags), np.uint8).reshape(-1, CELLS)
+
+
+KEYS = "doc_id long, c1 long, c2 long, n_words int, bag binary, sketches array<long>"
 
 
 def text_keys(docs: DataFrame, params: OrderMinHashParams) -> DataFrame:
@@ -106,9 +175,9 @@ def text_keys(docs: DataFrame, params: OrderMinHashParams) -> DataFrame:
                 mine = hashes[:, a:b]
                 powers = np.cumprod(np.full(b - a, STEP))
                 c1, c2 = (int(mixed((h * powers).sum(keepdims=True) + np.uint64(b - a)).view(np.int64)[0]) for h in mine)
-                rows.append((doc_id, c1, c2, b - a, order_sketches(mine[0], params).view(np.int64)))
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "c1", "c2", "n_words", "sketches"])
+                rows.append((doc_id, c1, c2, b - a, bag_of(mine[0]), text_sketches(mine[0], params).view(np.int64)))
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "c1", "c2", "n_words", "bag", "sketches"])
 
         ids, words, starts = [], [], [0]
         for doc_id, text in rows_of(batches, "doc_id", "text", at_once=200):
@@ -202,8 +271,8 @@ def verified(pairs: DataFrame, params: OrderMinHashParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, last, words = Rows(LINKS, 1 << 20), None, []
         for a, b, text_a, text_b in rows_of(batches, "a", "b", "text_a", "text_b", at_once=50):
-            if b != last:
-                last, words = b, words_of(text_b)
+            if (b, text_b) != last:
+                last, words = (b, text_b), words_of(text_b)
             if alike(words_of(text_a), words, params.similarity) and (full := gathered.add((a, b), 16)):
                 yield full
         if rest := gathered.flush():
@@ -212,6 +281,47 @@ def verified(pairs: DataFrame, params: OrderMinHashParams) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def promising_pairs(pairs: DataFrame, bags: DataFrame, again: DataFrame, params: OrderMinHashParams) -> DataFrame:
+    """The pairs whose lengths and bags of words leave a link possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            bag_a, bag_b = (batch.column(c).to_pylist() for c in ("bag_a", "bag_b"))
+            may = [bool(may_be_alike(int(n), x[0], m, x[1:], params.similarity)[0]) for n, x, m in ((n_a[i], bag_rows([bag_a[i], bag_b[i]]), n_b[i : i + 1]) for i in range(len(n_a)))]
+            yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+    left, right = (t.select(F.col("doc_id").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bag").alias(f"bag_{c}")) for t, c in ((bags, "a"), (again, "b")))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct()
+
+
+def promising_in_tile(table: pa.Table, params: OrderMinHashParams) -> pa.Table:
+    """The documents of one tile that could be linked with one of another component."""
+    n, component, block, ids = (table.column(c).to_numpy() for c in ("n_words", "component", "block", "doc_id"))
+    bags = bag_rows(table.column("bag").to_pylist())
+    found = np.zeros(len(n), bool)
+    one_block = block.min() == block.max()
+    for i in range(len(n)):
+        others = component != component[i]
+        if not one_block:
+            others &= block != block[i]
+        at = np.flatnonzero(others)
+        found[i] = len(at) > 0 and may_be_alike(int(n[i]), bags[i], n[at], bags[at], params.similarity).any()
+    keys = {c: pa.array(table.column(c).to_numpy()[found]) for c in ("band", "sketch")}
+    return pa.table(keys | {"doc_id": pa.array(ids[found]), "component": pa.array(component[found])})
+
+
+def in_blocks(members: DataFrame, buckets: DataFrame, tile: int) -> DataFrame:
+    """Members of buckets (band, sketch, n) with their block and the number of blocks of their bucket."""
+    blocks = buckets.select("band", "sketch", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
+    return members.join(blocks, ["band", "sketch"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("band", "sketch", "doc_id", "component", "block", "blocks")
+
+
+def in_tiles(placed: DataFrame) -> DataFrame:
+    """Every document goes to the tiles of its block with each block of its bucket."""
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+
 def linked_in_tile(table: pa.Table, params: OrderMinHashParams) -> pa.Table:
     """Links between the components of one tile, as many as join all that belong together."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "component", "block", "text")), strict=True), key=lambda r: r[0])
@@ -241,9 +351,11 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     keys = scratch.keep(text_keys(plain, params), "keys")
     copies = keys.groupBy("c1", "c2", "n_words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    same = scratch.keep(keys.drop("sketches").join(copies.where("n > 1"), ["c1", "c2", "n_words"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
+    same = scratch.keep(keys.select("doc_id", "c1", "c2", "n_words").join(copies.where("n > 1"), ["c1", "c2", "n_words"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
     # each sketch of each distinct text; a group of copies becomes one row of partial aggregation
-    sketched = keys.select("c1", "c2", "n_words", "doc_id", F.posexplode("sketches").alias("band", "sketch")).groupBy("band", "sketch", "c1", "c2", "n_words").agg(F.min("doc_id").alias("doc_id"))
+    bags = scratch.keep(keys.select("doc_id", "n_words", "bag"), "bags")
+    band = F.least("band", F.lit(params.sketches + params.loose_sketches)).alias("band")
+    sketched = keys.select("c1", "c2", "n_words", "doc_id", F.posexplode("sketches").alias("band", "sketch")).select("c1", "c2", "n_words", "doc_id", band, "sketch").groupBy("band", "sketch", "c1", "c2", "n_words").agg(F.min("doc_id").alias("doc_id"))
     sketched = scratch.keep(sketched.select("band", "sketch", "doc_id"), "sketches")
     scratch.drop(keys)
     buckets = sketched.groupBy("band", "sketch").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1")
@@ -251,6 +363,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
     members = scratch.keep(sketched.join(buckets, ["band", "sketch"]), "members")
     scratch.drop(sketched)
     pairs = scratch.keep(members.where("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
+    pairs = scratch.keep(promising_pairs(pairs, bags, scratch.again(bags), params), "promising")
     involved = members.select("doc_id").distinct()
     texts = scratch.keep(plain.join(involved, "doc_id"), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -266,17 +379,19 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
         .where("low < high")
         .groupBy("n", "h1", "h2")
         .agg(F.min(F.struct("band", "sketch")).alias("bucket"))
-        .select("bucket.band", "bucket.sketch", F.ceil(F.col("n") / params.tile).cast("int").alias("blocks"))
+        .select("bucket.band", "bucket.sketch", "n")
     )
-    placed = scratch.keep(labelled.join(apart, ["band", "sketch"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("band", "sketch", "doc_id", "component", "block", "blocks"), "apart")
-    if not placed.isEmpty():
-        # every document goes to the tiles of its block with each block of its bucket
-        tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    placed = scratch.keep(in_blocks(labelled, apart, params.bag_tile), "apart")
+    kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in ("band", "sketch", "doc_id", "component"))
+    open_ = in_tiles(placed).join(scratch.again(bags), "doc_id").groupBy("band", "sketch", "low", "high").applyInArrow(lambda t: promising_in_tile(t, params), kinds).distinct()
+    open_ = scratch.keep(open_, "open")
+    if not open_.isEmpty():
+        tiles = in_tiles(in_blocks(open_, scratch.again(open_).groupBy("band", "sketch").agg(F.count("*").alias("n")), params.tile))
         more = tiles.join(scratch.again(texts), "doc_id").groupBy("band", "sketch", "low", "high").applyInArrow(lambda t: linked_in_tile(t, params), "a long, b long")
         links = scratch.keep(links.unionByName(more), "links")
         labels = components(links, scratch)
     labels = scratch.keep(labels, "labels")
-    scratch.drop(members, texts, placed, pairs, buckets)
+    scratch.drop(members, texts, placed, open_, pairs, bags, buckets)
     sizes = scratch.keep(labels.groupBy("component").agg(F.count("*").alias("class_size")), "sizes")
     named = labels.join(sizes, "component").withColumnRenamed("id", "doc_id")
     return docs.select(F.col("doc_id").cast("long")).join(named, "doc_id", "left").select(

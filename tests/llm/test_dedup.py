@@ -129,3 +129,35 @@ def test_near_copies_and_clean_documents(spark):
 def test_alike_is_the_edit_share():
     a = words_of("one two three four five six seven eight nine ten")
     assert alike(a, a[:8], 0.8) and not alike(a, a[:7], 0.8) and alike(a, ["x", *a[1:9], "y"], 0.8)
+
+
+def test_links_down_to_the_threshold_are_found(spark):
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
+    rows, pairs = [], []
+
+    def copy_of(base, at):
+        changed = [word() if i in at else w for i, w in enumerate(base)]
+        pairs.append((len(rows), len(rows) + 1))
+        rows.extend([(len(rows), " ".join(base)), (len(rows) + 1, " ".join(changed))])
+
+    for share in (0.05, 0.1, 0.15, 0.2):  # scattered and evenly spaced edits
+        for n in (20, 60, 300):
+            edits = int(share * n)
+            for _ in range(6):
+                copy_of([word() for _ in range(n)], set(random.sample(range(n), edits)))
+                copy_of([word() for _ in range(n)], {i * n // edits + 2 for i in range(edits)})
+    low = len(pairs)
+    for n in range(5, 15):  # short texts, every single edit and pairs of edits
+        for i in range(n):
+            copy_of([word() for _ in range(n)], {i})
+            if n >= 10:
+                copy_of([word() for _ in range(n)], {i, (i + n // 2) % n})
+    rows += [(5000, "red green blue white"), (5001, "red green grey blue white"), (5002, "one two three four"), (5003, "one two three five")]
+    pairs += [(5000, 5001)]
+    words = {d: t.split() for d, t in rows}
+    assert all(alike(words[a], words[b], 0.8) for a, b in pairs)
+    classes = {r.doc_id: r.class_id for r in near_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [classes[a] == classes[b] == a for a, b in pairs]
+    assert sum(found[:low]) >= 0.97 * low and all(found[low:])
+    assert classes[5003] == 5003 and len(set(classes.values())) >= len(rows) - len(pairs)
