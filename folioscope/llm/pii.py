@@ -9,8 +9,8 @@ digits, dates are real dates, US social security numbers and IPv4 addresses keep
 | kind | found | permuted |
 | --- | --- | --- |
 | email | local@domain | letters (kept in case) and digits before the @ |
-| phone | +cc ..., (ddd) ddd-dddd, ddd-ddd-dddd | digits after the country code |
-| card | 13 to 19 digits, plain or in fours, right Luhn digit | all but the last, which is set anew |
+| phone | +cc ..., (ddd) ddd-dddd, ddd-ddd-dddd, 1-ddd-ddd-dddd | digits after the country code |
+| card | 13 to 19 digits, plain, in fours or 4-6-5, right Luhn digit | all but the last, which is set anew |
 | iban | country, right check digits | digits and letters of the account, check digits anew |
 | ssn | ddd-dd-dddd in the ranges in use | within those ranges |
 | ipv4 | four numbers up to 255 | all 32 bits |
@@ -34,16 +34,31 @@ from pyspark.sql import functions as F
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
 
+#: Characters of an IBAN by country, so that one in groups of four ends where it should, whatever word follows.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def spaced_iban(length: int, countries: str) -> str:
+    rest = f" [A-Z0-9]{{{length % 4}}}" if length % 4 else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{length // 4 - 1}}}{rest}"
+
+
+SPACED_IBANS = "|".join(spaced_iban(n, c) for n, c in IBAN_LENGTHS.items())
+
 #: In the order in which they are tried at a position.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9A-F]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{32,128}(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
-    "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z/-])",
+    "iban": rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{SPACED_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?))(?![0-9A-Za-z])",
+    "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}(?=T[0-9])|(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z/-]))",
     "ipv4": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,5}){2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,5}){2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])(?:1[.-])?[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9A-Za-z-])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7})(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
 PII = "|".join(PATTERNS.values())
@@ -182,7 +197,7 @@ def with_iban_digits(x: Column, params: PiiParams) -> Column:
 
 
 def permuted_phone(x: Column, params: PiiParams) -> Column:
-    code = F.regexp_extract(x, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9]{2})", 1)
+    code = F.regexp_extract(x, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9]{2}|1[.-])", 1)
     rest = F.substring(x, F.length(code) + 1, F.length(x))
     return F.concat(code, permuted_class(rest, "0-9", DIGITS, "phone", params))
 

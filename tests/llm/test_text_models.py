@@ -114,3 +114,28 @@ def test_pipeline_stages(spark, tmp_path):
     again = corpus_pipeline.packing(spark, at, str(tmp_path))
     key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
     assert key(out) == key(again)
+
+
+@pytest.mark.parametrize(
+    ("before", "value", "after", "kind"),
+    [
+        ("IBAN ", "AT61 1904 3002 3457 3201", " BIC OPSKATWW", "iban"),
+        ("", "ES91 2100 0418 4502 0005 1332", " EUR 20", "iban"),
+        ("", "BE68 5390 0754 7034", " 2024 x", "iban"),
+        ("pay ", "DE89 3704 0044 0532 0130 00", " EUR", "iban"),
+        ("card ", "3782 822463 10005", ".", "card"),
+        ("card ", "3782-822463-10005", " ok", "card"),
+        ("call 1-", "415-555-2671", " now", "phone"),
+        ("at ", "2024-02-29", "T10:20:30Z", "date"),
+    ],
+)
+def test_numbers_beside_other_words_are_found(spark, before, value, after, kind):
+    row = pseudonymise(spark.createDataFrame([(1, before + value + after)], "doc_id long, text string")).first()
+    assert row.pii_counts == {kind: 1} and row.text.startswith(before) and row.text.endswith(after)
+    new = row.text[len(before) : len(row.text) - len(after)]
+    assert new != value and len(new) == len(value) and [c.isalnum() for c in new] == [c.isalnum() for c in value]
+    if kind == "iban":
+        plain = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    if kind == "card":
+        assert luhn("".join(filter(str.isdigit, new)))
