@@ -102,3 +102,14 @@ def test_packing_places_every_token_once(spark):
         assert at <= 64
     assert {r.doc_id for r in out} == {n for n, _ in rows}
     assert best_fit_packing(spark, docs.limit(0), PackingParams(WORDS)).count() == 0
+
+
+def test_added_tokens_are_the_librarys(spark):
+    import zlib
+
+    library = Tokenizer.from_file(WORDS)  # untouched
+    rows = [(n, t) for n, t in enumerate([*ODD, "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>", "<|endoftext"])]
+    ids = {n: [*library.encode(t, add_special_tokens=False).ids, 0] for n, t in rows}
+    assert 49407 in ids[len(ODD)]
+    out = best_fit_packing(spark, spark.createDataFrame(rows, "doc_id long, text string"), PackingParams(WORDS)).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in out} == {n: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for n, x in ids.items()}
