@@ -31,3 +31,13 @@ def test_query_equals_its_oracle(spark, name):
     got = entry.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, rows.fetchall()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_every_check_row_is_rendered(spark):
+    import __spark_entry__ as entry
+    from folioscope.plans.scoring import checks
+
+    want = {(r.doc_id, r.check_id): f"{r.check_id} hat {r.score} Punkte ({r.score})" for r in checks(spark, SF).collect()}
+    assert any(doc_id % 2 for doc_id, _ in want)
+    assert {(r.doc_id, r.check_id): r.rendered for r in entry.queries()["render_text"](spark, SF).collect()} == want
