@@ -102,13 +102,10 @@ class Remembered:
         """Of the distinct keys those that must be made; known ones are in ``now`` afterwards."""
         if len(self.now) > self.limit:
             self.now, self.old = {}, self.now
-        now, old, out = self.now, self.old, []
-        for key in set(keys).difference(now):
-            if (value := old.get(key)) is None:
-                out.append(key)
-            else:
-                now[key] = value
-        return out
+        new = set(keys).difference(self.now)
+        back = new & self.old.keys()
+        self.now.update(zip(back, map(self.old.__getitem__, back), strict=True))
+        return list(new - back)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 1000) -> Iterator[tuple]:

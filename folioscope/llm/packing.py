@@ -114,23 +114,21 @@ class WordEncoder:
 
     The tokenizer drops white space and no token spans it, so a text's ids are its words' ids. Words
     of plain Latin letters are cut further by the tokenizer's own pattern after lower-casing; new
-    pieces are then encoded many at a time. Other words go to the tokenizer as they are. With
-    ``added_tokens`` a text that quotes one of the tokenizer's added tokens goes to it whole, as these
-    may stand inside words; without, they are text like any other.
+    pieces are then encoded many at a time. Other words go to the tokenizer as they are, and so does,
+    whole, a text that quotes one of the tokenizer's added tokens, as these may stand inside words.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed: that of the tokenizer file
     PLAIN = r"[\x21-\x7e\xa1-\xff]+"  # here lower-casing is by character and NFC changes nothing
 
-    def __init__(self, path: str, remember: int, remember_pieces: int | None = None, added_tokens: bool = False):
+    def __init__(self, path: str, remember: int, remember_pieces: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut, self.plain = regex.compile(self.PATTERN).findall, regex.compile(self.PLAIN).fullmatch
         self.known, self.pieces = Remembered(remember), Remembered(remember_pieces or remember)
 
@@ -153,25 +151,39 @@ class WordEncoder:
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        whole = {n: self.encode_whole(t) for n, t in enumerate(texts) if any(a in t for a in self.added)}
+        whole = {n: self.encoded(t) for n, t in enumerate(texts) if any(a in t for a in self.added)}
         cut = [[] if n in whole else self.words(t) for n, t in enumerate(texts)]
         new = self.known.missing(chain.from_iterable(cut))
         known = self.known.now
-        plain = {w: self.cut(w.lower()) for w in new if self.plain(w)}
-        self.learn_pieces(self.pieces.missing(chain.from_iterable(plain.values())))
+        one, more, other = self.in_pieces(new)
+        self.learn_pieces(self.pieces.missing(chain(one.values(), chain.from_iterable(more.values()))))
         piece = self.pieces.now.__getitem__
-        for word, pieces in plain.items():
-            known[word] = piece(pieces[0]) if len(pieces) == 1 else b"".join(map(piece, pieces))
-        other = [w for w in new if w not in plain]
-        for word, found in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        known.update(zip(one, map(piece, one.values()), strict=True))
+        for word, pieces in more.items():
+            known[word] = piece(pieces[0]) + piece(pieces[1]) if len(pieces) == 2 else b"".join(map(piece, pieces))
+        for word in other:
+            known[word] = self.encoded(word)
         return [whole[n] if n in whole else b"".join(map(known.__getitem__, words)) for n, words in enumerate(cut)]
 
-    def encode_whole(self, text: str) -> bytes:
-        self.tokenizer.encode_special_tokens = False
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.tokenizer.encode_special_tokens = True
-        return np.array(ids, "<u4").tobytes()
+    def in_pieces(self, words: list[str]) -> tuple[dict[str, str], dict[str, tuple[str, ...]], list[str]]:
+        """Plain words that are one piece, those of several pieces, and the words that are not plain.
+
+        A run of letters, and one before a mark, need no pattern.
+        """
+        one, more, other = {}, {}, []
+        for word in words:
+            if not (word.isascii() and word.isprintable()) and not self.plain(word):
+                other.append(word)
+            elif word.isalpha():
+                one[word] = word.lower()
+            elif word[-1:] in ".,;:!?" and (head := word[:-1]).isalpha():
+                more[word] = head.lower(), word[-1]
+            else:
+                more[word] = self.cut(word.lower())
+        return one, more, other
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -181,7 +193,7 @@ def token_pieces(docs: DataFrame, params: PackingParams) -> DataFrame:
     cell = per_worker(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width = made_once(cell, lambda: WordEncoder(params.tokenizer, params.remember, params.remember_pieces, added_tokens=True)), 4 * params.capacity
+        encoder, width = made_once(cell, lambda: WordEncoder(params.tokenizer, params.remember, params.remember_pieces)), 4 * params.capacity
         end = np.array([params.end_id], "<u4").tobytes()
 
         def out(rows: list[tuple]) -> pa.RecordBatch:

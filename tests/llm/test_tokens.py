@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioscope.llm.bpe import BpeParams, Encoder, decode, encode, read_ranks, round_trip
@@ -39,7 +41,10 @@ def test_bpe_is_the_librarys(encoder, library, text):
 
 def test_bpe_query_rows(spark, library):
     rows = [(n, t) for n, t in enumerate([*ODD, None, "word " * 5000])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids_sha256 string")
+    twice = round_trip(docs.union(docs).union(docs.select(F.lit(None).cast("long"), "text", "ids_sha256")), PARAMS)
+    assert twice.count() == 3 * len(rows) and twice.distinct().count() == 2 * len(rows) - 1  # no text and an empty one encode alike
+    assert round_trip(docs.limit(0), PARAMS).count() == 0
     got = {r.doc_id: r for r in round_trip(docs, PARAMS).collect()}
     for n, t in rows:
         ids = np.array(library.encode_ordinary(t or ""), "<u4").tobytes()
@@ -51,7 +56,6 @@ def test_bpe_query_rows(spark, library):
 
 def test_words_are_the_librarys():
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     random.seed(2)
     letters = list("abtheing 'sllve\n\t  123éü中文🙂́\x1c\xa0.,!?ΣςİÅ")
     texts = ODD + ["".join(random.choices(letters, k=40)) for _ in range(500)]
@@ -88,8 +92,16 @@ def test_plan_is_best_fit_decreasing(items):
 
 def test_packing_places_every_token_once(spark):
     rows = [(n, t) for n, t in enumerate([*ODD, None, "word " * 700, "other thing " * 30])]
-    docs = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string")
+    rows = [*rows, rows[2], (None, "no id")]  # a repeated row and a null id are packed like others
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, sequence_id long, piece string")
     out = best_fit_packing(spark, docs, PackingParams(WORDS, capacity=64)).collect()
+    library = Tokenizer.from_file(WORDS)
+    want = []
+    for n, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(-1 if n is None else n, i, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes())) for i, a in enumerate(range(0, len(ids), 64))]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.length, r.ids_crc32) for r in out) == sorted(want)
+    assert len({r.sequence_id for r in out}) == sum(one_at_a_time([w[2] for w in want], 64).values())
     full = {}
     for r in out:
         full.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -105,8 +117,6 @@ def test_packing_places_every_token_once(spark):
 
 
 def test_added_tokens_are_the_librarys(spark):
-    import zlib
-
     library = Tokenizer.from_file(WORDS)  # untouched
     rows = [(n, t) for n, t in enumerate([*ODD, "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>", "<|endoftext"])]
     ids = {n: [*library.encode(t, add_special_tokens=False).ids, 0] for n, t in rows}
