@@ -12,10 +12,14 @@ gives one sequence, and every such sequence is a key.
 
 Copies (equal word sequences) are one class before anything else. In a bucket every text is compared
 with the bucket's least document only, so a group of n near copies costs n - 1 alignments; the star
-of links is closed to components. Where a bucket still holds several components, its documents meet
-in tiles of bounded size, which skip pairs that are already together: so no link between different
-texts is lost and no group's pairs are ever emitted. Texts are read only for documents whose bags of
-words, counted in 256 cells, leave a link possible: two texts share no more words than their cells do.
+of links is closed to components. Where a bucket still holds several components, its documents are
+compared by their bags of words, counted in 256 cells: two texts share no more words than their cells
+do. Only pairs of different components that these leave possible are aligned: first every document with
+the one most like it, then, once the components have grown, those that remain. So no link between
+different texts is lost, no group's pairs are emitted, and texts are joined to listed pairs alone.
+
+A bucket over ``tile`` documents, as of a passage that many texts hold, is not compared pair by pair
+but dealt out anew by what its documents do not share: see ``rare_runs``, which loses nothing.
 
 Skew: buckets are grouped with partial aggregation, and the joins back to their members and texts
 are sort-merge joins of which Spark splits the skewed side.
@@ -28,7 +32,6 @@ null doc_id has a null class and stays. Other columns are ignored, whatever thei
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -60,8 +63,7 @@ class OrderMinHashParams:
     seed: int = 20
     remember: int = 400_000  # word hashes a worker remembers
     block_words: int = 200_000  # words hashed at a time
-    tile: int = 64  # documents of a block; two blocks meet in a tile
-    bag_tile: int = 512  # the same where only bags of words are compared
+    tile: int = 512  # documents that are compared, by their bags of words, in one task at once
 
 
 def words_of(text: str | None) -> list[str]:
@@ -253,15 +255,11 @@ def banded_distance(long: list, short: list, limit: int) -> int:
     return distance if distance <= limit else limit + 1
 
 
-def alike(a: list[str], b: list[str], similarity: float, bag_a: Counter | None = None, bag_b: Counter | None = None) -> bool:
+def alike(a: list[str], b: list[str], similarity: float) -> bool:
     if len(a) < len(b):
         a, b = b, a
     limit = allowed_edits(len(a), len(b), similarity)
-    if len(a) - len(b) > limit:
-        return False
-    if bag_a is not None and sum((bag_a & bag_b).values()) < len(a) - limit:
-        return False  # an alignment has no more matches than the bags share
-    return banded_distance(a, b, limit) <= limit
+    return len(a) - len(b) <= limit and banded_distance(a, b, limit) <= limit
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -281,6 +279,12 @@ def verified(pairs: DataFrame, params: OrderMinHashParams) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame, scratch: Scratch, params: OrderMinHashParams) -> DataFrame:
+    """The pairs (a, b) that alignment links; texts are joined to the listed pairs alone."""
+    left, right = (scratch.again(texts).select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return verified(scratch.again(pairs).join(left, "a").join(right, "b"), params)
+
+
 def promising_pairs(pairs: DataFrame, bags: DataFrame, again: DataFrame, params: OrderMinHashParams) -> DataFrame:
     """The pairs whose lengths and bags of words leave a link possible."""
 
@@ -295,54 +299,106 @@ def promising_pairs(pairs: DataFrame, bags: DataFrame, again: DataFrame, params:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def promising_in_tile(table: pa.Table, params: OrderMinHashParams) -> pa.Table:
-    """The documents of one tile that could be linked with one of another component."""
+def pairs_in_tile(table: pa.Table, nearest_only: bool, params: OrderMinHashParams) -> pa.Table:
+    """Pairs of one tile, of different components, whose bags of words leave a link possible.
+
+    ``nearest_only``: of each document only the pair with most words in common.
+    """
     n, component, block, ids = (table.column(c).to_numpy() for c in ("n_words", "component", "block", "doc_id"))
     bags = bag_rows(table.column("bag").to_pylist())
-    found = np.zeros(len(n), bool)
-    one_block = block.min() == block.max()
+    low, high = block.min(), block.max()
+    left, right = [], []
     for i in range(len(n)):
-        others = component != component[i]
-        if not one_block:
-            others &= block != block[i]
-        at = np.flatnonzero(others)
-        found[i] = len(at) > 0 and may_be_alike(int(n[i]), bags[i], n[at], bags[at], params.similarity).any()
-    keys = {c: pa.array(table.column(c).to_numpy()[found]) for c in ("band", "sketch")}
-    return pa.table(keys | {"doc_id": pa.array(ids[found]), "component": pa.array(component[found])})
+        at = np.arange(i) if low == high else np.flatnonzero(block == high) if block[i] == low else np.empty(0, np.int64)
+        at = at[component[at] != component[i]]
+        if len(at) == 0:
+            continue
+        at = at[may_be_alike(int(n[i]), bags[i], n[at], bags[at], params.similarity)]
+        if nearest_only and len(at) > 1:
+            shared = np.minimum(bags[at], bags[i]).sum(axis=1, dtype=np.int64) / np.maximum(n[at], n[i])
+            at = at[[shared.argmax()]]
+        left += [ids[i]] * len(at)
+        right += ids[at].tolist()
+    a, b = np.array(left, np.int64), np.array(right, np.int64)
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
 
-def in_blocks(members: DataFrame, buckets: DataFrame, tile: int) -> DataFrame:
-    """Members of buckets (band, sketch, n) with their block and the number of blocks of their bucket."""
-    blocks = buckets.select("band", "sketch", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
-    return members.join(blocks, ["band", "sketch"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("band", "sketch", "doc_id", "component", "block", "blocks")
+def tile_pairs(nearest_only: bool, params: OrderMinHashParams):
+    return lambda table: pairs_in_tile(table, nearest_only, params)
 
 
-def in_tiles(placed: DataFrame) -> DataFrame:
-    """Every document goes to the tiles of its block with each block of its bucket."""
-    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+def in_tiles(placed: DataFrame, tile: int) -> DataFrame:
+    """Rows of buckets of up to ``tile`` documents are a tile; larger ones are dealt to blocks, of which any two meet."""
+    blocks = F.ceil(F.col("n") / tile).cast("int")
+    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    out = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select("band", "sketch", "low", "high", "block", "doc_id", "component")
 
 
-def linked_in_tile(table: pa.Table, params: OrderMinHashParams) -> pa.Table:
-    """Links between the components of one tile, as many as join all that belong together."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "component", "block", "text")), strict=True), key=lambda r: r[0])
-    words = [words_of(r[3]) for r in rows]
-    bags = [Counter(w) for w in words]
-    root = {r[1]: r[1] for r in rows}
+CELL_BITS = 18
 
-    def of(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    low, high = min(r[2] for r in rows), max(r[2] for r in rows)
-    found = []
-    for i, mine in enumerate(rows):
-        for j in range(i):
-            if (low == high or rows[j][2] != mine[2]) and of(mine[1]) != of(rows[j][1]) and alike(words[i], words[j], params.similarity, bags[i], bags[j]):
-                found.append((mine[0], rows[j][0]))
-                root[of(mine[1])] = of(rows[j][1])
-    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+def two_word_runs(hashes: np.ndarray) -> np.ndarray:
+    """Every two consecutive words, labelled with their occurrence number in the text."""
+    pairs = grams(hashes, 2)
+    return mixed(pairs + occurrences(pairs) * STEP) if len(pairs) else pairs
+
+
+def run_rows(texts: DataFrame, params: OrderMinHashParams, schema: str, made) -> DataFrame:
+    """Rows (a dict of columns) that ``made`` gives for (doc_id, labelled two-word runs) of each text."""
+    cell = per_worker(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = made_once(cell, lambda: WordHashes(params.remember))
+        for doc_id, text in rows_of(batches, "doc_id", "text", at_once=200):
+            hashes = known.of(words_of(text))[0]
+            if len(hashes) > 1 and (rows := made(doc_id, len(hashes), two_word_runs(hashes))):
+                yield pa.record_batch(rows)
+
+    return texts.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def rare_runs(texts: DataFrame, params: OrderMinHashParams) -> DataFrame:
+    """(band, sketch, doc_id): buckets in which any two of ``texts`` that are to be linked meet, without chance.
+
+    An edit touches two of a text's two-word runs at most, so texts of n words within 0.2 n edits share at
+    least 0.6 n - 1 of them. In any order of all runs two such texts then share one among each one's first
+    n - (0.6 n - 1); the order here puts first what few of the texts have, by counts in a table of fixed size,
+    so a passage that all of them hold makes no bucket.
+    """
+    cells = 1 << CELL_BITS
+
+    def counted(doc_id: int, n: int, runs: np.ndarray) -> dict:
+        found, times = np.unique((runs >> np.uint64(64 - CELL_BITS)).astype(np.int64), return_counts=True)
+        return {"cell": pa.array(found.astype(np.int32)), "n": pa.array(times)}
+
+    # at most 2^CELL_BITS rows, whatever the input
+    counts = run_rows(texts, params, "cell int, n long", counted).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(cells, np.int64)
+    held[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(held)
+
+    def first(doc_id: int, n: int, runs: np.ndarray) -> dict:
+        need = max(1, int(np.ceil((2 * params.similarity - 1) * n - 1e-9)) - 1)
+        how_many = sent.value[(runs >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+        chosen = runs[np.lexsort((runs, how_many))[: max(0, len(runs) - need + 1)]]
+        return {"band": pa.array(np.full(len(chosen), -1, np.int32)), "sketch": pa.array(chosen.view(np.int64)), "doc_id": pa.array(np.full(len(chosen), doc_id, np.int64))}
+
+    return run_rows(texts, params, "band int, sketch long, doc_id long", first)
+
+
+def apart(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, sketch, doc_id, component, n) of the buckets that hold several components, equal ones once."""
+    labelled = members.select("band", "sketch", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    buckets = (
+        labelled.groupBy("band", "sketch")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.hash("doc_id").cast("long")).alias("h1"), F.sum(F.hash(F.col("doc_id"), F.lit(1)).cast("long")).alias("h2"))
+        .where("low < high")
+        .groupBy("n", "h1", "h2")
+        .agg(F.min(F.struct("band", "sketch")).alias("bucket"))
+        .select("bucket.band", "bucket.sketch", "n")
+    )
+    return scratch.keep(labelled.join(scratch.keep(buckets, "buckets"), ["band", "sketch"]), "apart")
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParams = OrderMinHashParams()) -> DataFrame:
@@ -366,32 +422,26 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
     pairs = scratch.keep(promising_pairs(pairs, bags, scratch.again(bags), params), "promising")
     involved = members.select("doc_id").distinct()
     texts = scratch.keep(plain.join(involved, "doc_id"), "texts")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = scratch.again(texts).select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    links = scratch.keep(verified(pairs.join(left, "a").join(right, "b"), params).unionByName(same), "links")
+    links = scratch.keep(with_texts(pairs, texts, scratch, params).unionByName(same), "links")
     labels = components(links, scratch)
 
-    # what the stars left apart: buckets with several components, equal ones once
-    labelled = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = (
-        labelled.groupBy("band", "sketch")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.hash("doc_id").cast("long")).alias("h1"), F.sum(F.hash(F.col("doc_id"), F.lit(1)).cast("long")).alias("h2"))
-        .where("low < high")
-        .groupBy("n", "h1", "h2")
-        .agg(F.min(F.struct("band", "sketch")).alias("bucket"))
-        .select("bucket.band", "bucket.sketch", "n")
-    )
-    placed = scratch.keep(in_blocks(labelled, apart, params.bag_tile), "apart")
-    kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in ("band", "sketch", "doc_id", "component"))
-    open_ = in_tiles(placed).join(scratch.again(bags), "doc_id").groupBy("band", "sketch", "low", "high").applyInArrow(lambda t: promising_in_tile(t, params), kinds).distinct()
-    open_ = scratch.keep(open_, "open")
-    if not open_.isEmpty():
-        tiles = in_tiles(in_blocks(open_, scratch.again(open_).groupBy("band", "sketch").agg(F.count("*").alias("n")), params.tile))
-        more = tiles.join(scratch.again(texts), "doc_id").groupBy("band", "sketch", "low", "high").applyInArrow(lambda t: linked_in_tile(t, params), "a long, b long")
-        links = scratch.keep(links.unionByName(more), "links")
-        labels = components(links, scratch)
+    # what the stars left apart: first every document with the one most like it, then all that remain
+    met = apart(members, labels, scratch)
+    hot = scratch.keep(met.where(F.col("n") > params.tile).select("doc_id").distinct(), "hot")
+    if not hot.isEmpty():
+        runs = rare_runs(scratch.again(texts).join(hot, "doc_id"), params)
+        met = scratch.keep(met.where(F.col("n") <= params.tile).select("band", "sketch", "doc_id").unionByName(runs), "met")
+    tried = pairs
+    for nearest_only in (True, False):
+        tiles = in_tiles(apart(met, labels, scratch), params.tile).join(scratch.again(bags), "doc_id")
+        found = tiles.groupBy("band", "sketch", "low", "high").applyInArrow(tile_pairs(nearest_only, params), "a long, b long").distinct()
+        found = scratch.keep(found.join(scratch.again(tried), ["a", "b"], "left_anti"), "found")
+        more = scratch.keep(with_texts(found, texts, scratch, params), "more")
+        if not more.isEmpty():
+            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+        tried = scratch.keep(scratch.again(tried).unionByName(found), "tried") if nearest_only else tried
     labels = scratch.keep(labels, "labels")
-    scratch.drop(members, texts, placed, open_, pairs, bags, buckets)
+    scratch.drop(members, texts, pairs, bags, buckets)
     sizes = scratch.keep(labels.groupBy("component").agg(F.count("*").alias("class_size")), "sizes")
     named = labels.join(sizes, "component").withColumnRenamed("id", "doc_id")
     return docs.select(F.col("doc_id").cast("long")).join(named, "doc_id", "left").select(

@@ -5,7 +5,7 @@ import pytest
 
 from folioscope.llm.components import components
 from folioscope.llm.common import Scratch
-from folioscope.llm.order_minhash import OrderMinHashParams, alike, banded_distance, near_classes, words_of
+from folioscope.llm.order_minhash import OrderMinHashParams, alike, banded_distance, near_classes, rare_runs, words_of
 from folioscope.llm.substring_dedup import FingerprintLog, SubstringParams, substring_dedup
 
 
@@ -161,3 +161,82 @@ def test_links_down_to_the_threshold_are_found(spark):
     found = [classes[a] == classes[b] == a for a, b in pairs]
     assert sum(found[:low]) >= 0.97 * low and all(found[low:])
     assert classes[5003] == 5003 and len(set(classes.values())) >= len(rows) - len(pairs)
+
+
+def links_by_brute_force(rows):
+    """All linked pairs of different texts, every pair aligned."""
+    words = [(d, words_of(t)) for d, t in rows]
+    return [(a, b) for n, (a, x) in enumerate(words) for b, y in words[:n] if x and y and x != y and alike(x, y, 0.8)]
+
+
+def test_links_of_a_table_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
+    for d, t in rows[:100]:  # 5 to 20 % of the words changed
+        words = (t or "").split()
+        for share in (0.05, 0.12, 0.2):
+            at = set(random.sample(range(len(words)), int(share * len(words))))
+            rows.append((10_000 + len(rows), " ".join(word() if i in at else w for i, w in enumerate(words))))
+    links = links_by_brute_force(rows)
+    assert len(links) > 300
+    classes = {r.doc_id: r.class_id for r in near_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(classes[a] == classes[b] for a, b in links) >= 0.99 * len(links)
+    root = {d: d for d, _ in rows}
+    for a, b in [*links, *((a, b) for n, (a, x) in enumerate(rows) for b, y in rows[:n] if words_of(x) and words_of(x) == words_of(y))]:
+        x, y = a, b
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        root[max(x, y)] = min(x, y)
+    for d, c in classes.items():  # no class goes beyond the links
+        x = d
+        while root[x] != x:
+            x = root[x]
+        assert c >= x
+
+
+def test_a_hot_passage_makes_no_pairs_and_hides_no_links(spark):
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
+    passage = " ".join(word() for _ in range(200))
+    rows = [(d, " ".join(word() for _ in range(150)) + " " + passage) for d in range(300)]
+    want = {d: d for d, _ in rows}
+    for d in range(0, 300, 30):  # near copies of some, over the group's common passage
+        words = rows[d][1].split()
+        for i in random.sample(range(len(words)), 40):
+            words[i] = word()
+        rows.append((1000 + d, " ".join(words)))
+        want[1000 + d] = d
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (16, 512):
+        assert {r.doc_id: r.class_id for r in near_classes(spark, docs, OrderMinHashParams(tile=tile)).collect()} == want
+
+
+def test_buckets_of_what_is_not_shared(spark):
+    random.seed(13)
+    word = lambda: random.choice("abcdefghijklmnop")
+    rows = []
+    for n in (3, 5, 8, 15, 40):
+        for _ in range(20):
+            base = [word() for _ in range(n)]
+            for edits in (0, n // 10, n // 5):
+                text = list(base)
+                for _ in range(edits):
+                    text[random.randrange(len(text))] = word()
+                rows.append((len(rows), " ".join(text)))
+    found = {}
+    for r in rare_runs(spark.createDataFrame(rows, "doc_id long, text string"), OrderMinHashParams()).collect():
+        found.setdefault(r.sketch, set()).add(r.doc_id)
+    met = {(a, b) for ids in found.values() for a in ids for b in ids}
+    assert all(link in met for link in links_by_brute_force(rows))
+
+
+def test_near_classes_of_odd_tables(spark):
+    long = "word " * 30_000
+    rows = [(None, "one two three", 1, "x"), (None, "one two three", 1, "x"), (1, long, 2, None), (2, long + "more", 3, "y"), (3, None, None, None), (2, "else", 3, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component long, band string")
+    out = sorted(((r.doc_id or -1, r.class_id or -1, r.kept) for r in near_classes(spark, docs).collect()))
+    assert out == [(-1, -1, True), (-1, -1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True)]
