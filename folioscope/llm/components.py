@@ -35,7 +35,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     now = scratch.keep(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "links")
     mark = None
-    while True:
+    while not now.isEmpty():
         after = scratch.keep(stars(stars(now, True), False), "links")
         scratch.drop(now)
         now = after

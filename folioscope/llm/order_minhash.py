@@ -3,10 +3,11 @@
 Words are lower-cased runs of letters, digits and underscores; a k-mer is 5 consecutive words,
 labelled with its occurrence number in the text. A sketch takes the 4 k-mers that are least under
 its hash and keeps them in text order, so it agrees when content and order agree, as edit similarity
-asks. Documents that share one of 40 sketches are candidates. A pair is linked when the word edit
+asks. Documents meet in the buckets of 40 sketches. A pair is linked when the word edit
 distance, by a bit-parallel alignment inside the band that 0.8 allows, is at most 0.2 of the longer
-text. One word in five changed leaves few runs of 5 words, so 32 loose sketches of 2 k-mers of 2 words
-stand beside: they carry the recall down to the link threshold. Texts of up to 14 words with few edits
+text. One word in five changed leaves few runs of 5 words, so 40 loose sketches of 2 k-mers of 2 words
+stand beside: they carry the recall down to the link threshold. Candidates are the pairs that share two
+of all 80, as texts within the threshold do and long texts of one language seldom. Texts of up to 14 words with few edits
 are found without chance: two of them are within e edits only if leaving out at most e words of each
 gives one sequence, and every such sequence is a key.
 
@@ -32,6 +33,7 @@ null doc_id has a null class and stays. Other columns are ignored, whatever thei
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -56,14 +58,16 @@ class OrderMinHashParams:
     sketches: int = 40
     loose_k: int = 2
     loose_kept: int = 2
-    loose_sketches: int = 32
+    loose_sketches: int = 40
+    agreeing: int = 2  # sketches that the texts of a candidate pair share
     short_words: int = 14  # texts up to this length also meet by what a few words left out leave
     most_left_out: int = 128  # such sequences of a text; a text with more has none
     similarity: float = 0.8
     seed: int = 20
     remember: int = 400_000  # word hashes a worker remembers
     block_words: int = 200_000  # words hashed at a time
-    tile: int = 512  # documents that are compared, by their bags of words, in one task at once
+    tile: int = 2048  # documents whose sketches and bags of words are compared in one task at once
+    block: int = 256  # documents of a block, where texts are aligned; two blocks meet in a task
 
 
 def words_of(text: str | None) -> list[str]:
@@ -141,25 +145,39 @@ def text_sketches(hashes: np.ndarray, params: OrderMinHashParams) -> np.ndarray:
 CELLS = 256
 
 
+def signature_of(sketches: np.ndarray) -> bytes:
+    """Sixteen bits of every sketch but the keys of short texts; equal sketches have equal bits."""
+    return (sketches >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
 def bag_of(hashes: np.ndarray) -> bytes:
     """How many words fall in each cell; empty where a byte does not hold a count."""
     counts = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
-def may_be_alike(n: int, bag: np.ndarray, others: np.ndarray, bags: np.ndarray, similarity: float) -> np.ndarray:
-    """Which texts could be linked with one of n words; a bag of zeros says nothing."""
+def may_be_alike(n: np.ndarray, bags: np.ndarray, others: np.ndarray, their_bags: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts could be linked with those of the other side, and words in common; a bag of zeros says nothing."""
     longer = np.maximum(others, n)
     limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-    shared = np.minimum(bags, bag).sum(axis=1, dtype=np.int64)
-    return (longer - np.minimum(others, n) <= limit) & ((shared >= longer - limit) | ~bags.any(axis=1) | ~bag.any())
+    shared = np.minimum(bags, their_bags).sum(axis=1, dtype=np.int64)
+    return (longer - np.minimum(others, n) <= limit) & ((shared >= longer - limit) | ~bags.any(axis=1) | ~their_bags.any(axis=1)), shared
+
+
+def agree(signatures: np.ndarray, others: np.ndarray, n: np.ndarray, lengths: np.ndarray, params: OrderMinHashParams) -> np.ndarray:
+    """Which texts share ``agreeing`` sketches with those of the other side; short texts met by a key without chance."""
+    return ((others == signatures).sum(axis=1) >= params.agreeing) | ((lengths <= params.short_words) & (n <= params.short_words))
+
+
+def signature_rows(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint16).reshape(len(signatures), -1)
 
 
 def bag_rows(bags: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(b or bytes(CELLS) for b in bags), np.uint8).reshape(-1, CELLS)
 
 
-KEYS = "doc_id long, c1 long, c2 long, n_words int, bag binary, sketches array<long>"
+KEYS = "doc_id long, c1 long, c2 long, n_words int, bag binary, signature binary, sketches array<long>"
 
 
 def text_keys(docs: DataFrame, params: OrderMinHashParams) -> DataFrame:
@@ -177,9 +195,10 @@ def text_keys(docs: DataFrame, params: OrderMinHashParams) -> DataFrame:
                 mine = hashes[:, a:b]
                 powers = np.cumprod(np.full(b - a, STEP))
                 c1, c2 = (int(mixed((h * powers).sum(keepdims=True) + np.uint64(b - a)).view(np.int64)[0]) for h in mine)
-                rows.append((doc_id, c1, c2, b - a, bag_of(mine[0]), text_sketches(mine[0], params).view(np.int64)))
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "c1", "c2", "n_words", "bag", "sketches"])
+                sketches = text_sketches(mine[0], params)
+                rows.append((doc_id, c1, c2, b - a, bag_of(mine[0]), signature_of(sketches[: params.sketches + params.loose_sketches]), sketches.view(np.int64)))
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "c1", "c2", "n_words", "bag", "signature", "sketches"])
 
         ids, words, starts = [], [], [0]
         for doc_id, text in rows_of(batches, "doc_id", "text", at_once=200):
@@ -286,53 +305,126 @@ def with_texts(pairs: DataFrame, texts: DataFrame, scratch: Scratch, params: Ord
 
 
 def promising_pairs(pairs: DataFrame, bags: DataFrame, again: DataFrame, params: OrderMinHashParams) -> DataFrame:
-    """The pairs whose lengths and bags of words leave a link possible."""
+    """The pairs whose sketches, lengths and bags of words leave a link possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            bag_a, bag_b = (batch.column(c).to_pylist() for c in ("bag_a", "bag_b"))
-            may = [bool(may_be_alike(int(n), x[0], m, x[1:], params.similarity)[0]) for n, x, m in ((n_a[i], bag_rows([bag_a[i], bag_b[i]]), n_b[i : i + 1]) for i in range(len(n_a)))]
-            yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+            (bag_a, bag_b), (sign_a, sign_b) = ((read(batch.column(f"{c}_{end}").to_pylist()) for end in "ab") for c, read in (("bag", bag_rows), ("signature", signature_rows)))
+            may = agree(sign_a, sign_b, n_a, n_b, params) & may_be_alike(n_a, bag_a, n_b, bag_b, params.similarity)[0]
+            yield batch.select(["a", "b"]).filter(pa.array(may))
 
-    left, right = (t.select(F.col("doc_id").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bag").alias(f"bag_{c}")) for t, c in ((bags, "a"), (again, "b")))
+    left, right = (t.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{y}_{c}") for x, y in (("n_words", "n"), ("bag", "bag"), ("signature", "signature")))) for t, c in ((bags, "a"), (again, "b")))
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def pairs_in_tile(table: pa.Table, nearest_only: bool, params: OrderMinHashParams) -> pa.Table:
-    """Pairs of one tile, of different components, whose bags of words leave a link possible.
+def likely_pairs(rows: pa.Table, numbers: np.ndarray, params: OrderMinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of equal (sorted) numbers and different components that sketches and bags leave likely, and words in common."""
+    n, component, block = (rows.column(c).to_numpy() for c in ("n_words", "component", "block"))
+    bags, signatures = bag_rows(rows.column("bag").to_pylist()), signature_rows(rows.column("signature").to_pylist())
+    across = rows.column("low").to_numpy() != rows.column("high").to_numpy()  # two blocks: only pairs between them
+    found = [[], [], []]
+    step, i = 0, np.arange(len(n))
+    while True:
+        step += 1
+        i = i[i + step < len(n)]
+        i = i[numbers[i + step] == numbers[i]]
+        if len(i) == 0:
+            break
+        x = i[(component[i] != component[i + step]) & (~across[i] | (block[i] != block[i + step]))]
+        x = x[agree(signatures[x], signatures[x + step], n[x], n[x + step], params)]
+        y = x + step
+        may, shared = may_be_alike(n[x], bags[x], n[y], bags[y], params.similarity)
+        for to, what in zip(found, (x[may], y[may], shared[may]), strict=True):
+            to.append(what)
+    return tuple(np.concatenate(what) if what else np.empty(0, np.int64) for what in found)
+
+
+def open_documents(rows: pa.Table, numbers: np.ndarray, params: OrderMinHashParams) -> Iterator[pa.RecordBatch]:
+    """(doc_id, nearest) of the likely pair with most words in common of each document, and (doc_id, star) that
+    ties the documents with a likely pair to the first of them in their bucket."""
+    ids = rows.column("doc_id").to_numpy()
+    x, y, shared = likely_pairs(rows, numbers, params)
+    if len(x) == 0:
+        return
+    x, y, shared = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([shared, shared])
+    order = np.lexsort((ids[y], -shared, ids[x]))
+    best = order[np.concatenate([[True], np.diff(ids[x[order]]) != 0])]
+    yield pa.record_batch([pa.array(ids[x[best]]), pa.array(ids[y[best]]), pa.nulls(len(best), pa.int64())], names=["doc_id", "nearest", "star"])
+    at = np.unique(x)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(numbers[at]) != 0]))
+    star = np.repeat(ids[at[starts]], np.diff(np.append(starts, len(at))))
+    yield pa.record_batch([pa.array(ids[at]), pa.nulls(len(at), pa.int64()), pa.array(star)], names=["doc_id", "nearest", "star"])
+
+
+def linked_in_tile(rows: pa.Table, numbers: np.ndarray, params: OrderMinHashParams) -> Iterator[pa.RecordBatch]:
+    """Links of whole tiles, as many as join the components that belong together; the likeliest pairs come first."""
+    ids, component = rows.column("doc_id").to_numpy(), rows.column("component").to_numpy()
+    x, y, shared = likely_pairs(rows, numbers, params)
+    words = [words_of(t) for t in rows.column("text").to_pylist()]
+    bags = [Counter(w) for w in words]
+    root: dict[int, int] = {}
+
+    def of(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            c = up
+        return c
+
+    found = []
+    for i in np.argsort(-shared, kind="stable"):
+        a, b = int(x[i]), int(y[i])
+        p, q = of(int(component[a])), of(int(component[b]))
+        if p != q and share_enough(bags[a], bags[b], max(len(words[a]), len(words[b])), params) and alike(words[a], words[b], params.similarity):
+            found.append((int(ids[a]), int(ids[b])))
+            root[max(p, q)] = min(p, q)
+    if found:
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    ``nearest_only``: of each document only the pair with most words in common.
-    """
-    n, component, block, ids = (table.column(c).to_numpy() for c in ("n_words", "component", "block", "doc_id"))
-    bags = bag_rows(table.column("bag").to_pylist())
-    low, high = block.min(), block.max()
-    left, right = [], []
-    for i in range(len(n)):
-        at = np.arange(i) if low == high else np.flatnonzero(block == high) if block[i] == low else np.empty(0, np.int64)
-        at = at[component[at] != component[i]]
-        if len(at) == 0:
-            continue
-        at = at[may_be_alike(int(n[i]), bags[i], n[at], bags[at], params.similarity)]
-        if nearest_only and len(at) > 1:
-            shared = np.minimum(bags[at], bags[i]).sum(axis=1, dtype=np.int64) / np.maximum(n[at], n[i])
-            at = at[[shared.argmax()]]
-        left += [ids[i]] * len(at)
-        right += ids[at].tolist()
-    a, b = np.array(left, np.int64), np.array(right, np.int64)
-    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-
-def tile_pairs(nearest_only: bool, params: OrderMinHashParams):
-    return lambda table: pairs_in_tile(table, nearest_only, params)
+
+def in_whole_tiles(tiles: DataFrame, keys: list[str], made, schema: str, params: OrderMinHashParams, rows_at_once: int) -> DataFrame:
+    """``made`` of sorted whole tiles, a bounded number of rows at a time."""
+
+    def numbers_of(rows: pa.Table) -> np.ndarray:
+        found = [rows.column(c).to_numpy() for c in keys]
+        return np.concatenate([[0], np.cumsum(np.any([k[1:] != k[:-1] for k in found], axis=0))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_at_once):
+                part = pa.Table.from_batches([batch.slice(start, rows_at_once)])
+                held = part if held is None else pa.concat_tables([held, part])
+                if held.num_rows < rows_at_once:
+                    continue
+                numbers = numbers_of(held)
+                if whole := int(np.searchsorted(numbers, numbers[-1])):
+                    yield from made(held.slice(0, whole), numbers[:whole], params)
+                    held = held.slice(whole).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from made(held, numbers_of(held), params)
+
+    return tiles.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(run, schema)
+
+
+def share_enough(a: Counter, b: Counter, longer: int, params: OrderMinHashParams) -> bool:
+    """An alignment has no more matches than the texts have words in common."""
+    return sum((a & b).values()) >= longer - allowed_edits(longer, longer, params.similarity)
+
+
+def merged(labels: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (id, component) after the links ``more``: their components alone are closed anew."""
+    named = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    ends = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    joined = scratch.keep(components(ends, scratch), "joined")
+    moved = labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return scratch.keep(moved.unionByName(scratch.again(joined).join(labels.select("id"), "id", "left_anti")), "labels")
 
 
 def in_tiles(placed: DataFrame, tile: int) -> DataFrame:
-    """Rows of buckets of up to ``tile`` documents are a tile; larger ones are dealt to blocks, of which any two meet."""
-    blocks = F.ceil(F.col("n") / tile).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    """Groups of ``n`` <= ``tile`` documents are a tile; larger ones are dealt to blocks, of which any two meet."""
+    placed = placed.withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     out = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select("band", "sketch", "low", "high", "block", "doc_id", "component")
+    return out.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("n", "blocks", "other")
 
 
 CELL_BITS = 18
@@ -387,9 +479,13 @@ def rare_runs(texts: DataFrame, params: OrderMinHashParams) -> DataFrame:
     return run_rows(texts, params, "band int, sketch long, doc_id long", first)
 
 
+def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def apart(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(band, sketch, doc_id, component, n) of the buckets that hold several components, equal ones once."""
-    labelled = members.select("band", "sketch", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = with_component(members.select("band", "sketch", "doc_id"), labels)
     buckets = (
         labelled.groupBy("band", "sketch")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.hash("doc_id").cast("long")).alias("h1"), F.sum(F.hash(F.col("doc_id"), F.lit(1)).cast("long")).alias("h2"))
@@ -409,7 +505,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
     copies = keys.groupBy("c1", "c2", "n_words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     same = scratch.keep(keys.select("doc_id", "c1", "c2", "n_words").join(copies.where("n > 1"), ["c1", "c2", "n_words"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
     # each sketch of each distinct text; a group of copies becomes one row of partial aggregation
-    bags = scratch.keep(keys.select("doc_id", "n_words", "bag"), "bags")
+    bags = scratch.keep(keys.select("doc_id", "n_words", "bag", "signature"), "bags")
     band = F.least("band", F.lit(params.sketches + params.loose_sketches)).alias("band")
     sketched = keys.select("c1", "c2", "n_words", "doc_id", F.posexplode("sketches").alias("band", "sketch")).select("c1", "c2", "n_words", "doc_id", band, "sketch").groupBy("band", "sketch", "c1", "c2", "n_words").agg(F.min("doc_id").alias("doc_id"))
     sketched = scratch.keep(sketched.select("band", "sketch", "doc_id"), "sketches")
@@ -425,22 +521,26 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
     links = scratch.keep(with_texts(pairs, texts, scratch, params).unionByName(same), "links")
     labels = components(links, scratch)
 
-    # what the stars left apart: first every document with the one most like it, then all that remain
+    # what the stars left apart: first every document is aligned with the one most like it, then all that remain
+    labels = scratch.keep(labels, "labels")
     met = apart(members, labels, scratch)
     hot = scratch.keep(met.where(F.col("n") > params.tile).select("doc_id").distinct(), "hot")
     if not hot.isEmpty():
         runs = rare_runs(scratch.again(texts).join(hot, "doc_id"), params)
-        met = scratch.keep(met.where(F.col("n") <= params.tile).select("band", "sketch", "doc_id").unionByName(runs), "met")
-    tried = pairs
-    for nearest_only in (True, False):
-        tiles = in_tiles(apart(met, labels, scratch), params.tile).join(scratch.again(bags), "doc_id")
-        found = tiles.groupBy("band", "sketch", "low", "high").applyInArrow(tile_pairs(nearest_only, params), "a long, b long").distinct()
-        found = scratch.keep(found.join(scratch.again(tried), ["a", "b"], "left_anti"), "found")
-        more = scratch.keep(with_texts(found, texts, scratch, params), "more")
-        if not more.isEmpty():
-            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
-        tried = scratch.keep(scratch.again(tried).unionByName(found), "tried") if nearest_only else tried
-    labels = scratch.keep(labels, "labels")
+        met = apart(scratch.keep(met.where(F.col("n") <= params.tile).select("band", "sketch", "doc_id").unionByName(runs), "met"), labels, scratch)
+    tiles = in_tiles(met, params.tile).join(scratch.again(bags), "doc_id")
+    open_ = scratch.keep(in_whole_tiles(tiles, ["band", "sketch", "low", "high"], open_documents, "doc_id long, nearest long, star long", params, 16_384), "open")
+    first = open_.where("nearest is not null").select(F.greatest("doc_id", "nearest").alias("a"), F.least("doc_id", "nearest").alias("b")).distinct()
+    first = scratch.keep(first.join(scratch.again(pairs), ["a", "b"], "left_anti"), "first")
+    labels = merged(labels, scratch.keep(with_texts(first, texts, scratch, params), "more"), scratch)
+    # documents whose likely pairs hang together are one group, so that a pair of many buckets is aligned once
+    grouped = scratch.keep(components(open_.where("star is not null").select(F.col("doc_id").alias("a"), F.col("star").alias("b")), scratch), "grouped")
+    grouped = with_component(grouped.select(F.col("id").alias("doc_id"), F.col("component").alias("grp")), scratch.again(labels))
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("grp", "n")
+    placed = scratch.keep(grouped.join(scratch.keep(sizes, "sizes"), "grp"), "placed")
+    tiles = in_tiles(placed, params.block).join(scratch.again(bags), "doc_id").join(scratch.again(texts), "doc_id")
+    more = in_whole_tiles(tiles, ["grp", "low", "high"], linked_in_tile, "a long, b long", params, 2 * params.block)
+    labels = merged(labels, scratch.keep(more, "more"), scratch)
     scratch.drop(members, texts, pairs, bags, buckets)
     sizes = scratch.keep(labels.groupBy("component").agg(F.count("*").alias("class_size")), "sizes")
     named = labels.join(sizes, "component").withColumnRenamed("id", "doc_id")
