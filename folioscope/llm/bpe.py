@@ -50,7 +50,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @dataclass
 class Merges:
-    """Pairs of ids that merge, as left << 17 | right -> rank, and the ranks of byte pairs."""
+    """Pairs of ids that merge, as left << 32 | right -> rank, and the ranks of byte pairs."""
 
     ranks: dict[bytes, int]
 
@@ -61,7 +61,7 @@ class Merges:
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left << 17 | right] = rank
+                    self.pairs[left << 32 | right] = rank
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)])
         self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
 
@@ -105,7 +105,7 @@ def replay_merges(pieces: list[bytes], merges: Merges) -> list[bytes]:
             lowest = rank + 1
             if after >= 0:
                 before[after] = at
-                new = pair_ranks[at] = pairs(rank << 17 | symbols[after], -1)
+                new = pair_ranks[at] = pairs(rank << 32 | symbols[after], -1)
                 if new >= 0:
                     lowest = min(lowest, new)
                     if new in index:
@@ -117,7 +117,7 @@ def replay_merges(pieces: list[bytes], merges: Merges) -> list[bytes]:
                 pair_ranks[at] = -1
             first = before[at]
             if first >= 0:
-                new = pair_ranks[first] = pairs(symbols[first] << 17 | rank, -1)
+                new = pair_ranks[first] = pairs(symbols[first] << 32 | rank, -1)
                 if new >= 0:
                     lowest = min(lowest, new)
                     if new in index:

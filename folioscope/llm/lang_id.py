@@ -47,7 +47,6 @@ class LangIdParams:
     rate: float = 4.0
     calibration: float = 0.2  # share of the sample that sets temperature and threshold
     most_rejected: float = 0.001  # share of correctly labelled segments that the threshold may lose
-    highest_threshold: float = 0.4
     seed: int = 7
     remember: int = 300_000  # words a worker remembers
 
@@ -87,7 +86,8 @@ def training_sample(docs: DataFrame, params: LangIdParams) -> list[tuple[str, st
     wanted = F.lit(False)
     for lang, limit in sorted(most.items()):
         wanted = wanted | ((F.col("lang") == lang) & (rank <= limit))
-    rows = usable.where(wanted).select(rank.alias("rank"), "text", "lang").collect()
+    # ids may repeat and so may ranks: the bound is on rows
+    rows = usable.where(wanted).select(rank.alias("rank"), "text", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))).where(F.col("n") <= params.per_language).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["rank"], r["text"], r["lang"]))]
 
 
@@ -159,7 +159,7 @@ def train(sample: list[tuple[str, str]], params: LangIdParams) -> Model:
         p = softmax(logits / temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y[kept]]
         if len(right):
-            threshold = min(params.highest_threshold, float(np.quantile(right, params.most_rejected)))
+            threshold = float(np.quantile(right, params.most_rejected))
     return Model(languages, embed @ weights, bias, temperature, threshold)
 
 

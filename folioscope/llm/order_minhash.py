@@ -3,11 +3,11 @@
 Words are lower-cased runs of letters, digits and underscores; a k-mer is 5 consecutive words,
 labelled with its occurrence number in the text. A sketch takes the 4 k-mers that are least under
 its hash and keeps them in text order, so it agrees when content and order agree, as edit similarity
-asks. Documents meet in the buckets of 40 sketches. A pair is linked when the word edit
+asks. Documents meet in the buckets of 16 sketches. A pair is linked when the word edit
 distance, by a bit-parallel alignment inside the band that 0.8 allows, is at most 0.2 of the longer
 text. One word in five changed leaves few runs of 5 words, so 40 loose sketches of 2 k-mers of 2 words
 stand beside: they carry the recall down to the link threshold. Candidates are the pairs that share two
-of all 80, as texts within the threshold do and long texts of one language seldom. Texts of up to 14 words with few edits
+of all 56, as texts within the threshold do and long texts of one language seldom. Texts of up to 14 words with few edits
 are found without chance: two of them are within e edits only if leaving out at most e words of each
 gives one sequence, and every such sequence is a key.
 
@@ -55,7 +55,7 @@ WORD = re.compile(r"\w+")
 class OrderMinHashParams:
     k: int = 5
     kept: int = 4  # k-mers in a sketch
-    sketches: int = 40
+    sketches: int = 16
     loose_k: int = 2
     loose_kept: int = 2
     loose_sketches: int = 40

@@ -14,7 +14,7 @@ digits, dates are real dates, US social security numbers and IPv4 addresses keep
 | iban | country, right check digits | digits and letters of the account, check digits anew |
 | ssn | ddd-dd-dddd in the ranges in use | within those ranges |
 | ipv4 | four numbers up to 255 | all 32 bits |
-| date | yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy or else dd/mm/yyyy; real, 1900 to 2099 | day number |
+| date | yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy or else dd/mm/yyyy; real, 1900 to 2099 | day number; that of dd/mm/yyyy among days after the 12th |
 | secret | 32 to 128 hex digits with a digit and a letter | hex digits, in their case |
 
 Numbers that fail validation are not personal data and stay. The job is one projection: no shuffle,
@@ -217,7 +217,24 @@ def permuted_ipv4(x: Column, params: PiiParams) -> Column:
     return F.concat_ws(".", *((F.floor(moved[h] / 256) if high else moved[h] % 256).cast("long").cast("string") for h in "ab" for high in (True, False)))
 
 
-FIRST_DAY, DATE_A, DATE_B = "1900-01-01", 121, 605  # 73,205 days, to 2100-06-05
+def permuted_below(x: Column, size: int, size_a: int, size_b: int, kind: str, params: PiiParams) -> Column:
+    """A permutation of the numbers below ``size``, which is at most size_a * size_b.
+
+    A Feistel image at or over ``size`` is permuted again until it is below: as no number comes up twice on the
+    way, as many times as there are numbers over ``size`` are always enough.
+    """
+
+    def once(at: Column) -> Column:
+        moved = permuted_pair(F.floor(at / size_b), at % size_b, size_a, size_b, kind, params)
+        return moved["a"] * size_b + moved["b"]
+
+    walk = F.sequence(F.lit(1), F.lit(size_a * size_b - size))
+    return F.aggregate(walk, once(x.cast("long")), lambda at, _: F.when(at >= size, once(at)).otherwise(at))
+
+
+FIRST_DAY = "1900-01-01"
+DAYS = 73_049, 271, 270  # days of 1900 to 2099, and two factors of a little more
+LATE_DAYS = 44_249, 211, 210  # of these the ones after the 12th of their month, which only day/month/year can name
 
 
 def read_date(x: Column) -> Column:
@@ -227,13 +244,36 @@ def read_date(x: Column) -> Column:
     return F.when(x.contains("-"), iso).when(x.contains("."), dotted).otherwise(F.coalesce(F.try_to_date(x, "M/d/yyyy"), F.try_to_date(x, "d/M/yyyy")))
 
 
+def month_start(month: Column) -> Column:
+    """The number of the first day of a month, both counted from FIRST_DAY."""
+    first = F.lit(FIRST_DAY).cast("date")
+    return F.datediff(F.add_months(first, month), first)
+
+
+def permuted_late_day(day: Column, params: PiiParams) -> Column:
+    """A day number after the 12th of its month as another such day, through its rank among them."""
+    date = F.date_add(F.lit(FIRST_DAY).cast("date"), day)
+    months = (F.year(date) - 1900) * 12 + F.month(date) - 1
+    rank = permuted_below(day - 12 * months - 12, *LATE_DAYS, "date/", params)
+
+    def placed(at: Column) -> Column:
+        near = F.floor(at / (LATE_DAYS[0] / 2400)).cast("int")  # the month is at most a few from here
+        in_range = F.filter(F.sequence(near - 4, near + 4), lambda m: (m >= 0) & (m < 2400) & (month_start(m) - 12 * m <= at))
+        return F.transform(F.array(F.array_max(in_range)), lambda m: (month_start(m) + at - (month_start(m) - 12 * m) + 12).cast("int"))[0]
+
+    return F.transform(F.array(rank), placed)[0]
+
+
 def permuted_date(x: Column, params: PiiParams) -> Column:
+    """Dates in one form are permuted among the dates of 1900 to 2099; day/month/year ones, which no month/day/year
+    reading fits, among those like them. Equal dates stay equal across the other forms."""
+    month_first = F.try_to_date(x, "M/d/yyyy").isNotNull()
+    late = x.contains("/") & ~month_first
     day = F.datediff(read_date(x), F.lit(FIRST_DAY).cast("date"))
-    moved = permuted_pair(F.floor(day / DATE_B), day % DATE_B, DATE_A, DATE_B, "date", params)
-    to = F.date_add(F.lit(FIRST_DAY).cast("date"), (moved["a"] * DATE_B + moved["b"]).cast("int"))
+    moved = F.when(late, permuted_late_day(day, params)).otherwise(permuted_below(day, *DAYS, "date", params))
+    to = F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int"))
     wide = x.rlike("(^|[^0-9])0[0-9]|[0-9]{2}[./-][0-9]{2}")
     shape = lambda two, one: F.when(wide, F.date_format(to, two)).otherwise(F.date_format(to, one))
-    month_first = F.try_to_date(x, "M/d/yyyy").isNotNull()
     return (
         F.when(x.contains("-"), shape("yyyy-MM-dd", "yyyy-M-d"))
         .when(x.contains("."), shape("dd.MM.yyyy", "d.M.yyyy"))
@@ -290,12 +330,21 @@ def moved(kind: str, permuted, params: PiiParams):
     return lambda f: F.struct(f["kind"].alias("kind"), F.when(f["kind"] == kind, permuted(f["value"], params)).otherwise(f["value"]).alias("value"))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def pseudonymise(docs: DataFrame, params: PiiParams = PiiParams(), text_col: str = "text", counts_col: str | None = "pii_counts") -> DataFrame:
-    """``docs`` with pseudonyms in its text and, if asked for, a map of kind to number of values."""
+    """``docs`` with pseudonyms in its text and, if asked for, a map of kind to number of values in ``counts_col``,
+    behind whose name underscores are set where ``docs`` has such a column."""
     text = F.col(text_col).cast("string")
     some = text.rlike("[0-9@]")
     matches = F.when(some, F.regexp_extract_all(text, F.lit(PII), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found, between = "__pii_found", "__pii_between"
+    found, between = unused("__pii_found", docs), unused("__pii_between", docs)
+    counts_col = counts_col and unused(counts_col, docs)
     first = F.transform(matches, lambda m: F.struct(form_of(m).alias("kind"), m.alias("value")))
     rows = docs.withColumn(found, first).withColumn(between, F.when(F.size(found) > 0, F.split(text, PII, -1)))
     for kind, valid in VALID.items():

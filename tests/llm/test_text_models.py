@@ -1,10 +1,11 @@
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioscope.llm.lang_id import LangIdParams, identify, predict, train
+from folioscope.llm.lang_id import LangIdParams, identify, predict, train, training_sample
 from folioscope.llm.pii import DIGITS, LOWER, PiiParams, permuted_date, permuted_ipv4, permuted_ssn, permuted_symbols, pseudonymise
 
 SYLLABLES = {"en": "the ing er on th wh".split(), "de": "sch ung ich ein ver ö".split(), "fr": "eau oi que é ai ment".split()}
@@ -33,6 +34,17 @@ def test_language_of_held_out_rows(spark):
     assert sum(r.accepted for r in held) >= 0.98 * len(held)
 
 
+def test_the_sample_is_bounded_by_rows(spark):
+    same = next(n for n in range(100) if zlib.crc32(b"%d" % n) % 4 != 2)
+    rows = [(same, f"the thing {n}", "en") for n in range(400)] + [(n, "das ding", "de") for n in range(1000, 1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = training_sample(docs.union(docs), LangIdParams(per_language=50))
+    assert sorted(lang for _, lang in sample) == ["de"] * 50 + ["en"] * 50
+    assert identify(spark, docs.limit(0)).count() == 0
+    long = spark.createDataFrame([*rows, (9999, "the thing " * 100_000, "en"), (9999, "the thing " * 100_000, "en")], docs.schema)
+    assert [r.lang_pred for r in identify(spark, long).where("doc_id = 9999").collect()] == ["en"] * 2
+
+
 def test_predictions_do_not_see_labels(spark):
     rows = labelled(300)
     model = train([(t, lang) for _, t, lang in rows], LangIdParams())
@@ -67,6 +79,9 @@ def test_pseudonyms_keep_formats_and_links(spark):
     other = pseudonymise(docs.drop("pii_counts").where("doc_id = 1"), PiiParams(key="other")).first().text
     assert other != new
     assert pseudonymise(docs, counts_col=None).columns == docs.columns
+    clash = pseudonymise(docs.withColumn("__pii_found", F.lit(7)))
+    assert clash.columns == [*docs.columns, "__pii_found", "pii_counts_"] and {r.pii_counts for r in clash.collect()} == {"a", "b", "c", "d", None}
+    assert clash.where("__pii_found = 7").count() == 5 and pseudonymise(docs.union(docs)).select("doc_id", "text").distinct().count() == 5 and pseudonymise(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(("alphabet", "length"), [(DIGITS, 1), (DIGITS, 2), (DIGITS, 3), (LOWER, 2)])
@@ -79,9 +94,13 @@ def test_symbol_permutation_is_one_to_one(spark, alphabet, length):
 
 
 def test_dates_addresses_and_numbers_are_one_to_one(spark):
-    days = spark.range(73_049).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    moved = days.select(permuted_date(F.col("d"), PiiParams()).alias("m"))
-    assert moved.where("m rlike '^(19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}$'").distinct().count() == 73_049
+    days = spark.range(73_049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    for form in ("yyyy-MM-dd", "yyyy-M-d", "dd.MM.yyyy", "d.M.yyyy", "MM/dd/yyyy", "M/d/yyyy", "dd/MM/yyyy", "d/M/yyyy"):
+        mine = days.where(F.dayofmonth("d") > 12) if form.lower().startswith("d") and "/" in form else days
+        moved = mine.select(permuted_date(F.date_format("d", form), PiiParams()).alias("m")).select("m", F.try_to_date("m", form.replace("MM", "M").replace("dd", "d")).alias("t"))
+        found = moved.where("t between date'1900-01-01' and date'2099-12-31'").agg(F.countDistinct("m").alias("texts"), F.countDistinct("t").alias("dates"), F.min(F.dayofmonth("t")).alias("least")).first()
+        n = 44_249 if mine is not days else 73_049
+        assert (found.texts, found.dates, found.least) == (n, n, 13 if mine is not days else 1)
     some = spark.range(20_000).select(F.concat_ws(".", F.lit("7"), F.lit("1"), F.floor(F.col("id") / 250).cast("string"), (F.col("id") % 250).cast("string")).alias("a"))
     assert some.select(permuted_ipv4(F.col("a"), PiiParams()).alias("m")).distinct().count() == 20_000
     numbers = spark.range(1, 9000).select(F.format_string("%03d-12-%04d", (F.col("id") % 665 + 1).cast("int"), F.col("id").cast("int")).alias("s"))
