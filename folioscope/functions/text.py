@@ -116,6 +116,7 @@ def has_email(x: Column) -> Column:
     return x.rlike(r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}")
 
 
+# fixed values: results must agree on what is a range of years and no phone number
 YEAR_RANGE = rf"(?i){AS_IS}(?:19|20)[0-9]{{2}}{WS}*[-/\x{{2013}}\x{{2014}}]{WS}*(?:(?:19|20)[0-9]{{2}}|sekarang|saat ini|present|now){NO_MORE}"
 
 

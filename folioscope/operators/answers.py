@@ -141,14 +141,18 @@ def normalize_weaknesses(parsed: DataFrame, limits: AnswerLimits = AnswerLimits(
 
 
 def answer_complete(parsed: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
-    """Adds ``complete``: mode-b needs keyword, skills and five jobs, mode-a any check of the model's."""
-    checks = normalize_checks(parsed, limits).groupBy(*KEYS).agg(F.collect_set("check_id").alias("ids"))
-    jobs = normalize_jobs(parsed, limits).groupBy(*KEYS).agg(F.count("*").alias("n_jobs"))
-    out = parsed.join(checks, KEYS, "left").join(jobs, KEYS, "left")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    b = F.array_contains(ids, "keyword") & F.array_contains(ids, "skills") & (F.coalesce("n_jobs", F.lit(0)) == limits.jobs)
-    a = F.arrays_overlap(ids, F.array(*map(F.lit, ("keyword", "skills", "sections", "quantified", "readability"))))
-    return out.withColumn("complete", F.when(F.col("mode") == "mode-b", b).otherwise(a)).drop("ids", "n_jobs")
+    """Adds ``complete``: mode-b needs keyword, skills and five jobs, mode-a any check of the model's.
+
+    Decided in the row, as ``normalize_checks`` and ``normalize_jobs`` would: prose with a letter or digit never
+    cleans to nothing, so only odd strings are cleaned here.
+    """
+    lang = F.col("language")
+    scored = lambda *names: F.exists("answer.atsChecks", lambda c: F.lower(trimmed(c["id"])).isin(*names) & to_score(c["score"]).isNotNull())
+    told = lambda x, n: x.isNotNull() & (x.rlike(r"[\p{L}\p{N}]") | (prose(x, n, lang) != ""))
+    good = F.filter("answer.suggestedJobs", lambda j: to_score(j["matchScore"]).isNotNull() & told(j["title"], limits.title) & told(j["reason"], limits.reason))
+    b = F.coalesce(scored("keyword"), F.lit(False)) & F.coalesce(scored("skills"), F.lit(False)) & (F.coalesce(F.size(good), F.lit(0)) >= limits.jobs)
+    a = F.coalesce(scored("keyword", "skills", "sections", "quantified", "readability"), F.lit(False))
+    return parsed.withColumn("complete", F.when(F.col("mode") == "mode-b", b).otherwise(a))
 
 
 def pick_answer(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
@@ -160,6 +164,7 @@ def pick_answer(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> Da
     return out.select("answer_id", "mode", "language", "best.cand_ord", "best.variant", reason.alias("reason"))
 
 
+# fixed values: results must agree on which provider messages mean no credit or a bad key
 NO_CREDIT = r"(?i)insufficient_quota|insufficient balance|credit balance|out of credits|no credits|doesn't have any credits"
 BAD_KEY = r'(?i)API_KEY_INVALID|(invalid|incorrect|not valid|pass a valid)[^"]{0,40}api[ _-]?key|api[ _-]?key[^"]{0,40}(invalid|incorrect|not valid)'
 

@@ -86,6 +86,7 @@ def margins(runs: DataFrame, pages: DataFrame) -> DataFrame:
     return on.groupBy("doc_id").agg(*(rounded(F.min(v), 1).alias(f"margin_{k}") for k, v in sides.items()))
 
 
+# fixed values: results must agree on what marks an annotation
 ANNOTATION = r"(?i)(?<![A-Za-z0-9_])(?:(?:19|20)[0-9]{2}|sekarang|saat ini|present|now|current)(?![A-Za-z0-9_])"
 
 

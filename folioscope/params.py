@@ -54,7 +54,7 @@ KEY_PREFIXES = (
 )
 MISTRAL_FAMILY = "^(mistral|codestral|magistral|ministral|pixtral|devstral|voxtral|open-mistral|open-mixtral)"
 OPENAI_FAMILY = r"^(gpt-|o\d|chatgpt-|codex-)"
-#: (first address, prefix length, kind); the first kind in KIND_ORDER that matches wins.
+#: (first address, prefix length, kind); the first that matches wins.
 IPV4_RANGES = (
     ("100.100.100.200", 32, "blocked"),
     ("0.0.0.0", 8, "blocked"), ("169.254.0.0", 16, "blocked"), ("192.0.0.0", 24, "blocked"),

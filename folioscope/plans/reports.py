@@ -115,9 +115,9 @@ def q_answer_complete(spark, d):
     return judged.groupBy("answer_id").agg(F.bool_or("complete").alias("complete"))
 
 
-@query(f"WITH {ANS} z AS (SELECT 1) SELECT answer_id, CASE k WHEN 0 THEN 'empty' WHEN 1 THEN 'no-json' WHEN 4 THEN 'incomplete' END AS reason FROM a")
+@query(f"WITH {ANS} z AS (SELECT 1) SELECT answer_id, CASE k WHEN 0 THEN 'empty' WHEN 1 THEN 'no-json' WHEN 4 THEN 'incomplete' END AS reason, CAST(CASE WHEN k IN (0, 1, 4) THEN NULL WHEN k = 3 THEN 1 ELSE 0 END AS INTEGER) AS cand_ord, CAST(CASE WHEN k IN (0, 1, 4) THEN NULL WHEN k = 5 THEN 1 ELSE 0 END AS INTEGER) AS variant FROM a")
 def q_pick_answer(spark, d):
-    return N.pick_answer(answers(spark, d)).select("answer_id", "reason")
+    return N.pick_answer(answers(spark, d)).select("answer_id", "reason", "cand_ord", "variant")
 
 
 CALLS = """c AS (SELECT event_id, user_id % 40 AS analysis_id, list_extract([200, 401, 402, 403, 429, 400, 500, 200, 200, 404], CAST(event_id % 10 + 1 AS BIGINT)) AS status, event_id % 2 = 0 AS routed, event_id % 10 AS k FROM events),

@@ -296,9 +296,9 @@ def q_assemble_report(spark, d):
     return R.assemble_report(scored, ranked, hidden_rows(spark, d), R.typography_findings(typography(spark, d)))
 
 
-@query(f"WITH {CHECKS} z AS (SELECT 1) SELECT doc_id, check_id, CASE WHEN doc_id % 2 = 0 THEN check_id || ' hat ' || score || ' Punkte (' || score || ')' ELSE NULL END AS rendered FROM checks WHERE doc_id % 2 = 0")
+@query(f"WITH {CHECKS} z AS (SELECT 1) SELECT doc_id, check_id, check_id || ' hat ' || score || ' Punkte (' || score || ')' AS rendered FROM checks")
 def q_render_text(spark, d):
-    """Templates with repeated places over all check rows; the SQL still has even documents only."""
+    """Templates with repeated places over all check rows."""
     templates = spark.createDataFrame([("score", "de", "{0} hat {1} Punkte ({1})"), ("score", "en", "{0} has {1} points")], "key string, language string, template string")
     rows = checks(spark, d).select("doc_id", "check_id", F.lit("score").alias("key"), F.array(F.col("check_id"), F.col("score").cast("string")).alias("values"))
     return R.render_text(rows, templates, "de").select("doc_id", "check_id", "rendered")
