@@ -3,11 +3,11 @@
 Words are lower-cased runs of letters, digits and underscores; a k-mer is 5 consecutive words,
 labelled with its occurrence number in the text. A sketch takes the 4 k-mers that are least under
 its hash and keeps them in text order, so it agrees when content and order agree, as edit similarity
-asks. Documents meet in the buckets of 16 sketches. A pair is linked when the word edit
+asks. Documents meet in the buckets of 8 sketches. A pair is linked when the word edit
 distance, by a bit-parallel alignment inside the band that 0.8 allows, is at most 0.2 of the longer
-text. One word in five changed leaves few runs of 5 words, so 40 loose sketches of 2 k-mers of 2 words
+text. One word in five changed leaves few runs of 5 words, so 32 loose sketches of 2 k-mers of 2 words
 stand beside: they carry the recall down to the link threshold. Candidates are the pairs that share two
-of all 56, as texts within the threshold do and long texts of one language seldom. Texts of up to 14 words with few edits
+of all 40, as texts within the threshold do and long texts of one language seldom. Texts of up to 14 words with few edits
 are found without chance: two of them are within e edits only if leaving out at most e words of each
 gives one sequence, and every such sequence is a key.
 
@@ -36,6 +36,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -55,10 +56,10 @@ WORD = re.compile(r"\w+")
 class OrderMinHashParams:
     k: int = 5
     kept: int = 4  # k-mers in a sketch
-    sketches: int = 16
+    sketches: int = 8
     loose_k: int = 2
     loose_kept: int = 2
-    loose_sketches: int = 40
+    loose_sketches: int = 32
     agreeing: int = 2  # sketches that the texts of a candidate pair share
     short_words: int = 14  # texts up to this length also meet by what a few words left out leave
     most_left_out: int = 128  # such sequences of a text; a text with more has none
@@ -94,11 +95,16 @@ def least_places(values: np.ndarray, kept: int) -> np.ndarray:
     return np.sort(out, axis=1)
 
 
-def sketches_of(hashes: np.ndarray, k: int, most: int, count: int, seed: int) -> np.ndarray:
-    """``count`` sketches of ``most`` k-mers each."""
+@lru_cache
+def hash_family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     masks = rng.integers(0, 2**63, count, np.uint64)
-    odd = rng.integers(0, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+    return masks, rng.integers(0, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketches_of(hashes: np.ndarray, k: int, most: int, count: int, seed: int) -> np.ndarray:
+    """``count`` sketches of ``most`` k-mers each."""
+    masks, odd = hash_family(count, seed)
     kmers = grams(hashes, min(k, len(hashes)))
     labelled = mixed(kmers + occurrences(kmers) * STEP)
     n, kept = len(kmers), min(most, len(kmers))

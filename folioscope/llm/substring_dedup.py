@@ -72,7 +72,7 @@ class WordHashes:
         if len(self.number) > self.remember:
             self.number = {}
         number = self.number
-        for word in {w for w in words if w not in number}:
+        for word in set(words).difference(number):
             at = number[word] = len(number)
             if at >= self.pairs.shape[1]:
                 self.pairs = np.concatenate([self.pairs, np.empty_like(self.pairs)], axis=1)
