@@ -60,6 +60,10 @@ class Scratch:
         for df in frames:
             self.delete(self.at.pop(id(df)))
 
+    def free_shuffles(self) -> None:
+        """Lets Spark delete the shuffle files of steps whose frames are gone; else they wait for the driver's next collection."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

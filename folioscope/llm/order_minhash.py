@@ -520,11 +520,13 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
     buckets = scratch.keep(buckets, "buckets")  # a table of its own, so Spark can split a hot bucket
     members = scratch.keep(sketched.join(buckets, ["band", "sketch"]), "members")
     scratch.drop(sketched)
+    scratch.free_shuffles()
     pairs = scratch.keep(members.where("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
     pairs = scratch.keep(promising_pairs(pairs, bags, scratch.again(bags), params), "promising")
     involved = members.select("doc_id").distinct()
     texts = scratch.keep(plain.join(involved, "doc_id"), "texts")
     links = scratch.keep(with_texts(pairs, texts, scratch, params).unionByName(same), "links")
+    scratch.free_shuffles()
     labels = components(links, scratch)
 
     # what the stars left apart: first every document is aligned with the one most like it, then all that remain
@@ -538,7 +540,9 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
     open_ = scratch.keep(in_whole_tiles(tiles, ["band", "sketch", "low", "high"], open_documents, "doc_id long, nearest long, star long", params, 16_384), "open")
     first = open_.where("nearest is not null").select(F.greatest("doc_id", "nearest").alias("a"), F.least("doc_id", "nearest").alias("b")).distinct()
     first = scratch.keep(first.join(scratch.again(pairs), ["a", "b"], "left_anti"), "first")
+    scratch.drop(met, members)
     labels = merged(labels, scratch.keep(with_texts(first, texts, scratch, params), "more"), scratch)
+    scratch.free_shuffles()
     # documents whose likely pairs hang together are one group, so that a pair of many buckets is aligned once
     grouped = scratch.keep(components(open_.where("star is not null").select(F.col("doc_id").alias("a"), F.col("star").alias("b")), scratch), "grouped")
     grouped = with_component(grouped.select(F.col("id").alias("doc_id"), F.col("component").alias("grp")), scratch.again(labels))
@@ -547,7 +551,8 @@ def near_classes(spark: SparkSession, docs: DataFrame, params: OrderMinHashParam
     tiles = in_tiles(placed, params.block).join(scratch.again(bags), "doc_id").join(scratch.again(texts), "doc_id")
     more = in_whole_tiles(tiles, ["grp", "low", "high"], linked_in_tile, "a long, b long", params, 2 * params.block)
     labels = merged(labels, scratch.keep(more, "more"), scratch)
-    scratch.drop(members, texts, pairs, bags, buckets)
+    scratch.drop(texts, pairs, bags, buckets)
+    scratch.free_shuffles()
     sizes = scratch.keep(labels.groupBy("component").agg(F.count("*").alias("class_size")), "sizes")
     named = labels.join(sizes, "component").withColumnRenamed("id", "doc_id")
     return docs.select(F.col("doc_id").cast("long")).join(named, "doc_id", "left").select(
