@@ -6,19 +6,20 @@ node, the entropy of its child layouts over those pages (presentation importance
 entropy of the texts below it (content importance: a text on every page tells nothing). A branch
 whose composite importance is low on enough pages is removed from every page of the host.
 
-What a page says about itself comes first: inside ``article`` or ``main`` the statistics remove
-nothing, as copies of one article on one host must keep their text; and elements that are menus,
-headers, footers, sidebars, notices, adverts, forms or reader comments by tag, role or class are
-removed on hosts of any size. The tree decides pages without such a mark. If it would leave nothing
-of a page, the page keeps its blocks.
+Every page of a host is in its tree. What a page says about itself is a prior: blocks inside
+``article`` or ``main`` need a lower importance to go (``prior``), and where they hold most of a page's
+text the rest of the page goes; menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments by tag, role or class go on hosts of any size, as their texts may differ from page to page and
+no count over pages tells them then. A form that holds an ``article``, ``main`` or ``h1`` is the page, not a
+form. Pages of a host with the same article count once, so copies do not turn it into something repeated.
+If pruning would leave nothing of a page, the page keeps its blocks.
 
 Skew: a host may hold a third of all pages. The tree is built by counts with partial aggregation and
-never gathered by host; decisions return to the blocks by a join of which Spark splits the skewed
-side, and only blocks that the marks leave open take part.
+never gathered by host; decisions return to the blocks by a join of which Spark splits the skewed side.
 
 Edge cases: null or empty html gives an empty text; a null or odd url counts as its own host name.
 Unclosed, stray and cut-off tags are borne as browsers bear them. Rows that repeat are extracted
-alike, and identical pages of a host count once in its tree. Other columns are ignored.
+alike. A style stands at most twice on a path, so pages that never close an element have short paths. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ NOISE_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article content main post entry story".split())
 CLASS_WORD = re.compile(r"[a-z]+")
+#: Class names that say how a page is laid out, not what an element is.
+LAYOUT_NAMES = ("no-", "has-", "with-", "without-")
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,8 @@ class StyleTreeParams:
     least_importance: float = 0.25  # branches below this go
     least_pages: int = 4  # distinct pages of a host that must have the branch
     damping: float = 0.9  # weight of what stands below a node with few layouts
-    deepest: int = 12  # style path elements that count
+    prior: float = 0.2  # weight of the marks in a node's importance
+    most: float = 0.5  # share of a page's text from which on its article or main is the page
 
 
 @dataclass
@@ -71,6 +75,7 @@ class Element:
     tag: str
     path: str
     noise: bool
+    form: bool  # noise only as it stands in a form
     main: bool
     children: list[str]
 
@@ -86,7 +91,8 @@ def is_noise(tag: str, given: dict[str, str], inside_main: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
         return True
-    words = set(CLASS_WORD.findall(f"{given.get('class', '')} {given.get('id', '')}".lower())) - ({"header"} if inside_main else set())
+    names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
+    words = {w for name in names if not name.startswith(LAYOUT_NAMES) for w in CLASS_WORD.findall(name)} - ({"header"} if inside_main else set())
     return tag not in ("html", "body") and bool(words & NOISE_WORDS) and not (tag in ("article", "main") and words & MAIN_WORDS)
 
 
@@ -97,7 +103,7 @@ def parse_page(text: str, params: StyleTreeParams) -> tuple[list[tuple[str, str,
     """
     blocks: list[tuple[str, str, bool]] = []
     layouts: list[tuple[str, int]] = []
-    stack = [Element("", "", False, False, [])]
+    stack = [Element("", "", False, False, False, [])]
     parts: list[str] = []
 
     def end_block() -> None:
@@ -157,13 +163,22 @@ def parse_page(text: str, params: StyleTreeParams) -> tuple[list[tuple[str, str,
                         pop()
         given = attributes(token[3]) if token[3].strip() else {}
         top = stack[-1]
-        style = tag + "".join(f".{c}" for c in sorted(set(CLASS_WORD.findall(given.get("class", "").lower())))[:3])
+        style = tag + "".join(f".{c}" for c in sorted(set(CLASS_WORD.findall(given.get("class", "").lower()))))
         top.children.append(style)
-        path = f"{top.path}/{style}" if top.path.count("/") < params.deepest else top.path
-        noise = top.noise or is_noise(tag, given, top.main)
+        path = f"{top.path}/{style}" if top.path.split("/").count(style) < 2 else top.path
+        if top.form and tag in ("article", "main", "h1"):
+            for e in stack:
+                e.noise = e.noise and not e.form
+                e.form = False
+        own = is_noise(tag, given, top.main)
+        form = top.form or tag == "form"
+        if own and (tag != "form" or is_noise("div", given, top.main)):
+            form = False
+        noise = top.noise or own
+        form = form and not (top.noise and not top.form)
         main = top.main or tag in ("article", "main") or given.get("role", "").lower() == "main"
         if not token[3].rstrip().endswith("/"):
-            stack.append(Element(tag, path, noise, main, []))
+            stack.append(Element(tag, path, noise, form, main, []))
     end_block()
     while len(stack) > 1:
         pop()
@@ -175,13 +190,16 @@ PARSED = pa.schema(
         ("page_id", pa.int64()),
         ("url", pa.string()),
         ("host", pa.string()),
-        ("page_hash", pa.int64()),
-        ("marked", pa.bool_()),
-        ("blocks", pa.list_(pa.struct([("path", pa.string()), ("text_hash", pa.int64()), ("text", pa.string())]))),
-        ("layouts", pa.list_(pa.struct([("path", pa.string()), ("signature", pa.int64())]))),
+        ("content_hash", pa.int64()),
+        ("blocks", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))),
+        ("told", pa.list_(pa.struct([("node", pa.string()), ("text_hash", pa.int64()), ("main", pa.bool_())]))),
+        ("shown", pa.list_(pa.struct([("node", pa.string()), ("signature", pa.int64())]))),
     ]
 )
-PARSED_DDL = "page_id long, url string, host string, page_hash long, marked boolean, blocks array<struct<path:string,text_hash:long,text:string>>, layouts array<struct<path:string,signature:long>>"
+PARSED_DDL = (
+    "page_id long, url string, host string, content_hash long, blocks array<struct<path:string,text:string>>, "
+    "told array<struct<node:string,text_hash:long,main:boolean>>, shown array<struct<node:string,signature:long>>"
+)
 
 
 def signed(x: int) -> int:
@@ -193,18 +211,39 @@ def host_of(url: str | None) -> str:
     return (found[1] if found else url or "").lower()
 
 
+def text_hash(text: str) -> int:
+    return signed(xxhash.xxh3_64_intdigest(text))
+
+
+def above(path: str) -> Iterator[str]:
+    """A style path and those of all elements above it."""
+    at = len(path)
+    while at > 0:
+        yield path[:at]
+        at = path.rfind("/", 0, at)
+
+
+def own_blocks(blocks: list[tuple[str, str, bool]], params: StyleTreeParams) -> list[tuple[str, str, bool]]:
+    """The blocks of ``article`` and ``main`` where they hold most of the page's text, else all."""
+    inside = [b for b in blocks if b[2]]
+    return inside if sum(len(b[1]) for b in inside) >= params.most * sum(len(b[1]) for b in blocks) else blocks
+
+
 def parsed(pages: DataFrame, params: StyleTreeParams) -> DataFrame:
-    """Pages with their blocks; a page with ``article`` or ``main`` is marked and has only those blocks."""
+    """Pages with their blocks, and what each tells the tree of its host: texts and child layouts of its nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Rows(PARSED)
         for page_id, url, text in rows_of(batches, "page_id", "url", "html", at_once=100):
             blocks, layouts = parse_page(text or "", params)
-            inside = [b for b in blocks if b[2]]
-            chosen = inside or blocks
-            rows = [{"path": p, "text_hash": signed(xxhash.xxh3_64_intdigest(t)), "text": t} for p, t, _ in chosen]
-            known = [{"path": p, "signature": s} for p, s in layouts]
-            if full := gathered.add((page_id, url, host_of(url), signed(xxhash.xxh3_64_intdigest(text or "")), bool(inside), rows, known), 2 * len(text or "") + 200):
+            blocks = own_blocks(blocks, params)
+            told = {(node, text_hash(t)): main for p, t, main in blocks for node in above(p)}
+            told = [{"node": node, "text_hash": h, "main": main} for (node, h), main in told.items()]
+            nodes = {t["node"] for t in told}
+            shown = [{"node": node, "signature": s} for node, s in sorted(set(layouts)) if node in nodes]
+            content = text_hash("\n\n".join(t for _, t, _ in blocks))
+            rows = [{"path": p, "text": t} for p, t, _ in blocks]
+            if full := gathered.add((page_id, url, host_of(url), content, rows, told, shown), 2 * len(text or "") + 100 * len(told) + 200):
                 yield full
         if last := gathered.flush():
             yield last
@@ -218,44 +257,43 @@ def entropy(count: str, n: str):
     return F.when(F.col(n) > 1, -share * F.log(share) / F.log(F.col(n).cast("double"))).otherwise(0.0)
 
 
-def prefixes(path):
-    """A style path and those of all elements above it."""
-    parts = F.split(F.substring(path, 2, 1 << 20), "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
-
-
 def style_tree(pages: DataFrame, params: StyleTreeParams) -> DataFrame:
-    """(host, node, n_pages, importance) of every style path of every host.
+    """(host, node, n_pages, importance) of every style path of every host, over pages with different contents.
 
     Presentation: entropy of the node's child layouts over its pages, 1 where only one page has it.
     Content: 1 - mean over the texts below it of log(pages with the text) / log(pages of the node).
+    Inside ``article`` or ``main`` the mixture is raised by the prior.
     """
-    distinct = pages.where("not marked").groupBy("host", "page_hash").agg(F.first("blocks").alias("blocks"), F.first("layouts").alias("layouts"))
-    below = distinct.select("host", "page_hash", F.explode("blocks").alias("b")).select("host", "page_hash", "b.text_hash", F.explode(prefixes(F.col("b.path"))).alias("node")).distinct()
-    nodes = below.select("host", "node", "page_hash").distinct().groupBy("host", "node").agg(F.count("*").alias("n_pages"))
-    texts = below.groupBy("host", "node", "text_hash").agg(F.count("*").alias("n_found"))
+    first = pages.groupBy("host", "content_hash").agg(F.min("row_id").alias("row_id")).select("row_id")
+    distinct = pages.select("row_id", "host", "told", "shown").join(first, "row_id", "left_semi")
+    below = distinct.select("host", F.explode("told").alias("t")).select("host", "t.*")
+    nodes = distinct.select("host", F.explode(F.array_distinct(F.transform("told", lambda t: t["node"]))).alias("node")).groupBy("host", "node").agg(F.count("*").alias("n_pages"))
+    texts = below.groupBy("host", "node", "text_hash").agg(F.count("*").alias("n_found"), F.bool_and("main").alias("main"))
     told = F.when(F.col("n_pages") > 1, F.log("n_found") / F.log(F.col("n_pages").cast("double"))).otherwise(0.0)
-    content = texts.join(nodes, ["host", "node"]).groupBy("host", "node", "n_pages").agg((1 - F.avg(told)).alias("content"))
-    shown = distinct.select("host", "page_hash", F.explode("layouts").alias("l")).select("host", "page_hash", F.col("l.path").alias("node"), "l.signature").distinct()
-    styles = shown.groupBy("host", "node", "signature").agg(F.count("*").alias("n_style"))
+    content = texts.join(nodes, ["host", "node"]).groupBy("host", "node", "n_pages").agg((1 - F.avg(told)).alias("content"), F.bool_and("main").alias("main"))
+    styles = distinct.select("host", F.explode("shown").alias("l")).select("host", "l.*").groupBy("host", "node", "signature").agg(F.count("*").alias("n_style"))
     totals = styles.groupBy("host", "node").agg(F.sum("n_style").alias("n_all"))
     presentation = styles.join(totals, ["host", "node"]).groupBy("host", "node", "n_all").agg(F.sum(entropy("n_style", "n_all")).alias("entropy"), F.count("*").alias("n_styles"))
     presentation = presentation.select("host", "node", F.when(F.col("n_all") > 1, F.col("entropy")).otherwise(1.0).alias("presentation"), "n_styles")
     weight = F.pow(F.lit(params.damping), F.coalesce("n_styles", F.lit(1)).cast("double"))
     mixed = (1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * F.col("content")
-    return content.join(presentation, ["host", "node"], "left").select("host", "node", "n_pages", mixed.alias("importance"))
+    return content.join(presentation, ["host", "node"], "left").select("host", "node", "n_pages", F.when(F.col("main"), (1 - params.prior) * mixed + params.prior).otherwise(mixed).alias("importance"))
+
+
+def numbered(pages: DataFrame, params: StyleTreeParams) -> DataFrame:
+    return parsed(pages, params).withColumn("row_id", F.monotonically_increasing_id())
 
 
 def main_text(spark: SparkSession, pages: DataFrame, params: StyleTreeParams = StyleTreeParams()) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     scratch = Scratch(spark, "pages")
-    read = scratch.keep(parsed(pages, params).withColumn("row_id", F.monotonically_increasing_id()), "parsed")
+    read = scratch.keep(numbered(pages, params), "parsed")
     low = style_tree(read, params).where((F.col("importance") < params.least_importance) & (F.col("n_pages") >= params.least_pages)).select("host", "node")
     low = scratch.keep(low, "low")
-    placed = scratch.again(read).where("not marked").select("row_id", "host", F.posexplode("blocks").alias("place", "b")).select("row_id", "host", "place", F.explode(prefixes(F.col("b.path"))).alias("node"))
-    removed = placed.join(low, ["host", "node"]).groupBy("row_id").agg(F.collect_set("place").alias("removed"))
-    removed = scratch.keep(removed, "removed")
-    kept = F.filter("blocks", lambda b, i: ~F.array_contains(F.coalesce("removed", F.array().cast("array<int>")), i))
+    placed = scratch.again(read).select("row_id", "host", F.explode(F.array_distinct(F.transform("told", lambda t: t["node"]))).alias("node"))
+    pruned = scratch.keep(placed.join(low, ["host", "node"]).groupBy("row_id").agg(F.collect_set("node").alias("pruned")), "pruned")
+    goes = lambda b: F.exists("pruned", lambda node: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(node, F.lit("/"))))
+    kept = F.when(F.col("pruned").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~goes(b)))
     kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return read.join(removed, "row_id", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return read.select("row_id", "page_id", "url", "blocks").join(pruned, "row_id", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import Scratch
-from folioscope.llm.html_extract import StyleTreeParams, main_text, parse_page, style_tree, parsed
+from folioscope.llm.html_extract import main_text, numbered, parse_page, style_tree, StyleTreeParams
 from folioscope.llm.topk_search import TopKParams, topk_search
 from folioscope.llm.warc import WarcParams, read_warc, write_warc
 
@@ -87,6 +87,43 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert got[100].text == "Our site, your site\n\nwords of page 0\n\nAll rights of all"  # a host with one page tells nothing
     assert got[101].text == "" and got[101].n_chars == 0
     assert got[102].text == "T & x\n\none two three\n\nfour 5\n\ni\n\nj"
-    tree = {(r.host, r.node): r.importance for r in style_tree(parsed(pages, StyleTreeParams()), StyleTreeParams()).collect()}
+    tree = {(r.host, r.node): r.importance for r in style_tree(numbered(pages, StyleTreeParams()), StyleTreeParams()).collect()}
     assert tree["h.example", "/html/body/div.top/p"] < 0.1 < 0.8 < tree["h.example", "/html/body/div.c/p"]
     assert main_text(spark, pages.limit(0)).count() == 0
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_style_tree_prunes_inside_articles(spark):
+    page = lambda n: f"<body><article><h1>title {n}</h1><p>story {n}</p><div class='box'><p>Read us daily</p></div><p>end of {n}</p></article><div class='x'>by the way {n}</div></body>"
+    copies = [(100 + n, "http://copies.example/", f"<body><article><p>one story</p><p>its end</p></article><div class='ad'>{n}</div></body>") for n in range(9)]
+    got = extracted(spark, [(n, "http://h.example/", page(n)) for n in range(9)] + copies)
+    assert all(got[n] == f"title {n}\n\nstory {n}\n\nend of {n}" for n in range(9))
+    assert all(got[100 + n] == "one story\n\nits end" for n in range(9))  # copies of an article keep it
+
+
+def test_marks_are_a_prior_only(spark):
+    long = "<p>" + "a long story " * 20 + "</p>"
+    rows = [
+        (1, "http://a/", f"<body><article><p>teaser</p></article><div class='story'>{long}</div></body>"),
+        (2, "http://b/", "<body><div class='content no-sidebar'><p>Hello</p></div></body>"),
+        (3, "http://c/", f"<body><form id='f'><nav>menu</nav><h1>T</h1>{long}<div class='ad'>buy</div></form></body>"),
+        (4, "http://d/", "<body><article><p>story</p><form><p>your name</p></form><section class='comments'><article><p>me too</p></article></section></article></body>"),
+        (5, "http://e/", "<body><nav>a</nav><form>find</form><footer>b</footer></body>"),
+        (6, "http://f/", "<div>" * 5000 + "deep" + "<div class='q'>" * 300 + "deeper"),
+    ]
+    got = extracted(spark, rows + [(7, *rows[0][1:]), (8, *rows[0][1:])])
+    story = " ".join(["a long story"] * 20)
+    assert got[1] == got[7] == got[8] == f"teaser\n\n{story}" and got[2] == "Hello" and got[3] == f"T\n\n{story}"
+    assert got[4] == "story" and got[5] == "" and got[6] == "deep\n\ndeeper"
+
+
+def test_pages_repeat_are_long_and_have_other_columns(spark):
+    long = "<body><article>" + "".join(f"<p>line {i} of the text</p>" for i in range(20_000)) + "</article></body>"
+    pages = spark.createDataFrame([(1, "u", long), (1, "u", long), (None, None, "<p>x</p>")], "page_id long, url string, html string")
+    pages = pages.selectExpr("*", "1 as host", "2 as blocks", "3 as row_id", "4 as told", "5 as text", "6 as pruned")
+    got = sorted((r.page_id or 0, r.n_chars) for r in main_text(spark, pages).collect())
+    whole = len("\n\n".join(f"line {i} of the text" for i in range(20_000)))
+    assert got == [(0, 1), (1, whole), (1, whole)]
