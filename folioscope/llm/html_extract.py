@@ -191,14 +191,15 @@ PARSED = pa.schema(
         ("url", pa.string()),
         ("host", pa.string()),
         ("content_hash", pa.int64()),
-        ("blocks", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))),
-        ("told", pa.list_(pa.struct([("node", pa.string()), ("text_hash", pa.int64()), ("main", pa.bool_())]))),
+        ("blocks", pa.list_(pa.struct([("path", pa.string()), ("text_hash", pa.int64()), ("main", pa.bool_())]))),
+        ("texts", pa.list_(pa.string())),
+        ("nodes", pa.list_(pa.string())),
         ("shown", pa.list_(pa.struct([("node", pa.string()), ("signature", pa.int64())]))),
     ]
 )
 PARSED_DDL = (
-    "page_id long, url string, host string, content_hash long, blocks array<struct<path:string,text:string>>, "
-    "told array<struct<node:string,text_hash:long,main:boolean>>, shown array<struct<node:string,signature:long>>"
+    "page_id long, url string, host string, content_hash long, blocks array<struct<path:string,text_hash:long,main:boolean>>, "
+    "texts array<string>, nodes array<string>, shown array<struct<node:string,signature:long>>"
 )
 
 
@@ -237,13 +238,12 @@ def parsed(pages: DataFrame, params: StyleTreeParams) -> DataFrame:
         for page_id, url, text in rows_of(batches, "page_id", "url", "html", at_once=100):
             blocks, layouts = parse_page(text or "", params)
             blocks = own_blocks(blocks, params)
-            told = {(node, text_hash(t)): main for p, t, main in blocks for node in above(p)}
-            told = [{"node": node, "text_hash": h, "main": main} for (node, h), main in told.items()]
-            nodes = {t["node"] for t in told}
+            nodes = {node for path in {b[0] for b in blocks} for node in above(path)}
             shown = [{"node": node, "signature": s} for node, s in sorted(set(layouts)) if node in nodes]
-            content = text_hash("\n\n".join(t for _, t, _ in blocks))
-            rows = [{"path": p, "text": t} for p, t, _ in blocks]
-            if full := gathered.add((page_id, url, host_of(url), content, rows, told, shown), 2 * len(text or "") + 100 * len(told) + 200):
+            texts = [t for _, t, _ in blocks]
+            rows = [{"path": p, "text_hash": text_hash(t), "main": main} for p, t, main in blocks]
+            row = page_id, url, host_of(url), text_hash("\n\n".join(texts)), rows, texts, sorted(nodes), shown
+            if full := gathered.add(row, 2 * len(text or "") + sum(map(len, nodes)) + 200):
                 yield full
         if last := gathered.flush():
             yield last
@@ -257,27 +257,40 @@ def entropy(count: str, n: str):
     return F.when(F.col(n) > 1, -share * F.log(share) / F.log(F.col(n).cast("double"))).otherwise(0.0)
 
 
+def contents(pages: DataFrame) -> DataFrame:
+    """Blocks, nodes and layouts of one page of each content of a host."""
+    told = F.min_by(F.struct("blocks", "nodes", "shown"), "row_id").alias("told")
+    return pages.groupBy("host", "content_hash").agg(told).select("host", "told.*")
+
+
+def prefixes(path):
+    """A style path and those of all elements above it."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+
+
 def style_tree(pages: DataFrame, params: StyleTreeParams) -> DataFrame:
-    """(host, node, n_pages, importance) of every style path of every host, over pages with different contents.
+    """(host, node, n_pages, importance) of every style path of every host, from ``contents``.
 
     Presentation: entropy of the node's child layouts over its pages, 1 where only one page has it.
-    Content: 1 - mean over the texts below it of log(pages with the text) / log(pages of the node).
+    Content: 1 - mean over the texts below it of log(pages with the text there) / log(pages of the node).
     Inside ``article`` or ``main`` the mixture is raised by the prior.
     """
-    first = pages.groupBy("host", "content_hash").agg(F.min("row_id").alias("row_id")).select("row_id")
-    distinct = pages.select("row_id", "host", "told", "shown").join(first, "row_id", "left_semi")
-    below = distinct.select("host", F.explode("told").alias("t")).select("host", "t.*")
-    nodes = distinct.select("host", F.explode(F.array_distinct(F.transform("told", lambda t: t["node"]))).alias("node")).groupBy("host", "node").agg(F.count("*").alias("n_pages"))
-    texts = below.groupBy("host", "node", "text_hash").agg(F.count("*").alias("n_found"), F.bool_and("main").alias("main"))
-    told = F.when(F.col("n_pages") > 1, F.log("n_found") / F.log(F.col("n_pages").cast("double"))).otherwise(0.0)
-    content = texts.join(nodes, ["host", "node"]).groupBy("host", "node", "n_pages").agg((1 - F.avg(told)).alias("content"), F.bool_and("main").alias("main"))
-    styles = distinct.select("host", F.explode("shown").alias("l")).select("host", "l.*").groupBy("host", "node", "signature").agg(F.count("*").alias("n_style"))
+    nodes = pages.select("host", F.explode("nodes").alias("node")).groupBy("host", "node").agg(F.count("*").alias("n_pages"))
+    texts = pages.select("host", F.explode(F.array_distinct("blocks")).alias("b")).select("host", "b.*").groupBy("host", "path", "text_hash").agg(F.count("*").alias("n_found"), F.bool_and("main").alias("main"))
+    # sums of each path first: they are few, whatever the pages, and go up the tree
+    paths = texts.groupBy("host", "path").agg(F.sum(F.log("n_found")).alias("known"), F.count("*").alias("n_texts"), F.bool_and("main").alias("main"))
+    below = paths.withColumn("node", F.explode(prefixes(F.col("path")))).groupBy("host", "node").agg(F.sum("known").alias("known"), F.sum("n_texts").alias("n_texts"), F.bool_and("main").alias("main"))
+    told = F.when(F.col("n_pages") > 1, F.col("known") / F.col("n_texts") / F.log(F.col("n_pages").cast("double"))).otherwise(0.0)
+    content = below.join(nodes, ["host", "node"]).select("host", "node", "n_pages", "main", (1 - told).alias("content"))
+    styles = pages.select("host", F.explode("shown").alias("l")).select("host", "l.*").groupBy("host", "node", "signature").agg(F.count("*").alias("n_style"))
     totals = styles.groupBy("host", "node").agg(F.sum("n_style").alias("n_all"))
     presentation = styles.join(totals, ["host", "node"]).groupBy("host", "node", "n_all").agg(F.sum(entropy("n_style", "n_all")).alias("entropy"), F.count("*").alias("n_styles"))
     presentation = presentation.select("host", "node", F.when(F.col("n_all") > 1, F.col("entropy")).otherwise(1.0).alias("presentation"), "n_styles")
     weight = F.pow(F.lit(params.damping), F.coalesce("n_styles", F.lit(1)).cast("double"))
     mixed = (1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * F.col("content")
-    return content.join(presentation, ["host", "node"], "left").select("host", "node", "n_pages", F.when(F.col("main"), (1 - params.prior) * mixed + params.prior).otherwise(mixed).alias("importance"))
+    raised = F.when(F.col("main"), (1 - params.prior) * mixed + params.prior).otherwise(mixed)
+    return content.join(presentation, ["host", "node"], "left").select("host", "node", "n_pages", raised.alias("importance"))
 
 
 def numbered(pages: DataFrame, params: StyleTreeParams) -> DataFrame:
@@ -288,12 +301,16 @@ def main_text(spark: SparkSession, pages: DataFrame, params: StyleTreeParams = S
     """page_id, url, text and n_chars (code points) of every page."""
     scratch = Scratch(spark, "pages")
     read = scratch.keep(numbered(pages, params), "parsed")
-    low = style_tree(read, params).where((F.col("importance") < params.least_importance) & (F.col("n_pages") >= params.least_pages)).select("host", "node")
+    distinct = scratch.keep(contents(read), "contents")
+    low = style_tree(distinct, params).where((F.col("importance") < params.least_importance) & (F.col("n_pages") >= params.least_pages)).select("host", "node")
     low = scratch.keep(low, "low")
-    placed = scratch.again(read).select("row_id", "host", F.explode(F.array_distinct(F.transform("told", lambda t: t["node"]))).alias("node"))
+    scratch.drop(distinct)
+    scratch.free_shuffles()
+    placed = scratch.again(read).select("row_id", "host", F.explode("nodes").alias("node"))
     pruned = scratch.keep(placed.join(low, ["host", "node"]).groupBy("row_id").agg(F.collect_set("node").alias("pruned")), "pruned")
-    goes = lambda b: F.exists("pruned", lambda node: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(node, F.lit("/"))))
-    kept = F.when(F.col("pruned").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~goes(b)))
-    kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return read.select("row_id", "page_id", "url", "blocks").join(pruned, "row_id", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    scratch.free_shuffles()
+    goes = lambda path: F.exists("pruned", lambda node: F.startswith(F.concat(path, F.lit("/")), F.concat(node, F.lit("/"))))
+    kept = F.filter("texts", lambda _, i: ~goes(F.col("blocks")[i]["path"]))
+    kept = F.when(F.col("pruned").isNull() | (F.size(kept) == 0), F.col("texts")).otherwise(kept)
+    read = read.select("row_id", "page_id", "url", "blocks", "texts")
+    return read.join(pruned, "row_id", "left").select("page_id", "url", F.array_join(kept, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import Scratch
-from folioscope.llm.html_extract import main_text, numbered, parse_page, style_tree, StyleTreeParams
+from folioscope.llm.html_extract import contents, main_text, numbered, parse_page, style_tree, StyleTreeParams
 from folioscope.llm.topk_search import TopKParams, topk_search
 from folioscope.llm.warc import WarcParams, read_warc, write_warc
 
@@ -87,7 +87,7 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert got[100].text == "Our site, your site\n\nwords of page 0\n\nAll rights of all"  # a host with one page tells nothing
     assert got[101].text == "" and got[101].n_chars == 0
     assert got[102].text == "T & x\n\none two three\n\nfour 5\n\ni\n\nj"
-    tree = {(r.host, r.node): r.importance for r in style_tree(numbered(pages, StyleTreeParams()), StyleTreeParams()).collect()}
+    tree = {(r.host, r.node): r.importance for r in style_tree(contents(numbered(pages, StyleTreeParams())), StyleTreeParams()).collect()}
     assert tree["h.example", "/html/body/div.top/p"] < 0.1 < 0.8 < tree["h.example", "/html/body/div.c/p"]
     assert main_text(spark, pages.limit(0)).count() == 0
 
