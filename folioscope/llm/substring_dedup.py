@@ -4,10 +4,11 @@ A window is 50 consecutive words. Of all windows of a document the index keeps t
 ones: every window's least hash of 10 consecutive words, about one in 21 positions. Two equal
 windows have the same least hash, so no repeat escapes, whatever its place.
 
-``FingerprintLog.ingest`` takes a batch: its fingerprints become a sorted immutable run on the
-shared folder and are merge-joined with the historical runs. What they share with other documents
+``FingerprintLog.ingest`` takes a batch: its fingerprints are merge-joined with the historical runs and
+become a sorted immutable run on the shared folder themselves. What they share with other documents
 only nominates windows; those are verified by two independent hashes over all 50 words (64 and 32
-bits, from different word hashes). Runs are compacted into one when there are too many of them.
+bits, from different word hashes). Runs are compacted into one when there are too many of them. The
+query ingests its table in two ranges of doc_id, so the second meets the run of the first.
 
 Skew: fingerprints and windows are grouped with partial aggregation (minimum and maximum doc_id);
 the joins back are sort-merge joins of which Spark splits the skewed side. No list of a passage's
@@ -22,6 +23,7 @@ words stay. Other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -248,26 +250,45 @@ def judged_rows(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
 class FingerprintLog:
     """The index: sorted runs of (fp, doc_id) on the shared folder, compacted when too many.
 
+    With a ``path`` the runs stay there, and a log opened at the same path, in this session or another,
+    goes on from them. A run counts once Spark has committed its folder. Compaction writes the merged run
+    before it deletes its parts; a crash between leaves pairs twice, which changes no minimum or maximum.
+
     Batches should come in doc_id order, as a verdict is final: a document that comes later with a
     smaller id does not take back what an earlier batch decided.
     """
 
-    def __init__(self, spark: SparkSession, params: SubstringParams = SubstringParams()):
+    def __init__(self, spark: SparkSession, params: SubstringParams = SubstringParams(), path: str | None = None):
         self.spark, self.params = spark, params
         self.scratch = Scratch(spark, "substring")
-        self.runs: list[DataFrame] = []
-
-    def run_of(self, pairs: DataFrame) -> DataFrame:
-        n = shuffle_partitions(self.spark)
-        return self.scratch.keep(pairs.repartition(n, "fp").sortWithinPartitions("fp", "doc_id"), "run")
+        self.root = path.rstrip("/") if path else self.scratch.path("log")
+        self.runs: list[str] = self.committed()
+
+    def committed(self) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        found = [f.getPath() for f in files.listStatus(root)]
+        return sorted(f.toString() for f in found if files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+    def pairs(self) -> DataFrame:
+        """What the runs hold."""
+        return self.spark.read.schema("fp long, doc_id long").parquet(*self.runs)
+
+    def add_run(self, pairs: DataFrame) -> str:
+        """Writes a sorted run: range-dealt, so a fingerprint that many documents hold is split over tasks."""
+        to = f"{self.root}/run-{uuid.uuid4().hex}"
+        ordered = pairs.repartitionByRange(shuffle_partitions(self.spark), "fp", "doc_id").sortWithinPartitions("fp", "doc_id")
+        ordered.write.option("compression", "zstd").parquet(to)
+        return to
 
     def compact(self) -> None:
         if len(self.runs) > self.params.max_runs:
-            merged = self.runs[0]
-            for run in self.runs[1:]:
-                merged = merged.unionByName(run)
-            merged = self.run_of(merged.distinct())
-            self.scratch.drop(*self.runs)
+            merged = self.add_run(self.pairs().distinct())
+            for run in self.runs:
+                self.scratch.delete(run)
             self.runs = [merged]
 
     def ingest(self, batch: DataFrame, history: DataFrame | None = None, with_text: bool = False) -> DataFrame:
@@ -278,10 +299,15 @@ class FingerprintLog:
         plain = lambda df: df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         mine = plain(batch)
         fresh = self.scratch.keep(fingerprints(mine, self.params), "fresh")
-        every = fresh.withColumn("in_batch", F.lit(True))
-        for run in self.runs:
-            every = every.unionByName(run.withColumn("in_batch", F.lit(False)))
-        spread = every.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bool_or("in_batch").alias("new")).where("low < high and new")
+        ends = F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+        spread = fresh.groupBy("fp").agg(*ends)
+        every = fresh
+        if self.runs:
+            # of the history only fingerprints that the batch has matter
+            met = self.scratch.keep(self.pairs().join(spread.select("fp"), "fp", "left_semi"), "met")
+            spread = spread.unionByName(met.groupBy("fp").agg(*ends)).groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+            every = fresh.unionByName(self.scratch.again(met))
+        spread = spread.where("low < high")
         spread = self.scratch.keep(spread, "spread")  # a table of its own, so Spark can split a hot fingerprint
         lists = (
             every.join(spread, "fp")
@@ -305,9 +331,10 @@ class FingerprintLog:
         losing = nominated.where("text is not null").dropDuplicates(["doc_id", "row_id"]).join(places, ["doc_id", "row_id"])
         cut = self.scratch.keep(judged_rows(losing, self.params.window, with_text), "cut")
         self.scratch.drop(nominated, first, spread)
-        self.runs.append(self.run_of(fresh))
+        self.runs.append(self.add_run(fresh))
         self.scratch.drop(fresh)
         self.compact()
+        self.scratch.free_shuffles()
         whole = judged_rows(mine.withColumn("row_id", F.xxhash64("text")).withColumn("places", F.lit(None).cast("array<int>")), self.params.window, with_text)
         mended = cut.select("doc_id", "row_id", *(F.col(c).alias(f"cut_{c}") for c in ("n_removed", "kept_sha256", "kept_text")))
         return whole.join(mended, ["doc_id", "row_id"], "left").select(
@@ -320,7 +347,7 @@ class FingerprintLog:
         )
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int = 1, params: SubstringParams = SubstringParams(), with_text: bool = False) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int = 2, params: SubstringParams = SubstringParams(), with_text: bool = False) -> DataFrame:
     """Ingests ``docs`` in ``batches`` ranges of doc_id and returns a row per row of ``docs``."""
     log = FingerprintLog(spark, params)
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or [])) if batches > 1 else []

@@ -40,7 +40,7 @@ def repeats(n):
     return [*rows, (n, None), (n + 1, "")]
 
 
-@pytest.mark.parametrize("batches", [1, 4])
+@pytest.mark.parametrize("batches", [1, 2, 4])
 def test_substrings_match_brute_force(spark, batches):
     rows = repeats(60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -56,6 +56,27 @@ def test_runs_are_compacted(spark):
     assert len(log.runs) == 1
 
 
+def test_a_log_is_reopened(spark, tmp_path):
+    rows = repeats(20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"file://{tmp_path}/log"
+    first = FingerprintLog(spark, path=path).ingest(docs.where("doc_id < 10"), with_text=True).collect()
+    again = FingerprintLog(spark, path=path)
+    assert len(again.runs) == 1
+    out = first + again.ingest(docs.where("doc_id >= 10"), docs.where("doc_id < 10"), with_text=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == kept_by_brute_force(rows)
+
+
+def test_substrings_of_odd_rows(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, passage), (1, passage), (1, passage), (None, passage), (None, None), (3, passage + " end"), (4, "x " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.selectExpr("*", "1 as fp", "2 as row_id", "3 as low", "4 as places", "true as in_batch")
+    out = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup(spark, docs).collect()))
+    assert out == [(0, 0, 0), (0, 60, 0), (1, 60, 0), (1, 60, 0), (2, 60, 60), (3, 61, 60), (4, 200_000, 0)]
+    assert substring_dedup(spark, docs.limit(0)).count() == 0
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
