@@ -5,7 +5,9 @@ into a table of embeddings. A text is the mean of its subwords' embeddings; a li
 it gives the languages. Both layers are trained by stochastic gradient descent in numpy on a bounded
 sample: the ``per_language`` labelled rows with the least id hash of each language, cut into short
 and long segments. A share of the sample is held back to fit a temperature, so that scores are
-calibrated, and to set the rejection threshold.
+calibrated, and to set the two bounds of rejection: a least probability, and a least familiarity. The
+latter is for text unlike all that was learned, of which a softmax may be sure all the same: the share of
+a text's subwords of three characters and more that training has met, which may be lower in a short text.
 
 Prediction is one pass without a shuffle over whole texts: embeddings and softmax fold into one row
 of numbers per hash cell, a task scores each distinct word once and sums words. The model is a fixed
@@ -46,7 +48,8 @@ class LangIdParams:
     batch: int = 64
     rate: float = 4.0
     calibration: float = 0.2  # share of the sample that sets temperature and threshold
-    most_rejected: float = 0.001  # share of correctly labelled segments that the threshold may lose
+    most_rejected: float = 0.0003  # share of correctly labelled segments that each bound of rejection may lose
+    telling: int = 3  # characters of the shortest subword that counts for familiarity
     seed: int = 7
     remember: int = 300_000  # words a worker remembers
 
@@ -60,6 +63,63 @@ def subwords(word: str, params: LangIdParams) -> list[int]:
     return [zlib.crc32(s.encode()) % params.cells for s in (*found, marked)]
 
 
+def telling_subwords(word: str, params: LangIdParams) -> list[int]:
+    """The cells, in a table of their own size, of the subwords that tell familiar text from other."""
+    marked = f"<{word}>"
+    found = [marked[i : i + n] for n in range(params.telling, params.longest + 1) for i in range(len(marked) - n + 1)]
+    return [zlib.crc32(s.encode()) % SEEN_CELLS for s in (*found, marked)] if any(map(str.isalpha, word)) else []
+
+
+#: Cells of the table of subwords met in training, a byte each.
+SEEN_CELLS = 1 << 21
+
+
+@dataclass
+class Familiarity:
+    """What text of the learned languages is like: mean share of met subwords, its spread by word and by text, and the deviation allowed."""
+
+    seen: np.ndarray
+    mean: float = 0.0
+    by_word: float = 0.0
+    by_text: float = 0.0
+    allowed: float = 0.0
+
+    def spread(self, words: int) -> float:
+        return max(1e-9, self.by_word / words**0.5 + self.by_text)
+
+    def least(self, words: int) -> float:
+        """The least mean share of a text of so many different words: a word's repetitions tell nothing more."""
+        return self.mean - self.allowed * self.spread(words) - 1e-9
+
+
+def familiarity(sample: list[tuple[str, str]], held_back: np.ndarray, params: LangIdParams) -> Familiarity:
+    """Subwords are learned from the rows that are not held back; the bound is set by those that are, whole and in pieces."""
+    known = {w for (text, _), back in zip(sample, held_back, strict=True) if not back for w in WORD.findall(text.lower())}
+    seen = np.zeros(SEEN_CELLS, np.bool_)
+    for word in known:
+        seen[telling_subwords(word, params)] = True
+    out = Familiarity(seen)
+    cached: dict[str, float] = {}
+    texts = []
+    for (text, _), back in zip(sample, held_back, strict=True):
+        if back:
+            words = [w for w in WORD.findall(text.lower()) if any(map(str.isalpha, w))]
+            for w in {w for w in words if w not in cached}:
+                cached[w] = float(seen[telling_subwords(w, params)].mean())
+            if words:
+                texts.append(words)
+    if not texts:
+        return out
+    share = lambda words: float(np.mean([cached[w] for w in words]))
+    means = np.array([share(t) for t in texts])
+    out.mean, out.by_text = float(means.mean()), float(means.std())
+    out.by_word = float(np.std([cached[w] for t in texts for w in t]))
+    parts = [t[i : i + n] for t in texts for n in (2, 8, 40, len(t)) for i in range(0, len(t), n)]
+    deviation = [(out.mean - share(p)) / out.spread(len(set(p))) for p in parts]
+    out.allowed = max(0.0, float(np.quantile(deviation, 1 - params.most_rejected, method="higher")))
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -67,6 +127,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiar: Familiarity
 
 
 def is_held_out(doc_id="doc_id"):
@@ -126,7 +187,8 @@ def train(sample: list[tuple[str, str]], params: LangIdParams) -> Model:
     weights, bias = rng.normal(0, 0.1, (params.width, k)), np.zeros(k)
     number = {lang: i for i, lang in enumerate(languages)}
     y = np.array([number[lang] for lang in langs], np.int64)
-    back = owner % max(2, round(1 / params.calibration)) == 0
+    every = max(2, round(1 / params.calibration))
+    back = owner % every == 0
     learn = np.flatnonzero(~back)
 
     def forward(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +222,7 @@ def train(sample: list[tuple[str, str]], params: LangIdParams) -> Model:
         right = p.max(axis=1)[p.argmax(axis=1) == y[kept]]
         if len(right):
             threshold = float(np.quantile(right, params.most_rejected))
-    return Model(languages, embed @ weights, bias, temperature, threshold)
+    return Model(languages, embed @ weights, bias, temperature, threshold, familiarity(sample, np.arange(len(sample)) % every == 0, params))
 
 
 def identify(spark: SparkSession, docs: DataFrame, params: LangIdParams = LangIdParams(), model: Model | None = None) -> DataFrame:
@@ -172,7 +234,7 @@ def identify(spark: SparkSession, docs: DataFrame, params: LangIdParams = LangId
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, params: LangIdParams = LangIdParams(), carry: tuple[str, ...] = (), names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
     """Predictions per row under ``names``; ``carry`` names columns of ``docs`` to keep beside them."""
-    sent = spark.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.threshold))
+    sent = spark.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.threshold, model.familiar))
     cell = per_worker(spark)
     others = [F.col(f"`{c}`") for c in carry if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
@@ -183,11 +245,11 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, params: LangIdPa
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, table, bias, temperature, threshold = sent.value
+        languages, table, bias, temperature, threshold, familiar = sent.value
         k = len(languages)
-        held = made_once(cell, lambda: {"number": {}, "scores": np.zeros((1024, k + 1))})
+        held = made_once(cell, lambda: {"number": {}, "scores": np.zeros((1024, k + 3))})  # of a word: languages, subwords, share of those met, 1
         for batch in batches:
-            langs, values = [], []
+            langs, values, accepted = [], [], []
             if len(held["number"]) > params.remember:
                 held["number"] = {}
             number, scores = held["number"], held["scores"]
@@ -199,15 +261,17 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, params: LangIdPa
                         scores = held["scores"] = np.concatenate([scores, np.zeros_like(scores)])
                     cells = subwords(word, params)
                     scores[at, :k], scores[at, k] = table[cells].sum(axis=0), len(cells)
+                    scores[at, k + 1 :] = (familiar.seen[telling_subwords(word, params)].mean(), 1) if cells else (0, 0)
                 total = scores[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].sum(axis=0)
                 if total[k] == 0:
                     langs.append(UNDETERMINED)
                     values.append(0.0)
+                    accepted.append(False)
                     continue
                 p = softmax((total[None, :k] / total[k] + bias) / temperature)[0]
                 langs.append(languages[int(p.argmax())])
                 values.append(float(p.max()))
-            accepted = [lang != UNDETERMINED and v >= threshold for lang, v in zip(langs, values, strict=True)]
+                accepted.append(bool(values[-1] >= threshold and total[k + 1] / total[k + 2] >= familiar.least(len(set(words)))))
             carried = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.record_batch([*carried, pa.array(langs, pa.string()), pa.array(values, pa.float64()), pa.array(accepted, pa.bool_())], names=[*kept, *names])
 

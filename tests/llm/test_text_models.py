@@ -45,6 +45,20 @@ def test_the_sample_is_bounded_by_rows(spark):
     assert [r.lang_pred for r in identify(spark, long).where("doc_id = 9999").collect()] == ["en"] * 2
 
 
+def test_text_of_no_learned_language_is_rejected(spark):
+    other = "zak bul mip vog xyl kro".split()
+    random.seed(9)
+    strange = [" ".join("".join(random.choices(other, k=random.randint(1, 3))) for _ in range(n)) for n in (3, 10, 80, 400)]
+    strange += ["".join(random.choices("qwxzkjvb ", k=500)), "привет мир как дела сегодня", "這是 一個 測試 文件"]
+    for learned in (["en"], ["en", "de"], list(SYLLABLES)):
+        rows = [r for r in labelled() if r[2] in learned]
+        docs = spark.createDataFrame(rows + [(2000 + n, text, None) for n, text in enumerate(strange)], "doc_id long, text string, lang string")
+        out = identify(spark, docs).collect()
+        assert not any(r.accepted for r in out if r.doc_id >= 2000)
+        known = [r for r in out if r.doc_id < 2000]
+        assert sum(r.accepted for r in known) >= 0.98 * len(known)
+
+
 def test_predictions_do_not_see_labels(spark):
     rows = labelled(300)
     model = train([(t, lang) for _, t, lang in rows], LangIdParams())
