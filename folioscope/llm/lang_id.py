@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -234,7 +234,8 @@ def identify(spark: SparkSession, docs: DataFrame, params: LangIdParams = LangId
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, params: LangIdParams = LangIdParams(), carry: tuple[str, ...] = (), names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
     """Predictions per row under ``names``; ``carry`` names columns of ``docs`` to keep beside them."""
-    sent = spark.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.threshold, model.familiar))
+    # arrays and numbers only: a broadcast names its classes, and workers need not have this package
+    sent = spark.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.threshold, astuple(model.familiar)))
     cell = per_worker(spark)
     others = [F.col(f"`{c}`") for c in carry if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
@@ -245,7 +246,8 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, params: LangIdPa
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, table, bias, temperature, threshold, familiar = sent.value
+        languages, table, bias, temperature, threshold, likeness = sent.value
+        familiar = Familiarity(*likeness)
         k = len(languages)
         held = made_once(cell, lambda: {"number": {}, "scores": np.zeros((1024, k + 3))})  # of a word: languages, subwords, share of those met, 1
         for batch in batches:
