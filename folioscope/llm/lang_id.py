@@ -54,20 +54,25 @@ class LangIdParams:
     remember: int = 300_000  # words a worker remembers
 
 
-def subwords(word: str, params: LangIdParams) -> list[int]:
-    """Hash cells of a lower-case word's subwords; none for a word without a letter."""
+def subword_codes(word: str, params: LangIdParams) -> tuple[list[int], list[int]]:
+    """Hashes of a lower-case word's subwords, those too short to tell familiar text and the others; none for a word without a letter."""
     if not any(map(str.isalpha, word)):
-        return []
+        return [], []
     marked = f"<{word}>"
-    found = [marked[i : i + n] for n in range(1, params.longest + 1) for i in range(n == 1, len(marked) - n + 1 - (n == 1))]
-    return [zlib.crc32(s.encode()) % params.cells for s in (*found, marked)]
+    short = [marked[i : i + n] for n in range(1, params.telling) for i in range(n == 1, len(marked) - n + 1 - (n == 1))]
+    long = [marked[i : i + n] for n in range(params.telling, params.longest + 1) for i in range(len(marked) - n + 1)]
+    return [zlib.crc32(s.encode()) for s in short], [zlib.crc32(s.encode()) for s in (*long, marked)]
+
+
+def subwords(word: str, params: LangIdParams) -> list[int]:
+    """Cells of a word's subwords in the table of embeddings."""
+    short, long = subword_codes(word, params)
+    return [code % params.cells for code in short + long]
 
 
 def telling_subwords(word: str, params: LangIdParams) -> list[int]:
-    """The cells, in a table of their own size, of the subwords that tell familiar text from other."""
-    marked = f"<{word}>"
-    found = [marked[i : i + n] for n in range(params.telling, params.longest + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(s.encode()) % SEEN_CELLS for s in (*found, marked)] if any(map(str.isalpha, word)) else []
+    """Cells, in the table of subwords met, of those that tell familiar text from other."""
+    return [code % SEEN_CELLS for code in subword_codes(word, params)[1]]
 
 
 #: Cells of the table of subwords met in training, a byte each.
@@ -257,13 +262,14 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, params: LangIdPa
             number, scores = held["number"], held["scores"]
             for (text,) in rows_of(iter([batch]), "text", at_once=200):
                 words = WORD.findall((text or "").lower()) if k else []
-                for word in {w for w in words if w not in number}:
+                distinct = set(words)
+                for word in distinct.difference(number):
                     at = number[word] = len(number)
                     if at >= len(scores):
                         scores = held["scores"] = np.concatenate([scores, np.zeros_like(scores)])
-                    cells = subwords(word, params)
-                    scores[at, :k], scores[at, k] = table[cells].sum(axis=0), len(cells)
-                    scores[at, k + 1 :] = (familiar.seen[telling_subwords(word, params)].mean(), 1) if cells else (0, 0)
+                    short, long = subword_codes(word, params)
+                    scores[at, :k], scores[at, k] = table[[c % params.cells for c in short + long]].sum(axis=0), len(short) + len(long)
+                    scores[at, k + 1 :] = (familiar.seen[[c % SEEN_CELLS for c in long]].mean(), 1) if long else (0, 0)
                 total = scores[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].sum(axis=0)
                 if total[k] == 0:
                     langs.append(UNDETERMINED)
@@ -273,7 +279,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, params: LangIdPa
                 p = softmax((total[None, :k] / total[k] + bias) / temperature)[0]
                 langs.append(languages[int(p.argmax())])
                 values.append(float(p.max()))
-                accepted.append(bool(values[-1] >= threshold and total[k + 1] / total[k + 2] >= familiar.least(len(set(words)))))
+                accepted.append(bool(values[-1] >= threshold and total[k + 1] / total[k + 2] >= familiar.least(len(distinct))))
             carried = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.record_batch([*carried, pa.array(langs, pa.string()), pa.array(values, pa.float64()), pa.array(accepted, pa.bool_())], names=[*kept, *names])
 
