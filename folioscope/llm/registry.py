@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.bpe import BpeParams, round_trip
+from folioscope.llm.collocations import collocations
 from folioscope.llm.common import Scratch
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.html_extract import main_text
@@ -96,6 +97,31 @@ FROM g
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark, table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+led AS (SELECT lang, unnest(w) AS w1, unnest(list_append(w[2:], NULL)) AS w2, unnest(w[3:] || [NULL, NULL]) AS w3 FROM p WHERE len(w) > 0),
+windows AS MATERIALIZED (SELECT lang || ' ' || w1 AS k1, w2, w3, count(*) AS f FROM led WHERE w1 IS NOT NULL GROUP BY ALL),
+f1 AS MATERIALIZED (SELECT k1 AS k, sum(f) AS f FROM windows GROUP BY k1),
+f2 AS MATERIALIZED (SELECT k1 || ' ' || w2 AS k, sum(f) AS f FROM windows WHERE w2 IS NOT NULL GROUP BY ALL HAVING sum(f) >= 10),
+f3 AS MATERIALIZED (SELECT k1 || ' ' || w2 || ' ' || w3 AS k, f::HUGEINT AS f FROM windows WHERE w3 IS NOT NULL AND f >= 10),
+t AS (SELECT k, f, string_split(k, ' ') AS w FROM f2 UNION ALL SELECT k, f, string_split(k, ' ') FROM f3),
+c AS (SELECT *, w[1] AS lang, len(w) - 1 AS words, array_to_string(w[2:], ' ') AS phrase FROM t),
+sides AS (SELECT lang, phrase, f AS a, words, i AS cut, array_to_string(w[:i + 1], ' ') AS kl, lang || ' ' || array_to_string(w[i + 2:], ' ') AS kr FROM c, (VALUES (1), (2)) v(i) WHERE i < words),
+known AS MATERIALIZED (SELECT * FROM f1 UNION ALL SELECT * FROM f2),
+s AS (SELECT sides.*, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score FROM sides LEFT JOIN known x ON x.k = kl LEFT JOIN known y ON y.k = kr),
+one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, phrase, max(f) AS most FROM (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, f FROM c, (VALUES (2), (3)) v(i) WHERE words = 3) GROUP BY ALL),
+ranked AS (SELECT one.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM one LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
+n AS (SELECT split_part(k, ' ', 1) AS lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY ALL)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -108,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": op8_order_minhash,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_warc": op10_warc,
+        "op11_collocations": op11_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -117,5 +144,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": OP6_SQL,
         "op7_topk_search": OP7_SQL,
         "op10_warc": OP10_SQL,
+        "op11_collocations": OP11_SQL,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
