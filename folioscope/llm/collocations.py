@@ -5,8 +5,9 @@ piece, ``longest`` in all, as columns w1, w2, ... that are null past the end of
 occurs once for each window that it leads, so the count of every shorter phrase is a sum over the
 windows that begin with it. Spark's ROLLUP takes those sums level by level; no text is exploded
 into phrases of each length. Windows are counted within blocks of texts before they are shuffled,
-sorted by their words, and dealt by language and all words but the last; a frequent word or pair
-thus comes as one row a block and last word.
+and dealt by language and all words but the last; a frequent word or pair thus comes as one row a
+block and last word. Where they meet, phrases that are rare for certain are folded into their
+prefixes, which changes no sum that matters and leaves the ROLLUP few rows.
 
 Scores are exact: products are 38-digit decimals, which hold while a phrase occurs less than 10^15
 times.
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,21 +99,84 @@ def window_counter(params: CollocationParams) -> Callable[[Iterator[pa.RecordBat
     return count
 
 
+def rare_folder(params: CollocationParams, held_rows: int = 200_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of counted windows sorted by ``near``, a hash of all words but the last, the sums; what is rare is folded into its prefix.
+
+    All windows of one ``near`` come together, so their sums are final: a phrase below ``least``
+    passes its count to its prefix, whose sum does not change by that. At most twice ``held_rows``
+    distinct windows are held. Of one ``near`` with more, partial sums go on as they are, unfolded.
+    """
+    longest, least = params.longest, params.least
+    led = [f"w{i + 1}" for i in range(longest)]
+
+    def summed(rows: pa.Table, keys: list[str], *sums: str) -> pa.Table:
+        out = rows.group_by(keys, use_threads=False).aggregate([(s, "sum") for s in sums])
+        return out.rename_columns([c.removesuffix("_sum") for c in out.column_names])
+
+    def shaped(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = [rows.column(c) if c in rows.column_names else pa.nulls(len(rows), pa.string()) for c in ("lang", *led)]
+        yield from pa.table([*columns, rows.column("times")], names=["lang", *led, "times"]).to_batches(max_chunksize=50_000)
+
+    def folded(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        level = summed(rows, ["lang", *led], "times")
+        level = level.append_column("sent", pa.array(np.zeros(len(level), np.int64)))
+        for n in range(longest, 0, -1):
+            stays = pc.greater_equal(level.column("times"), least) if n > 1 else pc.is_valid(level.column("w1"))
+            stays = pc.and_(stays, pc.is_valid(level.column(led[n - 1])))
+            rest = pc.subtract(level.column("times"), level.column("sent"))
+            out = level.select(["lang", *led[:n]]).append_column("times", rest)
+            yield from shaped(out.filter(pc.and_(stays, pc.greater(rest, 0))))
+            if n > 1:
+                level = level.set_column(level.column_names.index("sent"), "sent", pc.if_else(stays, level.column("times"), level.column("sent")))
+                level = summed(level, ["lang", *led[: n - 1]], "times", "sent")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, unfolded = 0, None  # the near of which rows went on already
+
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            near = rows.column("near").to_numpy()
+            cut = int(np.searchsorted(near, unfolded, side="right")) if unfolded is not None else 0
+            yield from shaped(rows.slice(0, cut))
+            yield from folded(rows.slice(cut))
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < held_rows:
+                continue
+            rows = pa.Table.from_batches(held)
+            near = rows.column("near").to_numpy()
+            cut = int(np.searchsorted(near, near[-1], side="left"))
+            if cut:
+                yield from done(rows.slice(0, cut))
+                rows = rows.slice(cut)
+            if len(rows) >= held_rows:  # a single near
+                rows = summed(rows, ["near", "lang", *led], "times").select(["near", "lang", *led, "times"])
+                if len(rows) >= held_rows:
+                    unfolded = near[-1]
+                    yield from shaped(rows)
+                    rows = rows.slice(0, 0)
+            held, n = rows.to_batches(), len(rows)
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return fold
+
+
 def phrase_counts(docs: DataFrame, params: CollocationParams, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, phrase, words, f) of all phrases that occur ``least`` times, and for each language words = 0 with the number of all its words."""
-    spark, led = docs.sparkSession, [f"w{i + 1}" for i in range(params.longest)]
+    led = [f"w{i + 1}" for i in range(params.longest)]
+    schema = f"lang string, {', '.join(f'{w} string' for w in led)}, times long"
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(params.unknown)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = texts.mapInArrow(window_counter(params), f"lang string, {', '.join(f'{w} string' for w in led)}, times long")
-    windows = counted.repartition("lang", *led[:-1]).groupBy("lang", *led).agg(F.sum("times").alias("f"))
-    whole = windows.where(F.col(led[-1]).isNotNull() & (F.col("f") >= params.least))
-    whole = whole.select("lang", F.concat_ws(" ", *led).alias("phrase"), F.lit(params.longest).alias("words"), "f")
-    shorter = ", ".join(led[:-1])
-    rolled = spark.sql(f"SELECT lang, {shorter}, grouping_id() AS level, sum(f) AS f FROM {{windows}} GROUP BY lang, ROLLUP({shorter})", windows=windows)
-    # of m rolled-up columns the last ones are null and grouping_id has a bit for each
-    words = F.lit(params.longest - 1) - F.bit_count("level")
-    last = F.coalesce(*(F.when(words == i + 1, F.col(w)) for i, w in enumerate(led[:-1])))
-    rolled = rolled.where((words == 0) | (last.isNotNull() & (F.col("f") >= params.least)))
-    return whole.unionByName(rolled.select("lang", F.concat_ws(" ", *led[:-1]).alias("phrase"), words.cast("int").alias("words"), "f"))
+    counted = texts.mapInArrow(window_counter(params), schema).select(F.xxhash64("lang", *led[:-1]).alias("near"), "*")
+    windows = counted.repartition("near").sortWithinPartitions("near").mapInArrow(rare_folder(params), schema)
+    words = ", ".join(led)
+    rolled = docs.sparkSession.sql(f"SELECT lang, {words}, grouping_id() AS level, sum(times) AS f FROM {{windows}} GROUP BY lang, ROLLUP({words})", windows=windows)
+    n = F.lit(params.longest) - F.bit_count("level")  # grouping_id has a bit for each column that is rolled up
+    last = F.coalesce(*(F.when(n == i + 1, F.col(w)) for i, w in enumerate(led)))
+    rolled = rolled.where((n == 0) | (last.isNotNull() & (F.col("f") >= params.least)))
+    return rolled.select("lang", F.concat_ws(" ", *led).alias("phrase"), n.cast("int").alias("words"), "f")
 
 
 def wide(name: str) -> Column:
