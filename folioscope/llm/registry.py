@@ -15,9 +15,11 @@ from folioscope.llm.common import Scratch
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.html_extract import main_text
 from folioscope.llm.lang_id import identify
+from folioscope.llm.mixing import mixed
 from folioscope.llm.order_minhash import near_classes
 from folioscope.llm.packing import PackingParams, best_fit_packing
 from folioscope.llm.pii import KINDS, pseudonymise
+from folioscope.llm.ranked_search import ranked_search
 from folioscope.llm.substring_dedup import substring_dedup
 from folioscope.llm.topk_search import topk_search
 from folioscope.llm.warc import read_warc, write_warc
@@ -122,6 +124,45 @@ SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(
 """
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+sizes AS (SELECT count(*) AS c, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+asked AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+words AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),
+postings AS (SELECT doc_id, term, n, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * c + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), sizes),
+parts AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * c) // total)) AS part FROM postings, sizes),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * part) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN parts USING (term) GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, 2 * source_size AS most FROM s),
+m AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS weight FROM p),
+f AS (SELECT *, 3 * sum(source_size) OVER () // 2 AS budget, sum(most) OVER w AS filled, sum(weight) OVER () - sum(weight) OVER w + weight AS others FROM m WINDOW w AS (ORDER BY most / weight, place)),
+g AS (SELECT *, most * others <= (budget - filled + most) * weight AS is_full FROM f),
+h AS (SELECT coalesce(sum(most) FILTER (WHERE is_full), 0) AS held, sum(weight) FILTER (WHERE NOT is_full) AS rest FROM g),
+t AS (SELECT source, place, source_size, budget, CASE WHEN is_full THEN CAST(most AS DOUBLE) ELSE CAST(weight * (budget - held) AS DOUBLE) / CAST(rest AS DOUBLE) END AS target FROM g, h),
+q AS (SELECT doc_id, size, turn, place, source_size, budget, target, sum(size) OVER (PARTITION BY place ORDER BY turn, doc_id) AS ended FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(ended + epoch * source_size AS DOUBLE) / target AS finish FROM q, (VALUES (0), (1)) e(epoch) WHERE size > 0),
+r AS (SELECT *, sum(size) OVER (ORDER BY finish, place, epoch, turn, doc_id) AS through FROM c),
+x AS (SELECT doc_id, sum(CASE WHEN through <= budget THEN size WHEN through - size < budget THEN budget - through + size ELSE 0 END) AS taken FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN x USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -135,6 +176,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_warc": op10_warc,
         "op11_collocations": op11_collocations,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_source_mixing": op13_source_mixing,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -145,5 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_topk_search": OP7_SQL,
         "op10_warc": OP10_SQL,
         "op11_collocations": OP11_SQL,
+        "op12_ranked_search": OP12_SQL,
+        "op13_source_mixing": OP13_SQL,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
