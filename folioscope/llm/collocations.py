@@ -49,7 +49,7 @@ class CollocationParams:
     unknown: str = "und"  # stands for a null language
     gaps: str = " \t"  # between words
     ends: str = ".,;:!?\n\x0b\x0c\r"  # between pieces
-    block_bytes: int = 16 << 20  # of text counted at a time
+    block_bytes: int = 8 << 20  # of text counted at a time
     bucket_bytes: int = 1 << 20  # of text whose windows make a bucket, about
     ranked_rows: int = 50_000  # candidates ranked in one task, about
     fan_in: int = 16  # ranked lists merged at a time
@@ -100,7 +100,7 @@ def window_counter(params: CollocationParams, buckets: int) -> Callable[[Iterato
                 words = words_of(data, bounds, is_word)
                 if not len(words.code):
                     continue
-                piece = np.cumsum(is_end[data], dtype=np.int64)[words.start]
+                piece = np.searchsorted(np.flatnonzero(is_end[data]), words.start)
                 joined = (piece[1:] == piece[:-1]) & (words.row[1:] == words.row[:-1])  # with the word before
                 led = [words.code + 1]  # 0 pads
                 for _ in range(1, longest):
