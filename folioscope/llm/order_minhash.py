@@ -36,7 +36,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -95,11 +94,16 @@ def least_places(values: np.ndarray, kept: int) -> np.ndarray:
     return np.sort(out, axis=1)
 
 
-@lru_cache
+#: Made once a task. A plain dict, as functools' caches pickle by name and workers may lack the package.
+families: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
 def hash_family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    masks = rng.integers(0, 2**63, count, np.uint64)
-    return masks, rng.integers(0, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+    if (count, seed) not in families:
+        rng = np.random.default_rng(seed)
+        masks = rng.integers(0, 2**63, count, np.uint64)
+        families[count, seed] = masks, rng.integers(0, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+    return families[count, seed]
 
 
 def sketches_of(hashes: np.ndarray, k: int, most: int, count: int, seed: int) -> np.ndarray:

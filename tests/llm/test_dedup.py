@@ -261,3 +261,19 @@ def test_near_classes_of_odd_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component long, band string")
     out = sorted(((r.doc_id or -1, r.class_id or -1, r.kept) for r in near_classes(spark, docs).collect()))
     assert out == [(-1, -1, True), (-1, -1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True)]
+
+
+def test_functions_of_near_dedup_load_without_the_package(tmp_path):
+    """Workers may lack the package: what is sent to them must hold it by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    import folioscope
+    from folioscope.llm import order_minhash as M
+
+    cloudpickle.register_pickle_by_value(folioscope)
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps([M.sketches_of, M.hash_family, M.text_sketches]))
+    code = "import sys, pickle; sys.path = [p for p in sys.path if 'repo' not in p]; f = pickle.load(open('sent', 'rb')); assert f[1](3, 1)[0].shape == (3,); assert 'folioscope' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin"}, check=True)
