@@ -49,7 +49,7 @@ class CollocationParams:
     unknown: str = "und"  # stands for a null language
     gaps: str = " \t"  # between words
     ends: str = ".,;:!?\n\x0b\x0c\r"  # between pieces
-    block_bytes: int = 8 << 20  # of text counted at a time
+    block_bytes: int = 4 << 20  # of text counted at a time
     bucket_bytes: int = 1 << 20  # of text whose windows make a bucket, about
     ranked_rows: int = 50_000  # candidates ranked in one task, about
     fan_in: int = 16  # ranked lists merged at a time
@@ -92,6 +92,7 @@ def window_counter(params: CollocationParams, buckets: int) -> Callable[[Iterato
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
+        pool = pa.default_memory_pool()
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             lang_code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -129,11 +130,13 @@ def window_counter(params: CollocationParams, buckets: int) -> Callable[[Iterato
                     where, which = np.divmod(group[begins[part]], len(names))
                     packed = [pack(flat[a:b]) for a, b in zip(offsets[begins[part]].tolist(), offsets[ends[part]].tolist(), strict=True)]
                     yield pa.record_batch([pa.array(where), langs.dictionary.take(pa.array(which)), pa.array(packed, pa.binary())], names=["bucket", "lang", "windows"])
+                del led, found, counts, bucket, group, order, text, lines, flat, offsets
+                pool.release_unused()
 
     return count
 
 
-def rare_folder(params: CollocationParams, held_bytes: int = 8 << 20, held_rows: int = 500_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def rare_folder(params: CollocationParams, held_bytes: int = 4 << 20, held_rows: int = 250_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of packed windows sorted by bucket, the sums; what is rare is folded into its prefix.
 
     A bucket's sums are final, so a phrase below ``least`` passes its count to its prefix, whose sum
