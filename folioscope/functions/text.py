@@ -155,13 +155,18 @@ LABELS = {  # fixed values: label, sentence start, inline form, words that alrea
 }
 
 
+def without_emphasis(x: Column) -> Column:
+    """Without marks of bold text; an em dash becomes a comma."""
+    out = F.regexp_replace(x, r"(\*\*|__)(.+?)\1", "$2")
+    out = F.regexp_replace(out, r"\*\*|__", "")
+    return F.regexp_replace(out, rf"{WS}*\x{{2014}}{WS}*", ", ")
+
+
 def clean_prose(x: Column, language: str = "en") -> Column:
     """Removes emphasis and em dashes, and rewrites or drops "Example:" labels."""
     label, start, inline, introduced = LABELS[language]
     mark = rf"(?i:{AS_IS}{label}\s*:\s*)"
-    out = F.regexp_replace(x, r"(\*\*|__)(.+?)\1", "$2")
-    out = F.regexp_replace(out, r"\*\*|__", "")
-    out = F.regexp_replace(out, rf"{WS}*\x{{2014}}{WS}*", ", ")
+    out = without_emphasis(x)
     out = F.regexp_replace(out, rf"{mark}(?=\p{{Lu}})", "")
     out = F.regexp_replace(out, rf"((?i:{AS_IS}(?:{introduced})){WS}*){mark}", "$1")
     out = F.regexp_replace(out, rf"(^{WS}*|[.!?:]{WS}*){mark}", f"$1{start}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from folioscope.functions.text import clean_prose, clip, escape_data_tags, to_score, trimmed
+from folioscope.functions.text import clean_prose, clip, escape_data_tags, to_score, trimmed, without_emphasis
+from folioscope.operators.repair import repair
 from folioscope.params import CHECK_WEIGHTS, AnswerLimits
 
 ANSWER = (
@@ -33,23 +35,27 @@ def build_prompts(texts: DataFrame, postings: DataFrame, templates: DataFrame) -
     return rows.select("doc_id", "posting_id", "mode", "language", "system", F.array_join(parts, "\n\n").alias("user"))
 
 
+#: What matters to the nesting of braces; all else is skipped by the pattern.
+BRACE_TOKENS = re.compile(r'\\.|["{}]', re.S)
+
+
 def objects_in(raw: str) -> list[str]:
-    """Top-level {...} spans; quotes count only inside an object."""
-    found, depth, start, quoted, escaped = [], 0, 0, False, False
-    for at, c in enumerate(raw):
+    """Top-level {...} spans, by a fold over braces, quotes and escapes; quotes and escapes count only inside an object."""
+    found, depth, start, quoted = [], 0, 0, False
+    for m in BRACE_TOKENS.finditer(raw):
+        at, c = m.start(), m[0]
+        if len(c) == 2:  # an escape; outside a string the character after the backslash counts
+            if quoted or c[1] not in '"{}':
+                continue
+            at, c = at + 1, c[1]
         if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
+            quoted = c != '"'
         elif c == '"':
             quoted = depth > 0
         elif c == "{":
             start = at if depth == 0 else start
             depth += 1
-        elif c == "}" and depth:
+        elif depth:
             depth -= 1
             if depth == 0:
                 found.append(raw[start : at + 1])
@@ -62,29 +68,35 @@ def top_level_objects(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield raw.map(lambda r: objects_in(r or ""))
 
 
+FENCE = r"(?is)```(?:json)?\s*(.*?)```"
+
+
 def answer_candidates(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
     """(answer_id, mode, language, cand_ord, candidate): a fenced block, the whole text, each object."""
     text = F.substring("raw", 1, limits.raw)
-    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)
-    has_fence = text.rlike(r"(?is)```(?:json)?\s*.*?```")
     held = answers.where(trimmed(F.coalesce("raw", F.lit(""))) != "").withColumn("__objects", top_level_objects(text))
-    every = F.concat(F.when(has_fence, F.array(fenced)).otherwise(F.array().cast("array<string>")), F.array(text), F.col("__objects"))
+    every = F.concat(F.when(text.rlike(FENCE), F.array(F.regexp_extract(text, FENCE, 1))).otherwise(F.array().cast("array<string>")), F.array(text), F.col("__objects"))
     return held.select("answer_id", "mode", "language", F.posexplode(every).alias("cand_ord", "candidate"))
 
 
+def valid(c):
+    """The text is an object as it stands."""
+    return trimmed(c).rlike(r"^\{[\s\S]*\}$") & F.get_json_object(c, "$").isNotNull()
+
+
 def parse_variants(candidates: DataFrame) -> DataFrame:
     """Adds ``variant`` and ``answer`` for every reading of a candidate that is an object.
 
-    Readings in order: as it is, with two apostrophe patterns mended, and without trailing commas.
+    Readings in order, equal ones once: as it is, with two apostrophe patterns mended, and both of
+    them repaired, where they are not valid. A null candidate has no reading.
     """
     mend = lambda c: F.regexp_replace(F.regexp_replace(c, "','", '","'), r"\{'", '{"')
-    no_comma = lambda c: F.regexp_replace(c, r",(\s*[}\]])", "$1")
-    c = F.col("candidate")
-    readings = F.array(c, mend(c), no_comma(c), no_comma(mend(c)))
-    rows = candidates.select("*", F.posexplode(F.array_distinct(readings)).alias("variant", "__text"))
-    parsed = rows.withColumn("answer", F.when(trimmed(F.col("__text")).rlike(r"^\{[\s\S]*\}$"), F.from_json("__text", ANSWER, {"mode": "PERMISSIVE"})))
-    known = F.get_json_object("__text", "$").isNotNull()
-    return parsed.where(F.col("answer").isNotNull() & known).drop("__text", "candidate")
+    rows = candidates.withColumn("__mended", mend(F.col("candidate")))
+    c, m = F.col("candidate"), F.col("__mended")
+    rows = rows.withColumn("__repaired", repair(F.when(~valid(c), c))).withColumn("__both", repair(F.when((m != c) & ~valid(m), m)))
+    rows = rows.withColumn("__readings", F.array_distinct(F.array_compact(F.array(c, m, "__repaired", "__both"))))
+    rows = rows.select(*candidates.columns, F.posexplode("__readings").alias("variant", "__text")).where(valid(F.col("__text")))
+    return rows.withColumn("answer", F.from_json("__text", ANSWER, {"mode": "PERMISSIVE"})).where(F.col("answer").isNotNull()).drop("__text", "candidate")
 
 
 def by_language(col, language):
@@ -144,11 +156,10 @@ def answer_complete(parsed: DataFrame, limits: AnswerLimits = AnswerLimits()) ->
     """Adds ``complete``: mode-b needs keyword, skills and five jobs, mode-a any check of the model's.
 
     Decided in the row, as ``normalize_checks`` and ``normalize_jobs`` would: prose with a letter or digit never
-    cleans to nothing, so only odd strings are cleaned here.
+    cleans to nothing, and of what has neither only marks of emphasis go.
     """
-    lang = F.col("language")
     scored = lambda *names: F.exists("answer.atsChecks", lambda c: F.lower(trimmed(c["id"])).isin(*names) & to_score(c["score"]).isNotNull())
-    told = lambda x, n: x.isNotNull() & (x.rlike(r"[\p{L}\p{N}]") | (prose(x, n, lang) != ""))
+    told = lambda x, n: x.isNotNull() & (x.rlike(r"[\p{L}\p{N}]") | (clip(without_emphasis(x), n) != ""))
     good = F.filter("answer.suggestedJobs", lambda j: to_score(j["matchScore"]).isNotNull() & told(j["title"], limits.title) & told(j["reason"], limits.reason))
     b = F.coalesce(scored("keyword"), F.lit(False)) & F.coalesce(scored("skills"), F.lit(False)) & (F.coalesce(F.size(good), F.lit(0)) >= limits.jobs)
     a = F.coalesce(scored("keyword", "skills", "sections", "quantified", "readability"), F.lit(False))
@@ -156,12 +167,24 @@ def answer_complete(parsed: DataFrame, limits: AnswerLimits = AnswerLimits()) ->
 
 
 def pick_answer(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
-    """Per answer the first complete reading (cand_ord, variant), or the reason there is none."""
-    judged = answer_complete(parse_variants(answer_candidates(answers, limits)), limits)
+    """Per answer the first complete reading (cand_ord, variant), or the reason there is none.
+
+    Most answers are complete as they come: the first candidate is read in its row. Only the others
+    are taken apart into all candidates and readings. Answers are told apart by ``answer_id``.
+    """
+    text = F.substring("raw", 1, limits.raw)
+    empty = trimmed(F.coalesce("raw", F.lit(""))) == ""
+    first = F.when(~empty, F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text))
+    rows = answers.select("answer_id", "mode", "language", "raw", first.alias("__first"))
+    rows = rows.withColumn("answer", F.when(valid(F.col("__first")), F.from_json("__first", ANSWER, {"mode": "PERMISSIVE"}))).drop("__first")
+    rows = answer_complete(rows, limits).drop("answer")
+    at_once = rows.where("complete").select("answer_id", "mode", "language", F.lit(0).alias("cand_ord"), F.lit(0).alias("variant"), F.lit(None).cast("string").alias("reason"))
+    rest = rows.where("NOT coalesce(complete, false)").drop("complete")
+    judged = answer_complete(parse_variants(answer_candidates(rest, limits)), limits)
     best = judged.groupBy("answer_id").agg(F.min(F.when(F.col("complete"), F.struct("cand_ord", "variant"))).alias("best"))
-    out = answers.join(best.withColumn("parsed", F.lit(True)), "answer_id", "left")
-    reason = F.when(trimmed(F.coalesce("raw", F.lit(""))) == "", "empty").when(F.col("parsed").isNull(), "no-json").when(F.col("best").isNull(), "incomplete")
-    return out.select("answer_id", "mode", "language", "best.cand_ord", "best.variant", reason.alias("reason"))
+    out = rest.join(best.withColumn("parsed", F.lit(True)), "answer_id", "left")
+    reason = F.when(empty, "empty").when(F.col("parsed").isNull(), "no-json").when(F.col("best").isNull(), "incomplete")
+    return at_once.unionByName(out.select("answer_id", "mode", "language", "best.cand_ord", "best.variant", reason.alias("reason")))
 
 
 # fixed values: results must agree on which provider messages mean no credit or a bad key

@@ -23,13 +23,18 @@ def cleaned_runs(runs: DataFrame) -> DataFrame:
 def background_at(runs: DataFrame, shapes: DataFrame, params: HiddenText = HiddenText()) -> DataFrame:
     """Adds ``background``: the topmost painted shape under each run's sample point; null if unknown.
 
-    A hash join on (document, page) with the box as residual; a page's shapes are bounded by admission.
+    Pages are cut into a grid; a shape is dealt to the cells it covers, a run to the one of its point,
+    and they meet by document, page and cell with the box as residual. Cells at the rim of the grid
+    hold all that lies beyond, so a shape has at most ``params.grid`` squared cells.
     """
+    cell = lambda v: F.least(F.lit(params.grid - 1), F.greatest(F.lit(0), F.floor(v / params.cell))).cast("int")
+    covered = lambda low, high: F.explode(F.sequence(cell(F.col(f"box.{low}")), cell(F.col(f"box.{high}"))))
     px, py = F.col("x") + F.col("width") / 2, F.col("y") + F.col("font_size") * params.baseline
     s = shapes.where(F.col("alpha") >= params.painted).select("doc_id", "page_number", "box", F.col("kind").alias("s_kind"), F.col("color").alias("s_color"), F.col("alpha").alias("s_alpha"), F.col("paint_order").alias("s_order"))
-    points = runs.select(*RUN, px.alias("px"), py.alias("py"), "paint_order")
+    s = s.where("box.x0 <= box.x1 AND box.y0 <= box.y1").withColumn("cx", covered("x0", "x1")).withColumn("cy", covered("y0", "y1"))
+    points = runs.select(*RUN, px.alias("px"), py.alias("py"), "paint_order", cell(px).alias("cx"), cell(py).alias("cy"))
     inside = (F.col("px") >= F.col("box.x0")) & (F.col("px") <= F.col("box.x1")) & (F.col("py") >= F.col("box.y0")) & (F.col("py") <= F.col("box.y1"))
-    under = points.join(s, ["doc_id", "page_number"]).where(inside & (F.col("s_order") <= F.col("paint_order")))
+    under = points.join(s, ["doc_id", "page_number", "cx", "cy"]).where(inside & (F.col("s_order") <= F.col("paint_order")))
     known = (F.col("s_kind") == "fill") & F.col("s_color").isNotNull() & (F.col("s_alpha") >= params.opaque)
     top = under.groupBy(*RUN).agg(F.max_by(F.struct(F.when(known, F.col("s_color")).alias("color")), "s_order").alias("top"))
     return runs.join(top, RUN, "left").withColumn("background", F.when(F.col("top").isNull(), "#ffffff").otherwise(F.col("top.color"))).drop("top")

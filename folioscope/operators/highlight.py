@@ -1,10 +1,11 @@
-"""Quoted passages to page boxes: character maps, search, boxes, image rectangles, mark groups."""
+"""Quoted passages to page boxes: interval maps of pages, search, boxes, image rectangles, mark groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import collapse_ws
 from folioscope.operators.merge import needle
 from folioscope.params import WS
 
@@ -12,30 +13,31 @@ PAGE = ["doc_id", "page_number", "hidden"]
 
 
 def page_text_map(runs: DataFrame, raw: DataFrame) -> DataFrame:
-    """Character rows (doc_id, page_number, hidden, pos, c, run_ord, offset) of every page's collapsed text.
+    """(doc_id, page_number, hidden, text, source, runs): an interval map of every page, a row a page.
 
-    ``runs`` carries text_start and text_end, ``raw`` doc_id and raw_text. Restrict both to documents
-    that have a snippet first: this is one row a character. Text between two runs that holds white
-    space counts as one space of no run.
+    ``source`` joins the page's runs, with one space of no run where white space stands between two;
+    ``text`` is its collapsed form. ``runs`` has where each run begins in ``source`` (from 0), its
+    number and its length, in order. ``runs`` of the input carries text_start and text_end, ``raw``
+    doc_id and raw_text.
     """
     by_page = Window.partitionBy(*PAGE).orderBy("text_start", "run_ord")
-    held = runs.join(raw, "doc_id").withColumn("before", F.lag("text_end").over(by_page))
+    held = runs.select(*PAGE, "run_ord", "text_start", "text_end", F.lag("text_end").over(by_page).alias("before")).join(raw, "doc_id")
     between = F.when(F.col("before").isNotNull(), F.substring("raw_text", F.col("before") + 1, F.col("text_start") - F.col("before"))).otherwise("")
-    lead = F.when(between.rlike(WS), F.array(F.struct(F.lit(" ").alias("c"), F.lit(-1).alias("offset")))).otherwise(F.array().cast("array<struct<c:string,offset:int>>"))
-    own = F.transform(F.filter(F.split(F.substring("raw_text", F.col("text_start") + 1, F.col("text_end") - F.col("text_start")), ""), lambda c: c != ""), lambda c, i: F.struct(F.regexp_replace(c, WS, " ").alias("c"), i.alias("offset")))
-    chars = held.select(*PAGE, "text_start", "run_ord", F.posexplode(F.concat(lead, own)).alias("n", "x")).select(*PAGE, "text_start", "run_ord", "n", "x.c", "x.offset")
-    order = Window.partitionBy(*PAGE).orderBy("text_start", "run_ord", "n")
-    kept = chars.withColumn("prev", F.lag("c").over(order)).where((F.col("c") != " ") | (F.coalesce("prev", F.lit(" ")) != " "))
-    placed = kept.withColumn("pos", F.row_number().over(order)).withColumn("last", F.lead("c").over(order))
-    return placed.where(~((F.col("c") == " ") & F.col("last").isNull())).select(*PAGE, "pos", "c", "run_ord", F.when(F.col("offset") >= 0, F.col("offset")).alias("offset"))
+    own = F.substring("raw_text", F.col("text_start") + 1, F.col("text_end") - F.col("text_start"))
+    parts = held.select(*PAGE, "text_start", "run_ord", F.when(between.rlike(WS), " ").otherwise("").alias("lead"), own.alias("own"))
+    ends = F.sum(F.length("lead") + F.length("own")).over(by_page.rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("at", (ends - F.length("own")).cast("int"))
+    pages = parts.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("text_start", "run_ord", "at", F.length("own").alias("n"), F.concat("lead", "own").alias("piece")))).alias("items"))
+    source = F.array_join(F.transform("items", lambda i: i["piece"]), "")
+    return pages.select(*PAGE, source.alias("source"), F.transform("items", lambda i: F.struct(i["at"].alias("at"), i["run_ord"].alias("run_ord"), i["n"].alias("n"))).alias("runs")).withColumn("text", collapse_ws(F.col("source")))
 
 
-def page_texts(chars: DataFrame) -> DataFrame:
-    return chars.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda r: r["c"]), "").alias("text"))
+def page_texts(pages: DataFrame) -> DataFrame:
+    return pages.select(*PAGE, "text")
 
 
 def locate_highlight(suggestions: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, id, page_number, hidden, exact, at, size): the best place of each snippet.
+    """(doc_id, id, page_number, hidden, exact, at, size, needle): the best place of each snippet.
 
     An exact match on any page beats one that ignores spaces; the stored page beats the others, which
     follow in order. ``hidden-text`` looks at hidden runs only. ``at`` counts from 1; without exact
@@ -47,18 +49,39 @@ def locate_highlight(suggestions: DataFrame, texts: DataFrame) -> DataFrame:
     exact, loose = F.position("needle", "text"), F.position(compact, F.replace("text", F.lit(" "), F.lit("")))
     found = on.withColumn("e", exact).withColumn("l", loose).where("e > 0 or l > 0")
     best = F.struct((F.col("e") == 0).alias("rank"), (~F.col("page_number").eqNullSafe(F.col("stored"))).alias("other"), "page_number")
-    place = F.struct("page_number", "hidden", (F.col("e") > 0).alias("exact"), F.when(F.col("e") > 0, F.col("e")).otherwise(F.col("l")).alias("at"), F.when(F.col("e") > 0, F.length("needle")).otherwise(F.length(compact)).alias("size"))
+    place = F.struct("page_number", "hidden", (F.col("e") > 0).alias("exact"), F.when(F.col("e") > 0, F.col("e")).otherwise(F.col("l")).alias("at"), F.when(F.col("e") > 0, F.length("needle")).otherwise(F.length(compact)).alias("size"), "needle")
     return found.groupBy("doc_id", "id").agg(F.min_by(place, best).alias("p")).select("doc_id", "id", "p.*")
 
 
-def highlight_boxes(places: DataFrame, chars: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc_id, id, page_number, line, x0, y0, x1, y1): a box per line of each match."""
-    order = Window.partitionBy(*PAGE).orderBy("pos")
-    solid = (F.col("c") != " ") & F.col("offset").isNotNull()
-    numbered = chars.withColumn("dense", F.sum(solid.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("solid", solid)
-    hit = places.join(numbered, PAGE)
-    within = F.when(F.col("exact"), (F.col("pos") >= F.col("at")) & (F.col("pos") < F.col("at") + F.col("size"))).otherwise(F.col("solid") & (F.col("dense") >= F.col("at")) & (F.col("dense") < F.col("at") + F.col("size")))
-    spans = hit.where(within & F.col("offset").isNotNull()).groupBy("doc_id", "id", "page_number", "run_ord").agg(F.min("offset").alias("a"), (F.max("offset") + 1).alias("b"))
+def as_pattern(needle: Column, exact: Column) -> Column:
+    """Finds the needle in text that is not collapsed: any white space where it has a space, or between any two characters."""
+    quoted = lambda c: F.regexp_replace(c, r"(\p{Punct})", r"\\$1")
+    words = F.array_join(F.transform(F.split(needle, " "), quoted), f"{WS}+")
+    chars = F.array_join(F.transform(F.filter(F.split(needle, ""), lambda c: ~c.isin("", " ")), quoted), f"{WS}*")
+    return F.when(exact, words).otherwise(chars)
+
+
+def highlight_boxes(places: DataFrame, pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, id, page_number, line, x0, y0, x1, y1): a box per line of each match.
+
+    ``pages`` is the interval map. The match is found again in a page's source; only the runs that it
+    overlaps become rows. Of white space only the first character counts, and none in a match that
+    ignores spaces.
+    """
+    pattern = as_pattern(F.col("needle"), F.col("exact"))
+    hit = places.join(pages.select(*PAGE, "source", F.col("runs").alias("held")), PAGE).withColumn("pattern", pattern)
+    hit = hit.withColumn("begin", F.regexp_instr("source", F.col("pattern")) - 1).withColumn("end", F.col("begin") + F.length(F.regexp_substr("source", F.col("pattern"))))
+    over = F.filter("held", lambda r: (r["at"] < F.col("end")) & (r["at"] + r["n"] > F.col("begin")))
+    part = hit.select("doc_id", "id", "page_number", "exact", "source", "begin", "end", F.explode(over).alias("r")).select("*", F.greatest("begin", "r.at").alias("low"), F.least("end", F.col("r.at") + F.col("r.n")).alias("high"))
+    piece = F.substring("source", F.col("low") + 1, F.col("high") - F.col("low"))
+    part = part.select("doc_id", "id", "page_number", "exact", F.col("r.run_ord").alias("run_ord"), F.col("r.at").alias("at"), "low", "high", piece.alias("piece"), ((F.col("low") > 0) & F.substring("source", F.col("low"), F.lit(1)).rlike(WS)).alias("after_space"))
+    lead = F.length("piece") - F.length(F.regexp_replace("piece", f"^{WS}+", ""))
+    tail = F.length("piece") - F.length(F.regexp_replace("piece", f"{WS}+$", ""))
+    part = part.withColumns({"lead": lead, "tail": tail})
+    blank, spaced = F.col("lead") == F.length("piece"), F.col("exact")
+    first = F.col("low") - F.col("at") + F.when(spaced & ~F.col("after_space"), 0).otherwise(F.col("lead"))
+    last = F.when(blank, first + 1).otherwise(F.col("high") - F.col("at") - F.col("tail") + F.when(spaced & (F.col("tail") > 0), 1).otherwise(0))
+    spans = part.where(~blank | (spaced & ~F.col("after_space"))).select("doc_id", "id", "page_number", "run_ord", first.alias("a"), last.alias("b"))
     r = spans.join(runs.select("doc_id", "run_ord", "x", "y", "width", "font_size", F.greatest(F.lit(1), F.col("text_end") - F.col("text_start")).alias("n")), ["doc_id", "run_ord"])
     pad = F.col("font_size") * 0.1
     box = r.select("doc_id", "id", "page_number", "run_ord", "y", "font_size", (F.col("x") + F.col("width") * F.col("a") / F.col("n") - pad).alias("x0"), (F.col("y") - F.col("font_size") * 0.2).alias("y0"), (F.col("x") + F.col("width") * F.col("b") / F.col("n") + pad).alias("x1"), (F.col("y") + F.col("font_size") * 0.8).alias("y1"))

@@ -8,7 +8,7 @@ still spreads, as the join keys hold the document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import bullet_text, clip, contains_word, count_skill_items, has_email, has_phone, is_bullet, normalize_heading, pipes, posting_tokens, rounded, status_band, trimmed, word_count
@@ -87,8 +87,12 @@ def keyword_match(pairs: DataFrame, texts: DataFrame, keywords: DataFrame) -> Da
     return near.where(plain).unionByName(looked)
 
 
-def check_row(df: DataFrame, check: str, score, detail, status=None) -> DataFrame:
-    return df.select("doc_id", "posting_id", F.lit(check).alias("check_id"), F.lit(CHECK_ORDER[check]).alias("check_ord"), score.cast("int").alias("score"), (status if status is not None else status_band(score)).alias("status"), detail.alias("detail"))
+def check_of(check: str, score: Column, detail: Column, status: Column | None = None) -> Column:
+    return F.struct(F.lit(check).alias("check_id"), F.lit(CHECK_ORDER[check]).alias("check_ord"), score.cast("int").alias("score"), (status if status is not None else status_band(score)).alias("status"), detail.alias("detail"))
+
+
+def check_row(df: DataFrame, check: Column) -> DataFrame:
+    return df.select("doc_id", "posting_id", check.alias("c")).select("doc_id", "posting_id", "c.*")
 
 
 def listed(items, params: Rubric):
@@ -116,30 +120,43 @@ def check_keyword(pairs: DataFrame, postings: DataFrame, keywords: DataFrame, hi
     placed = hits.join(skills_hits.select(*key, F.lit(12).alias("s")), key, "left").join(summary_hits.select(*key, F.lit(11).alias("m")), key, "left")
     credit = placed.groupBy("doc_id", "posting_id").agg(F.sum(F.coalesce("s", "m", F.lit(10))).alias("credit"))
     base = missing_keywords(blank_postings(pairs, postings).select("doc_id", "posting_id"), keywords, hits).join(credit, ["doc_id", "posting_id"], "left")
-    base = blank_postings(base, postings)
+    return check_row(blank_postings(base, postings), keyword_check(params))
+
+
+def keyword_check(params: Rubric) -> Column:
+    """From n_keywords, n_found, missing, credit, mode_b."""
     score = F.least(F.lit(100), rounded(F.coalesce("credit", F.lit(0)) * 100.0 / (F.col("n_keywords") * 12)))
     score = F.when(F.col("mode_b") | (F.col("n_keywords") == 0), 0).otherwise(score)
     detail = F.when(F.col("mode_b"), "No posting to compare with.").when(F.col("n_keywords") == 0, "The posting is too short.").when(F.size("missing") == 0, F.concat(F.lit("All "), F.col("n_found").cast("string"), F.lit(" keywords found."))).otherwise(F.concat(F.lit("Missing: "), listed(F.col("missing"), params), F.lit(".")))
-    return check_row(base, "keyword", score, detail, F.when(F.col("mode_b"), "warn").otherwise(status_band(score)))
+    return check_of("keyword", score, detail, F.when(F.col("mode_b"), "warn").otherwise(status_band(score)))
 
 
 def check_skills(pairs: DataFrame, postings: DataFrame, keywords: DataFrame, skills_text: DataFrame, skills_hits: DataFrame, params: Rubric = Rubric()) -> DataFrame:
     base = blank_postings(missing_keywords(pairs, keywords, skills_hits), postings).join(skills_text.select("doc_id", F.col("text").alias("skills")), "doc_id", "left")
+    return check_row(base, skills_check(params))
+
+
+def skills_check(params: Rubric) -> Column:
+    """From n_keywords, n_found, missing (of the skills text), skills, mode_b."""
     items = count_skill_items(F.coalesce("skills", F.lit("")))
     bonus = F.when(items >= 15, 5).when(items >= 10, 3).otherwise(0)
     none = trimmed(F.coalesce("skills", F.lit(""))) == ""
     zero = F.col("mode_b") | none | (F.col("n_keywords") == 0)
     score = F.when(zero, 0).otherwise(F.least(F.lit(100), rounded(F.col("n_found") * 100.0 / F.col("n_keywords")) + bonus))
     detail = F.when(F.col("mode_b"), "No posting to compare with.").when(none, "No skills section.").when(F.col("n_keywords") == 0, "The posting is too short.").when(F.size("missing") == 0, F.concat(F.lit("All "), F.col("n_found").cast("string"), F.lit(" keywords found."))).otherwise(F.concat(F.lit("Missing: "), listed(F.col("missing"), params), F.lit(".")))
-    return check_row(base, "skills", score, detail, F.when(F.col("mode_b"), "warn").otherwise(status_band(score)))
+    return check_of("skills", score, detail, F.when(F.col("mode_b"), "warn").otherwise(status_band(score)))
 
 
 def check_sections(pairs: DataFrame, flags: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
-    base = pairs.join(flags, "doc_id")
+    return check_row(pairs.join(flags, "doc_id"), sections_check(sections))
+
+
+def sections_check(sections: tuple[str, ...]) -> Column:
+    """From has_ and the name of each section."""
     missing = F.array_compact(F.array(*(F.when(~F.col(f"has_{s}"), s) for s in sections)))
     score = rounded((len(sections) - F.size(missing)) * 100.0 / len(sections))
     detail = F.when(F.size(missing) == 0, "All sections present.").otherwise(F.concat(F.lit("Missing sections: "), F.array_join(missing, ", "), F.lit(".")))
-    return check_row(base, "sections", score, detail)
+    return check_of("sections", score, detail)
 
 
 def has_table(lines: DataFrame) -> DataFrame:
@@ -165,22 +182,30 @@ def issues_detail(issues, ok: str):
 
 def check_formatting(pairs: DataFrame, flags: DataFrame, layout: DataFrame | None = None, typography: DataFrame | None = None, hidden: DataFrame | None = None, params: Rubric = Rubric()) -> DataFrame:
     """``layout``: column_count, has_graphics, graphics, ocr_pages; ``typography``: doc_id (and note)."""
-    base = pairs.join(flags, "doc_id")
+    return check_row(with_layout(pairs.join(flags, "doc_id"), layout, typography, hidden), formatting_check(params))
+
+
+def with_layout(base: DataFrame, layout: DataFrame | None, typography: DataFrame | None, hidden: DataFrame | None) -> DataFrame:
+    """Adds what the pages tell, with neutral values where a table is not given."""
     if layout is not None:
         base = base.join(layout.select("doc_id", "column_count", "has_graphics", "graphics", "ocr_pages", F.lit(True).alias("has_layout")), "doc_id", "left")
     else:
         base = base.withColumns({"column_count": F.lit(1), "has_graphics": F.lit(False), "graphics": F.array().cast("array<string>"), "ocr_pages": F.array().cast("array<int>"), "has_layout": F.lit(False)})
-    note = F.lit("")
     if typography is not None:
         given = typography.select("doc_id", F.lit(True).alias("has_type"), *(["note"] if "note" in typography.columns else [F.lit("").alias("note")]))
         base = base.join(given, "doc_id", "left")
-        note = F.coalesce("note", F.lit(""))
     else:
-        base = base.withColumn("has_type", F.lit(False))
+        base = base.withColumns({"has_type": F.lit(False), "note": F.lit("")})
     if hidden is not None:
         base = base.join(hidden.select("doc_id", "has_words", "checked"), "doc_id", "left")
     else:
         base = base.withColumns({"has_words": F.lit(False), "checked": F.lit(True)})
+    return base
+
+
+def formatting_check(params: Rubric) -> Column:
+    """From text_flags and with_layout."""
+    note = F.coalesce("note", F.lit(""))
     length = (F.col("n_words") >= params.words_min) & (F.col("n_words") <= params.words_max)
     score = 25 * (F.col("has_email").cast("int") + F.col("has_phone").cast("int") + (F.col("n_bullets") > 0).cast("int") + length.cast("int"))
     two, drawn = F.coalesce(F.col("column_count") >= 2, F.lit(False)), F.coalesce("has_graphics", F.lit(False))
@@ -195,24 +220,33 @@ def check_formatting(pairs: DataFrame, flags: DataFrame, layout: DataFrame | Non
     )
     unknown = ~F.coalesce(F.col("has_layout") & F.col("has_type"), F.lit(False))
     notes = F.array_compact(F.array(issues_detail(issues, "Formatting is fine."), F.when(unknown, "Typography could not be read."), F.when(F.col("has_words"), "Some text is hidden."), F.when(~F.coalesce("checked", F.lit(True)), "Hidden text was not checked."), F.when(F.size(F.coalesce("ocr_pages", F.array().cast("array<int>"))) > 0, "Some pages are scans."), F.when(note != "", note)))
-    return check_row(base, "formatting", score, F.array_join(notes, " "), F.when(unknown, "warn").otherwise(status_band(score)))
+    return check_of("formatting", score, F.array_join(notes, " "), F.when(unknown, "warn").otherwise(status_band(score)))
 
 
 def check_quantified(pairs: DataFrame, achievements: DataFrame) -> DataFrame:
     counts = achievements.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("bullet").rlike("[0-9]")).alias("q"))
     base = pairs.join(counts, "doc_id", "left").na.fill(0, ["n", "q"])
+    return check_row(base, quantified_check())
+
+
+def quantified_check() -> Column:
+    """From n achievement bullets, q of them with digits."""
     score = F.when(F.col("n") == 0, 0).otherwise(rounded(F.col("q") * 100.0 / F.col("n")))
     detail = F.when(F.col("n") == 0, "No bullet points.").otherwise(F.concat(F.col("q").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" bullet points have numbers.")))
-    return check_row(base, "quantified", score, detail)
+    return check_of("quantified", score, detail)
 
 
 def check_readability(pairs: DataFrame, flags: DataFrame, sections: DataFrame, params: Rubric = Rubric()) -> DataFrame:
-    base = pairs.join(flags, "doc_id").join(sections.select("doc_id", "has_summary"), "doc_id")
+    return check_row(pairs.join(flags, "doc_id").join(sections.select("doc_id", "has_summary"), "doc_id"), readability_check(params))
+
+
+def readability_check(params: Rubric) -> Column:
+    """From text_flags and has_summary."""
     length = (F.col("n_words") >= params.words_min) & (F.col("n_words") <= params.words_max)
     concise = F.col("bullet_words") <= params.concise_words * F.col("n_bullets")
     score = 25 * (F.col("has_summary").cast("int") + (F.col("n_bullets") > 0).cast("int") + concise.cast("int") + length.cast("int"))
     issues = F.array_compact(F.array(F.when(~F.col("has_summary"), "no summary"), F.when(F.col("n_bullets") == 0, "no bullet points"), F.when(~concise, "long bullet points"), F.when(~length, f"length outside {params.words_min} to {params.words_max:,} words")))
-    return check_row(base, "readability", score, issues_detail(issues, "Easy to read."))
+    return check_of("readability", score, issues_detail(issues, "Easy to read."))
 
 
 def weighted_score(checks: DataFrame, weights: dict[str, int] = CHECK_WEIGHTS) -> DataFrame:
@@ -296,26 +330,96 @@ def assemble_report(checks: DataFrame, suggestions: DataFrame, hidden: DataFrame
     return scored.join(weighted_score(checks), key).join(told, key, "left").withColumn("suggestion_ids", F.coalesce("suggestion_ids", F.array().cast("array<string>")))
 
 
+def profiles(texts: DataFrame, headings: dict[str, str], sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """All that the checks need of a document, in its own row: the text is split once and folded, nothing is shuffled.
+
+    Columns: doc_id, text (lower case), words, skills and summary (lower case, null without such a
+    heading), has_<section>, n_words, has_email, has_phone, n_bullets, bullet_words, n_tabbed,
+    has_table, and n and q of the achievement bullets.
+    """
+    known = F.create_map(*(F.lit(x) for pair in headings.items() for x in pair)) if headings else F.lit(None).cast("map<string,string>")
+    line = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), trimmed(x).alias("shown"), F.try_element_at(known, normalize_heading(x)).alias("section")))
+    rows = texts.select("doc_id", "text", line.alias("lines"))
+    item = lambda x: F.struct(x["section"].alias("section"), x["line"].contains("\t").alias("tabbed"), is_bullet(x["shown"]).alias("is_bullet"), x["shown"].rlike("[0-9]").alias("digits"), F.when(is_bullet(x["shown"]), word_count(x["shown"])).otherwise(0).alias("n_words"), F.when(x["shown"] != "", pipes(x["line"])).alias("pipes"), x["shown"].alias("shown"))
+    rows = rows.select("doc_id", "text", F.transform("lines", item).alias("lines"))
+
+    zero = F.lit(0)
+    state = F.struct(
+        F.lit(None).cast("string").alias("section"), zero.alias("bullets"), zero.alias("words"), zero.alias("digits"), zero.alias("mine"), zero.alias("mine_digits"), zero.alias("tabbed"), zero.alias("pipes"), F.lit(False).alias("table"),
+    )
+
+    def step(so_far, x):
+        one = lambda c: c.cast("int")
+        own = x["is_bullet"] & x["section"].isNull() & ~F.coalesce(so_far["section"].isin("skills", "education"), F.lit(False))
+        return F.struct(
+            F.coalesce(x["section"], so_far["section"]).alias("section"), (so_far["bullets"] + one(x["is_bullet"])).alias("bullets"), (so_far["words"] + x["n_words"]).alias("words"),
+            (so_far["digits"] + one(x["is_bullet"] & x["digits"])).alias("digits"), (so_far["mine"] + one(own)).alias("mine"), (so_far["mine_digits"] + one(own & x["digits"])).alias("mine_digits"),
+            (so_far["tabbed"] + one(x["tabbed"])).alias("tabbed"), F.coalesce(x["pipes"], so_far["pipes"]).alias("pipes"), (so_far["table"] | F.coalesce((x["pipes"] >= 2) & (so_far["pipes"] >= 2), F.lit(False))).alias("table"),
+        )
+
+    told = F.aggregate("lines", state, step)
+
+    def body(target: str) -> Column:
+        of = F.transform("lines", lambda x: x["section"])
+        first = F.array_position(of, target).cast("int")
+        rest = F.slice("lines", first + 1, F.size("lines"))
+        stop = F.array_position(F.transform(rest, lambda x: F.coalesce(~x["section"].isin(target, "other"), F.lit(False))), True).cast("int")
+        mine = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
+        return F.when(first > 0, F.lower(F.array_join(F.transform(mine, lambda x: x["shown"]), " ")))
+
+    def has(section: str) -> Column:
+        return F.exists("lines", lambda x: F.coalesce(x["section"] == section, F.lit(False))).alias(f"has_{section}")
+
+    rows = rows.select("doc_id", "text", told.alias("told"), body("skills").alias("skills"), body("summary").alias("summary"), *map(has, sections))
+    none = F.col("told.mine") == 0
+    lower = F.lower("text")
+    return rows.select(
+        "doc_id", lower.alias("text"), F.array_distinct(F.regexp_extract_all(lower, F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("words"), "skills", "summary", *(f"has_{s}" for s in sections),
+        word_count(F.col("text")).alias("n_words"), has_email(F.col("text")).alias("has_email"), has_phone(F.col("text")).alias("has_phone"),
+        F.col("told.bullets").alias("n_bullets"), F.col("told.words").alias("bullet_words"), F.col("told.tabbed").alias("n_tabbed"), F.col("told.table").alias("has_table"),
+        F.when(none, F.col("told.bullets")).otherwise(F.col("told.mine")).alias("n"), F.when(none, F.col("told.digits")).otherwise(F.col("told.mine_digits")).alias("q"),
+    )
+
+
+def posting_rows(postings: DataFrame, stopwords: tuple[str, ...]) -> DataFrame:
+    """(posting_id, mode_b, wanted): a posting's keywords in order, each with its first run of letters and digits."""
+    keywords = posting_keywords(postings, stopwords).withColumn("word", F.regexp_extract("keyword", "[a-z0-9]+", 0)).withColumn("plain", F.col("keyword").rlike("^[a-z0-9]+$"))
+    wanted = keywords.groupBy("posting_id").agg(F.array_sort(F.collect_list(F.struct("kw_ord", "keyword", "word", "plain"))).alias("wanted"))
+    return postings.select("posting_id", (trimmed(F.coalesce("text", F.lit(""))) == "").alias("mode_b")).join(wanted, "posting_id", "left")
+
+
 def score_documents(texts: DataFrame, postings: DataFrame, pairs: DataFrame, lexicon: DataFrame, layout: DataFrame | None = None, typography: DataFrame | None = None, hidden: DataFrame | None = None, stopwords: tuple[str, ...] = STOPWORDS, params: Rubric = Rubric()) -> DataFrame:
-    """The six checks of every pair, as long rows."""
-    lines = explode_lines(texts)
-    sections = detect_sections(lines, lexicon)
-    flags = text_flags(texts, lines)
-    achievements = achievement_bullets(lines, lexicon)
-    keywords = posting_keywords(postings, stopwords)
-    skills, summary = section_text(lines, lexicon, "skills"), section_text(lines, lexicon, "summary")
-    hits = keyword_match(pairs, texts.select("doc_id", F.lower("text").alias("text")), keywords)
-    skills_hits = keyword_match(pairs, skills, keywords)
-    out = check_keyword(pairs, postings, keywords, hits, skills_hits, keyword_match(pairs, summary, keywords), params)
-    for more in (
-        check_skills(pairs, postings, keywords, skills, skills_hits, params),
-        check_sections(pairs, sections),
-        check_formatting(pairs, flags, layout, typography, hidden, params),
-        check_quantified(pairs, achievements),
-        check_readability(pairs, flags, sections, params),
-    ):
-        out = out.unionByName(more)
-    return out
+    """The six checks of every pair, as long rows.
+
+    A document's text is read once and becomes a profile in its row; a posting's keywords, bounded by
+    its text, come to the pair as one array. Keywords are looked up in the document's set of words;
+    only those of more than one plain word, whose first word is there, are looked for in the text.
+    """
+    headings = {r["heading"]: r["section"] for r in lexicon.collect()}  # a parameter of some dozens of rows
+    key = pairs.join(posting_rows(postings, stopwords), "posting_id", "left").withColumn("mode_b", F.coalesce("mode_b", F.lit(True)))
+    rows = key.join(profiles(texts, headings), "doc_id")
+    none = F.array().cast("array<struct<kw_ord:int,keyword:string,word:string,plain:boolean>>")
+    wanted = F.coalesce("wanted", none)
+    there = F.array_intersect("words", F.transform(wanted, lambda k: k["word"]))
+    rows = rows.withColumn("wanted", wanted).withColumn("there", there)
+    near = F.filter("wanted", lambda k: F.array_contains("there", k["word"]))
+    found = lambda text: F.when(F.col(text).isNotNull(), F.transform(F.filter("near", lambda k: contains_word(F.col(text), k["keyword"])), lambda k: k["keyword"])).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("near", near)
+    hits = F.transform(F.filter("near", lambda k: k["plain"] | contains_word(F.col("text"), k["keyword"])), lambda k: k["keyword"])
+    rows = rows.withColumn("hits", hits).withColumn("skills_hits", found("skills")).withColumn("summary_hits", found("summary"))
+    credit = F.aggregate("hits", F.lit(0), lambda n, k: n + F.when(F.array_contains("skills_hits", k), 12).when(F.array_contains("summary_hits", k), 11).otherwise(10))
+    missing = lambda of: F.filter(F.transform("wanted", lambda k: k["keyword"]), lambda k: ~F.array_contains(of, k))
+    rows = rows.withColumn("credit", credit).withColumn("n_keywords", F.size("wanted"))
+    rows = rows.withColumn("keyword_check", keyword_input(missing("hits"), F.size("hits"))).withColumn("skills_input", keyword_input(missing("skills_hits"), F.size("skills_hits")))
+    rows = with_layout(rows, layout, typography, hidden)
+    rows = rows.withColumn("missing", F.col("keyword_check.missing")).withColumn("n_found", F.col("keyword_check.n_found")).withColumn("check_1", keyword_check(params))
+    rows = rows.withColumn("missing", F.col("skills_input.missing")).withColumn("n_found", F.col("skills_input.n_found")).withColumn("check_2", skills_check(params))
+    every = F.array("check_1", "check_2", sections_check(SECTIONS), formatting_check(params), quantified_check(), readability_check(params))
+    return rows.select("doc_id", "posting_id", F.explode(every).alias("c")).select("doc_id", "posting_id", "c.*")
+
+
+def keyword_input(missing: Column, n_found: Column) -> Column:
+    return F.struct(missing.alias("missing"), n_found.alias("n_found"))
 
 
 def render_text(rows: DataFrame, templates: DataFrame, language: str) -> DataFrame:

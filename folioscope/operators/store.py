@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators.commit import Store, committed
+from folioscope.operators.highlight import highlight_boxes, locate_highlight, page_text_map, page_texts, place_highlights
+
 
 def list_cvs(cvs: DataFrame) -> DataFrame:
     """Newest first, without file bytes; equal times by id, larger first."""
@@ -36,14 +37,44 @@ def list_history(cvs: DataFrame, reviews: DataFrame) -> DataFrame:
     return cvs.join(latest_reviews(reviews), "cv_id", "left")
 
 
-def load_analysis(cvs: DataFrame, reviews: DataFrame, matches: DataFrame, cv_id: int | None = None, review_id: int | None = None) -> DataFrame:
-    """Documents with one review (the latest, or the named one) and its matches as an array, best first."""
+def stored_highlights(reviews: DataFrame, runs: DataFrame, raw: DataFrame, pages: DataFrame) -> DataFrame:
+    """(review_id, highlights): the boxes of a review's quotes on its document's pages, from stored text and runs.
+
+    ``reviews`` has one review a document with ``suggestions`` (id, snippet, page_number, ..). Only
+    documents that quote something are looked at.
+    """
+    asked = reviews.select(F.col("cv_id").alias("doc_id"), "review_id", F.explode("suggestions").alias("s")).where("coalesce(s.snippet, '') <> ''")
+    asked = asked.select("doc_id", "review_id", "s.id", "s.snippet", "s.page_number")
+    docs = asked.select("doc_id").distinct()
+    mine, texts = runs.join(docs, "doc_id", "left_semi"), raw.join(docs, "doc_id", "left_semi")
+    mapped = page_text_map(mine, texts)
+    rects = place_highlights(highlight_boxes(locate_highlight(asked, page_texts(mapped)), mapped, mine), pages)
+    shown = rects.join(asked.select("doc_id", "review_id", "id").distinct(), ["doc_id", "id"])
+    return shown.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("id", "page_number", "line", "rect"))).alias("highlights"))
+
+
+def load_analysis(
+    cvs: DataFrame, reviews: DataFrame, matches: DataFrame, cv_id: int | None = None, review_id: int | None = None, pages: DataFrame | None = None, runs: DataFrame | None = None, raw: DataFrame | None = None
+) -> DataFrame:
+    """Documents with one review (the latest, or the named one) and its matches as an array, best first.
+
+    With ``pages`` (doc_id, page_number, box, rotation, img_width, img_height) their images are an
+    array too; with ``runs`` and ``raw`` text of the documents the review's highlights are made anew.
+    """
     chosen = latest_reviews(reviews) if review_id is None else reviews.where(F.col("review_id") == review_id)
     base = cvs if cv_id is None else cvs.where(F.col("cv_id") == cv_id)
     ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("match_score")).alias("down"), (-F.col("match_id")).alias("newest"), "match_id", "match_score"))), lambda m: F.struct(m["match_id"].alias("match_id"), m["match_score"].alias("match_score")))
     by_review = matches.groupBy("review_id").agg(ranked.alias("matches"))
     out = base.join(chosen, "cv_id", "left").join(by_review, "review_id", "left")
-    return out.withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<match_id:bigint,match_score:int>>")))
+    out = out.withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<match_id:bigint,match_score:int>>")))
+    if pages is not None:
+        images = pages.groupBy(F.col("doc_id").alias("cv_id")).agg(F.array_sort(F.collect_list(F.struct("page_number", "img_width", "img_height"))).alias("pages"))
+        out = out.join(images, "cv_id", "left").withColumn("pages", F.coalesce("pages", F.array().cast(images.schema["pages"].dataType)))
+        if runs is not None and raw is not None:
+            held = chosen.join(base.select("cv_id"), "cv_id", "left_semi")
+            shown = stored_highlights(held, runs, raw, pages)
+            out = out.join(shown, "review_id", "left").withColumn("highlights", F.coalesce("highlights", F.array().cast(shown.schema["highlights"].dataType)))
+    return out
 
 
 def orphan_reviews(reviews: DataFrame, cvs: DataFrame) -> DataFrame:
@@ -77,24 +108,48 @@ def violations(matches: DataFrame, reviews: DataFrame, cvs: DataFrame) -> DataFr
     return out
 
 
-def all_or_nothing_batch(spark: SparkSession, tables: dict[str, DataFrame], broken: DataFrame, path: str) -> bool:
-    """Writes every table under a staging name and renames them together, unless a rule is broken."""
+#: Tables of the store; every one has the key of its document.
+TABLES = ("cvs", "cv_files", "cv_pages", "reviews", "job_matches")
+
+
+def all_or_nothing_batch(store: Store, tables: dict[str, DataFrame], broken: DataFrame, base: int | None = None) -> bool:
+    """Commits every table of a batch at once, unless a rule is broken."""
     if not broken.isEmpty():
         return False
-    jvm = spark.sparkContext._jvm
-    stage, final = jvm.org.apache.hadoop.fs.Path(f"{path}/_staging-{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(f"{path}/batch-{uuid.uuid4().hex}")
-    for name, df in tables.items():
-        df.write.parquet(f"{stage.toString()}/{name}")
-    stage.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(stage, final)
+    store.commit(tables, base=base)
     return True
 
 
-def write_report(spark: SparkSession, cvs: DataFrame, reviews: DataFrame, matches: DataFrame, path: str) -> bool:
-    """Saves a batch of analyses whole, or not at all."""
-    return all_or_nothing_batch(spark, {"cvs": cvs, "reviews": reviews, "matches": matches}, violations(matches, reviews, cvs), path)
+def saved(store: Store, batch: dict[str, DataFrame]) -> bool:
+    """Saves a batch of analyses (tables of ``TABLES``) whole, or not at all.
+
+    Reviews and matches may belong to documents and reviews that the store has already.
+    """
+
+    def change(base: int) -> bool:
+        def all_of(table: str) -> DataFrame | None:
+            held, new = store.read(table, base), batch.get(table)
+            return held.unionByName(new) if held is not None and new is not None else held if new is None else new
+
+        cvs, reviews = all_of("cvs"), all_of("reviews")
+        new_reviews, new_matches = batch.get("reviews"), batch.get("job_matches")
+        if new_matches is None and new_reviews is None:
+            return all_or_nothing_batch(store, batch, store.spark.range(0), base)
+        new_reviews = reviews.limit(0) if new_reviews is None else new_reviews
+        broken = orphan_reviews(new_reviews, cvs).select(F.lit("orphan_reviews").alias("rule"), F.col("review_id").alias("id"))
+        if new_matches is not None:
+            broken = broken.unionByName(violations(new_matches, reviews, cvs).where("rule <> 'orphan_reviews'"))
+        return all_or_nothing_batch(store, batch, broken, base)
+
+    return committed(store, change)
+
+
+def write_report(spark: SparkSession, cvs: DataFrame, reviews: DataFrame, matches: DataFrame, path: str, files: DataFrame | None = None, pages: DataFrame | None = None) -> bool:
+    """Saves analyses with their documents, file bytes and pages to the store at ``path``, whole or not at all."""
+    batch = {"cvs": cvs, "cv_files": files, "cv_pages": pages, "reviews": reviews, "job_matches": matches}
+    return saved(Store(spark, path), {name: df for name, df in batch.items() if df is not None})
 
 
-def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows of the documents in ``gone`` (cv_id)."""
-    ids = gone.select("cv_id").distinct()
-    return {name: df.join(ids, "cv_id", "left_anti") for name, df in tables.items()}
+def cascade_delete(store: Store, gone: DataFrame) -> dict[str, set[str]]:
+    """Takes the documents in ``gone`` (cv_id) out of every table in one commit; returns the files written anew."""
+    return committed(store, lambda _: store.replace_rows(list(TABLES), gone))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import trimmed
+from folioscope.operators.prefix import running_total
 from folioscope.params import IPV4_RANGES
 
 OFFSET = "interval 8 hours"
@@ -110,32 +115,97 @@ def hashed_key(requests: DataFrame, secret: str) -> DataFrame:
     return requests.withColumn("day_key", F.concat(F.lit("quota:v1:"), quota_day(F.col("ts")), F.lit(":"), network)).withColumn("hour_key", F.concat(F.lit("requests:v1:"), quota_hour(F.col("ts")), F.lit(":"), network))
 
 
-def hourly_limit(requests: DataFrame, limit: int) -> DataFrame:
-    """Every request counts, refused ones too; windows are per network and hour, so none grows without end."""
+def hourly_limit(requests: DataFrame, limit: int, block: int = 60) -> DataFrame:
+    """Every request counts, refused ones too; windows are per network and hour, so none grows without end.
+
+    A network's hour is summed in blocks of ``block`` seconds, each a task of its own.
+    """
     keyed = requests.withColumn("network", client_network(F.col("client_ip"))).withColumn("hour", quota_hour(F.col("ts")))
-    n = F.row_number().over(Window.partitionBy("network", "hour").orderBy("ts", "request_id"))
-    return keyed.withColumn("n", n).withColumn("allowed", F.col("n") <= limit).withColumn("resets_at", quota_iso(next_hour(F.col("ts"))))
+    counted = running_total(keyed, ["network", "hour"], "ts", "request_id", F.lit(1), block, "n")
+    return counted.withColumn("allowed", F.col("n") <= limit).withColumn("resets_at", quota_iso(next_hour(F.col("ts"))))
 
 
-def daily_quota(requests: DataFrame, limit: int) -> DataFrame:
+def daily_quota(requests: DataFrame, limit: int, block: int = 900) -> DataFrame:
     """A slot is used by success only: granted while fewer than ``limit`` successes came before."""
     keyed = requests.withColumn("network", client_network(F.col("client_ip"))).withColumn("day", quota_day(F.col("ts")))
-    before = Window.partitionBy("network", "day").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.coalesce(F.sum(F.col("succeeded").cast("int")).over(before), F.lit(0))
-    out = keyed.withColumn("before", won).withColumn("granted", F.col("before") < limit)
-    used = F.least(F.lit(limit), F.col("before") + (F.col("granted") & F.col("succeeded")).cast("int"))
+    won = F.coalesce(F.col("succeeded").cast("long"), F.lit(0))
+    out = running_total(keyed, ["network", "day"], "ts", "request_id", won, block, "__won")
+    out = out.withColumn("before", F.col("__won") - won).drop("__won").withColumn("granted", F.col("before") < limit)
+    used = F.least(F.lit(limit), F.col("before") + (F.col("granted") & (won > 0)).cast("int"))
     return out.withColumn("used", used.cast("int")).withColumn("remaining", F.greatest(F.lit(0), limit - F.col("used")).cast("int")).withColumn("resets_at", quota_iso(next_reset(F.col("ts")))).drop("before")
 
 
-def counter_ledger(ledger: DataFrame, lifetime: str = "interval 1 hour") -> DataFrame:
+def counter_ledger(ledger: DataFrame, lifetime: str = "interval 1 hour", block: int = 900) -> DataFrame:
     """Adds ``count`` to a (key, ts, entry_id, change, window_end) log: a counter that never goes below 0.
 
     Entries after the window's end and its margin have expired and are dropped.
     """
     kept = ledger.where(F.col("ts") <= F.col("window_end") + F.expr(lifetime))
-    so_far = Window.partitionBy("key").orderBy("ts", "entry_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = kept.withColumn("total", F.sum("change").over(so_far))
-    return total.withColumn("count", F.col("total") - F.least(F.lit(0), F.min("total").over(so_far))).drop("total")
+    total = running_total(kept, ["key"], "ts", "entry_id", F.col("change"), block, "__total", "__least")
+    return total.withColumn("count", F.col("__total") - F.least(F.lit(0), F.col("__least"))).drop("__total", "__least")
+
+
+def blocks_of(entries: DataFrame, block: int) -> DataFrame:
+    return entries.withColumn("__block", F.expr(f"unix_micros(cast(ts as timestamp)) div {block * 1_000_000}L"))
+
+
+def reservations(entries: DataFrame, limit: int, block: int = 900) -> DataFrame:
+    """Judges (request_id, ts, client_ip, action) entries: a reserve takes a slot of its network's day if one is free, a release gives one back.
+
+    Returns request_id, action, network, day, granted (null for releases) and used, the slots taken
+    after the entry; order is (ts, request_id, action). The count is a walk held between 0 and
+    ``limit``. Held walks compose: x becomes min(high, max(low, x + sum)). So each block of ``block``
+    seconds is walked twice on its own, once for its three numbers and once from where the blocks
+    before it end; no network's day is one task. Releases count in the day of their own time.
+    """
+    order, keys = ["ts", "request_id", "action"], ["network", "day", "__block"]
+    keyed = blocks_of(entries.select("request_id", "ts", "client_ip", "action"), block).withColumn("network", client_network(F.col("client_ip"))).withColumn("day", quota_day(F.col("ts"))).drop("client_ip")
+    dealt = lambda rows: rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, walk, out = None, (0, 0, limit), []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in out], schema=types)
+
+        for batch in batches:
+            for *key, action in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*keys, "action")), strict=True):
+                if key != last:
+                    if last is not None:
+                        out.append((*last, *walk))
+                    last, walk = key, (0, 0, limit)
+                step = 1 if action == "reserve" else -1
+                walk = walk[0] + step, min(limit, max(0, walk[1] + step)), min(limit, max(0, walk[2] + step))
+            yield done()
+            out.clear()
+        if last is not None:
+            out.append((*last, *walk))
+            yield done()
+
+    names = [*keys, "s", "low", "high"]
+    types = pa.schema([("network", pa.string()), ("day", pa.string()), *((n, pa.int64()) for n in names[2:])])
+    parts = dealt(keyed).mapInArrow(walk_blocks, "network string, day string, __block long, s long, low long, high long")
+    before = Window.partitionBy("network", "day").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    told = F.collect_list(F.struct("s", "low", "high")).over(before)  # a few numbers for each earlier block of the day
+    start = F.aggregate(told, F.lit(0).cast("long"), lambda x, p: F.least(p["high"], F.greatest(p["low"], x + p["s"])))
+    starts = parts.select(*(F.col(k).alias(f"of_{k}") for k in keys), start.alias("start"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys))
+
+    def judge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, 0
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in ("request_id", "action", "network", "day")}
+            granted, counts = [], []
+            for *key, action, begins in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*keys, "action", "start")), strict=True):
+                if key != last:
+                    last, used = key, begins
+                free = used < limit
+                granted.append(free if action == "reserve" else None)
+                used = used + int(free) if action == "reserve" else max(0, used - 1)
+                counts.append(used)
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(granted, pa.bool_()), pa.array(counts, pa.int32())], names=[*columns, "granted", "used"])
+
+    return dealt(keyed.join(starts, same).select(*keyed.columns, "start")).mapInArrow(judge_blocks, "request_id long, action string, network string, day string, granted boolean, used int")
 
 
 def ipv4_number(ip):

@@ -81,6 +81,8 @@ class HiddenText:
     opaque: float = 0.9
     off_page: float = 1.0
     baseline: float = 0.3
+    cell: float = 96.0  # side of a cell of the page grid, in points
+    grid: int = 16  # cells a side; the last ones hold all beyond
     image_share: float = 0.5
     samples: int = 3
     sample_chars: int = 80

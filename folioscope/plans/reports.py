@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from folioscope.operators import merge as G
 from folioscope.operators import ranking as K
 from folioscope.operators import scoring as R
 from folioscope.operators import store as D
+from folioscope.operators.commit import Store
 from folioscope.plans import scoring as Q
 from folioscope.plans.layout import SPANS, VISIBLE, screened, separated
 from folioscope.plans.scoring import CHECKS
@@ -31,7 +36,7 @@ def query(sql: str | None = None):
 
 # --- F: every event is a raw answer whose JSON is built from its numbers ---
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    e = S.table(spark, d, "events")
+    e = S.spread(S.table(spark, d, "events"))
     i, u = F.col("event_id"), F.col("user_id").cast("string")
     check = lambda name, score: F.concat(F.lit('{"id": " '), F.lit(name), F.lit('", "score": "'), score, F.lit('", "detail": "d '), u, F.lit(' — x"}'))
     checks = F.concat_ws(", ", check("keyword", u), check("skills", F.lit("n/a")), check("Skills", F.lit("70.5")), check("other", u), check("keyword", F.lit("1")))
@@ -69,9 +74,51 @@ def q_answer_candidates(spark, d):
     return N.answer_candidates(answers(spark, d)).groupBy("answer_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ANS} z AS (SELECT 1) SELECT answer_id, true AS parsed FROM a WHERE k NOT IN (0, 1)")
+@query(
+    f"""WITH {ANS} r AS (SELECT a.*, c AS cand_ord FROM a, range(3) t(c) WHERE k NOT IN (0, 1) AND CASE k WHEN 2 THEN c <> 1 WHEN 3 THEN c = 1 ELSE c < 2 END)
+SELECT answer_id, CAST(cand_ord AS INTEGER) AS cand_ord, CASE WHEN k = 5 THEN 1 ELSE 0 END AS variant, CASE WHEN k = 4 THEN NULL ELSE 'keyword:' || user_id || ':d ' || user_id || ' — x' END AS first_check,
+  CASE WHEN k = 4 THEN 0 ELSE 5 END AS n_checks, CASE WHEN k = 4 THEN NULL ELSE ['w', ' ', '__v__'] END AS weaknesses, CASE WHEN k = 4 THEN NULL ELSE 3 END AS n_suggestions, CASE WHEN k = 4 THEN NULL ELSE 'J5' END AS last_job FROM r"""
+)
 def q_parse_variants(spark, d):
-    return N.parse_variants(N.answer_candidates(answers(spark, d))).select("answer_id", F.lit(True).alias("parsed")).distinct()
+    read = N.parse_variants(N.answer_candidates(answers(spark, d)))
+    c = F.get("answer.atsChecks", F.lit(0))
+    first = F.when(c.isNotNull(), F.concat_ws(":", F.trim(c["id"]), c["score"], c["detail"]))
+    jobs = F.col("answer.suggestedJobs")
+    return read.select("answer_id", "cand_ord", "variant", first.alias("first_check"), F.size("answer.atsChecks").alias("n_checks"), F.col("answer.weaknesses").alias("weaknesses"), F.size("answer.suggestions").alias("n_suggestions"), F.get(jobs, F.size(jobs) - 1)["title"].alias("last_job"))
+
+
+def sloppy(spark, d) -> DataFrame:
+    """Answers as models botch them: cut off, without quotes, with comments, other quotes, missing commas and brackets."""
+    e = S.spread(S.table(spark, d, "events"))
+    i, u, n = F.col("event_id"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    made = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    check = made('{"atsChecks": [{"id": "keyword", "score": ', u, ', "detail": "d ', u, '"}')
+    forms = [
+        made(check, ', {"id": "skills", "score": 70, "detail": "ok ', n, '"}], "weaknesses": ["w ', n, '"]}'),
+        made(check, ', {"id": "skills", "score": 70, "detail": "ok ', n),
+        made("{/* c */ atsChecks: [{id: keyword, score: ", u, ", detail: d ", u, "}] // {end}\n}"),
+        made("{'atsChecks': [{'id': 'keyword', 'score': ", u, ", 'detail': 'it's ", u, "'}]}"),
+        made('{"atsChecks": [{"id": "keyword" "score": ', u, ' "detail": "d "u', u, '" x"} {"id": "skills", "score": None, "detail": "x"}] "weaknesses": ["w ', n, '",,]}'),
+        made("```json\n", check, ', {"id": "skills", "score'),
+        made(check, "}"),
+        made("no json ", n),
+    ]
+    raw = F.element_at(F.array(*forms), (i % len(forms) + 1).cast("int"))
+    return e.select(i.alias("answer_id"), F.lit("mode-a").alias("mode"), F.lit("en").alias("language"), raw.alias("raw"))
+
+
+@query(
+    """WITH e AS (SELECT event_id AS answer_id, event_id % 8 AS k, CAST(user_id AS VARCHAR) AS u, CAST(event_id AS VARCHAR) AS n FROM events),
+r AS (SELECT e.*, c AS cand_ord FROM e, range(2) t(c) WHERE k <> 7 AND (c = 0 OR k NOT IN (1, 5)))
+SELECT answer_id, CAST(cand_ord AS INTEGER) AS cand_ord, CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS variant,
+  CASE k WHEN 3 THEN ['keyword:' || u || ':it''s ' || u] WHEN 4 THEN ['keyword:' || u || ':d "u' || u || '" x', 'skills:x'] WHEN 5 THEN ['keyword:' || u || ':d ' || u, 'skills'] WHEN 2 THEN ['keyword:' || u || ':d ' || u] WHEN 6 THEN ['keyword:' || u || ':d ' || u] ELSE ['keyword:' || u || ':d ' || u, 'skills:70:ok ' || n] END AS checks,
+  CASE WHEN k IN (0, 4) THEN ['w ' || n] END AS weaknesses FROM r"""
+)
+def q_repair_answers(spark, d):
+    read = N.parse_variants(N.answer_candidates(sloppy(spark, d)))
+    checks = F.transform("answer.atsChecks", lambda c: F.concat_ws(":", c["id"], c["score"], c["detail"]))
+    first = F.min_by(F.struct("variant", checks.alias("checks"), F.col("answer.weaknesses").alias("weaknesses")), "variant")
+    return read.groupBy("answer_id", "cand_ord").agg(first.alias("r")).select("answer_id", "cand_ord", "r.*")
 
 
 @query("SELECT event_id, CAST(floor(least(100, greatest(0, value)) + 0.5) AS INTEGER) AS score FROM events")
@@ -234,14 +281,14 @@ def highlights(spark, d) -> dict[str, DataFrame]:
     asked = G.locate_snippet(snippets(spark, d), A.assemble_visible(runs), A.page_spans(placed, raw)).where("snippet is not null").persist()
     docs = asked.select("doc_id").distinct()
     mapped = placed.join(docs, "doc_id", "left_semi")
-    chars = L.page_text_map(mapped.select("doc_id", "page_number", "hidden", "run_ord", "text_start", "text_end"), raw.join(docs, "doc_id", "left_semi")).persist()
-    places = L.locate_highlight(asked, L.page_texts(chars))
-    return {"placed": mapped, "chars": chars, "places": places, "boxes": L.highlight_boxes(places, chars, mapped), "asked": asked}
+    pages = L.page_text_map(mapped.select("doc_id", "page_number", "hidden", "run_ord", "text_start", "text_end"), raw.join(docs, "doc_id", "left_semi"))
+    places = L.locate_highlight(asked, L.page_texts(pages))
+    return {"placed": mapped, "raw": raw, "pages": pages, "places": places, "boxes": L.highlight_boxes(places, pages, mapped), "asked": asked}
 
 
 @query(f"{LOCATED}, vt AS (SELECT doc_id, page_number, trim(regexp_replace(string_agg(CASE WHEN prev IS NULL OR pend = 0 THEN '' ELSE ' ' END || text, '' ORDER BY run_ord), '\\s+', ' ', 'g')) AS text FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id, page_number ORDER BY run_ord) AS prev FROM vp WHERE NOT hidden) GROUP BY doc_id, page_number) SELECT doc_id, page_number, text FROM vt WHERE doc_id IN (SELECT doc_id FROM lc WHERE snippet IS NOT NULL)")
 def q_page_text_map(spark, d):
-    return L.page_texts(highlights(spark, d)["chars"]).where("not hidden").select("doc_id", "page_number", "text")
+    return L.page_texts(highlights(spark, d)["pages"]).where("not hidden").select("doc_id", "page_number", "text")
 
 
 @query(f"{LOCATED}, vt AS (SELECT doc_id, page_number, trim(regexp_replace(string_agg(CASE WHEN prev IS NULL OR pend = 0 THEN '' ELSE ' ' END || text, '' ORDER BY run_ord), '\\s+', ' ', 'g')) AS text FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id, page_number ORDER BY run_ord) AS prev FROM vp WHERE NOT hidden) GROUP BY doc_id, page_number), m AS (SELECT l.doc_id, l.id, v.page_number, position(l.snippet IN v.text) AS e, position(replace(l.snippet, ' ', '') IN replace(v.text, ' ', '')) AS o, l.snippet, l.page_number AS stored FROM lc l JOIN vt v USING (doc_id) WHERE l.snippet IS NOT NULL) SELECT doc_id, id, unnest(arg_min(struct_pack(page_number := page_number, exact := e > 0, at := CAST(CASE WHEN e > 0 THEN e ELSE o END AS INTEGER)), (e = 0, page_number IS DISTINCT FROM stored, page_number))) FROM m WHERE e > 0 OR o > 0 GROUP BY doc_id, id")
@@ -249,7 +296,19 @@ def q_locate_highlight(spark, d):
     return highlights(spark, d)["places"].select("doc_id", "id", "page_number", "exact", "at")
 
 
-@query()
+BEST = f"""{LOCATED}, vt AS (SELECT doc_id, page_number, trim(regexp_replace(string_agg(CASE WHEN prev IS NULL OR pend = 0 THEN '' ELSE ' ' END || text, '' ORDER BY run_ord), '\\s+', ' ', 'g')) AS text FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id, page_number ORDER BY run_ord) AS prev FROM vp WHERE NOT hidden) GROUP BY doc_id, page_number),
+mm AS (SELECT l.doc_id, l.id, v.page_number, position(l.snippet IN v.text) AS e, position(replace(l.snippet, ' ', '') IN replace(v.text, ' ', '')) AS o, l.snippet, l.page_number AS stored FROM lc l JOIN vt v USING (doc_id) WHERE l.snippet IS NOT NULL),
+best AS (SELECT doc_id, id, unnest(arg_min(struct_pack(page_number := page_number, exact := e > 0, found_at := CASE WHEN e > 0 THEN e ELSE o END, size := CASE WHEN e > 0 THEN length(snippet) ELSE length(replace(snippet, ' ', '')) END), (e = 0, page_number IS DISTINCT FROM stored, page_number))) FROM mm WHERE e > 0 OR o > 0 GROUP BY doc_id, id),
+pc AS (SELECT *, CASE WHEN prev IS NULL OR pend = 0 THEN '' ELSE ' ' END AS lead FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id, page_number ORDER BY run_ord) AS prev FROM vp WHERE NOT hidden) WHERE (doc_id, page_number) IN (SELECT (doc_id, page_number) FROM best)),
+ch AS (SELECT doc_id, page_number, run_ord, i - 1 - length(lead) AS off, regexp_matches((lead || text)[i], '\\s') AS ws FROM (SELECT *, unnest(range(1, length(lead || text) + 1)) AS i FROM pc)),
+kp AS (SELECT * FROM (SELECT *, lag(ws) OVER (PARTITION BY doc_id, page_number ORDER BY run_ord, off) AS pws FROM ch) WHERE NOT ws OR NOT coalesce(pws, true)),
+ps AS (SELECT *, row_number() OVER w AS pos, sum(CASE WHEN ws THEN 0 ELSE 1 END) OVER w AS dense FROM kp WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY run_ord, off ROWS UNBOUNDED PRECEDING)),
+sp2 AS (SELECT b.doc_id, b.id, b.page_number, run_ord, min(off) AS a, max(off) + 1 AS z FROM best b JOIN ps USING (doc_id, page_number) WHERE off >= 0 AND CASE WHEN exact THEN pos >= found_at AND pos < found_at + size ELSE NOT ws AND dense >= found_at AND dense < found_at + size END GROUP BY ALL),
+bx AS (SELECT s.*, r.y, r.x + r.width * a / length(r.text) - r.font_size * 0.1 AS x0, r.y - r.font_size * 0.2 AS y0, r.x + r.width * z / length(r.text) + r.font_size * 0.1 AS x1, r.y + r.font_size * 0.8 AS y1 FROM sp2 s JOIN vp r USING (doc_id, run_ord)),
+lb AS (SELECT doc_id, id, page_number, CAST(line AS INTEGER) AS line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, id, page_number ORDER BY y DESC) - 1 AS line FROM bx) GROUP BY ALL)"""
+
+
+@query(f"{BEST} SELECT doc_id, id, page_number, line, {', '.join(f'floor({c} * 100 + 0.5) / 100 AS {c}' for c in ('x0', 'y0', 'x1', 'y1'))} FROM lb")
 def q_highlight_boxes(spark, d):
     two = lambda c: T.rounded(F.col(c), 2).alias(c)
     return highlights(spark, d)["boxes"].select("doc_id", "id", "page_number", "line", *map(two, ("x0", "y0", "x1", "y1")))
@@ -273,7 +332,10 @@ def q_to_image_rect(spark, d):
     return rect.select("l_orderkey", "l_linenumber", *(T.rounded(F.col(f"r.{c}"), 2).alias(c) for c in ("left", "top", "width", "height")))
 
 
-@query()
+IMAGE = "SELECT doc_id, id, page_number, line, least(100, greatest(0, x0 / 612 * 100)) AS l, least(100, greatest(0, x1 / 612 * 100)) AS r, least(100, greatest(0, (792 - y1) / 792 * 100)) AS t, least(100, greatest(0, (792 - y0) / 792 * 100)) AS o FROM lb WHERE doc_id % 10 <> 0"
+
+
+@query(f'{BEST}, im AS ({IMAGE}) SELECT doc_id, id, page_number, line, floor(l * 100 + 0.5) / 100 AS "left", floor(t * 100 + 0.5) / 100 AS top, floor((r - l) * 100 + 0.5) / 100 AS width, floor((o - t) * 100 + 0.5) / 100 AS height FROM im WHERE r > l AND o > t')
 def q_place_highlights(spark, d):
     rects = L.place_highlights(highlights(spark, d)["boxes"], S.pages(spark, d))
     return rects.select("doc_id", "id", "page_number", "line", *(T.rounded(F.col(f"rect.{c}"), 2).alias(c) for c in ("left", "top", "width", "height")))
@@ -348,6 +410,24 @@ def q_load_analysis(spark, d):
     return D.load_analysis(S.cvs(spark, d), S.reviews(spark, d), S.job_matches(spark, d)).select("cv_id", "review_id", told.alias("matches"))
 
 
+@query(
+    f"""{BEST}, im AS ({IMAGE}), mk AS (SELECT doc_id, string_agg(id || '@' || page_number || '.' || line || ':' || CAST(floor(l * 100 + 0.5) AS BIGINT) || ',' || CAST(floor(t * 100 + 0.5) AS BIGINT) || ',' || CAST(floor((r - l) * 100 + 0.5) AS BIGINT) || ',' || CAST(floor((o - t) * 100 + 0.5) AS BIGINT), ' ' ORDER BY id, page_number, line) AS marks FROM im WHERE r > l AND o > t GROUP BY doc_id),
+pg AS (SELECT doc_id, count(DISTINCT page_number) AS n FROM runs GROUP BY doc_id)
+SELECT d.doc_id AS cv_id, d.doc_id * 10 + 1 AS review_id, CAST(coalesce(n, 0) AS INTEGER) AS n_pages, coalesce(marks, '') AS marks FROM documents d LEFT JOIN pg USING (doc_id) LEFT JOIN mk USING (doc_id)"""
+)
+def q_load_analysis_pages(spark, d):
+    """Documents with two stored reviews each: the later one's quotes are placed on the pages again."""
+    h, cvs = highlights(spark, d), S.texts(spark, d).select(F.col("doc_id").alias("cv_id"))
+    told = h["asked"].groupBy(F.col("doc_id").alias("cv_id")).agg(F.collect_list(F.struct("id", "snippet", "page_number")).alias("suggestions"))
+    later = cvs.join(told, "cv_id", "left").select((F.col("cv_id") * 10 + 1).alias("review_id"), "cv_id", F.lit("2026-02").alias("created_at"), "suggestions")
+    first = later.select((F.col("review_id") - 1).alias("review_id"), "cv_id", F.lit("2026-01").alias("created_at"), F.col("suggestions"))
+    none = spark.createDataFrame([], "match_id long, review_id long, match_score int")
+    out = D.load_analysis(cvs, later.unionByName(first), none, pages=S.pages(spark, d), runs=h["placed"], raw=h["raw"])
+    part = lambda m, c: F.floor(m["rect"][c] * 100 + 0.5).cast("string")
+    mark = lambda m: F.concat(m["id"], F.lit("@"), m["page_number"].cast("string"), F.lit("."), m["line"].cast("string"), F.lit(":"), F.concat_ws(",", *(part(m, c) for c in ("left", "top", "width", "height"))))
+    return out.select("cv_id", "review_id", F.size("pages").alias("n_pages"), F.array_join(F.transform("highlights", mark), " ").alias("marks"))
+
+
 @query("SELECT o_orderkey AS review_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
 def q_orphan_reviews(spark, d):
     return D.orphan_reviews(S.reviews(spark, d), S.cvs(spark, d).where("cv_id % 10 <> 0")).select("review_id")
@@ -374,9 +454,58 @@ def q_all_or_nothing_batch(spark, d):
     return D.violations(S.job_matches(spark, d), S.reviews(spark, d), S.cvs(spark, d)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'reviews' AS name, count(*) AS n FROM orders WHERE o_custkey % 7 <> 0 UNION ALL SELECT 'cvs', count(*) FROM customer WHERE c_custkey % 7 <> 0")
+def analyses(spark, d) -> dict[str, DataFrame]:
+    """Customers as documents with file bytes and pages, their orders as reviews, lineitems of even orders as matches."""
+    c, o, li = (S.table(spark, d, t) for t in ("customer", "orders", "lineitem"))
+    owned = o.select(F.col("o_orderkey").alias("review_id"), F.col("o_custkey").alias("cv_id"))
+    pages = c.select(F.col("c_custkey").alias("cv_id"), F.explode(F.sequence(F.lit(1), (F.col("c_nationkey") % 3 + 1).cast("int"))).alias("page_number"))
+    matches = li.where("l_orderkey % 2 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("match_id"), F.col("l_orderkey").alias("review_id"), (F.col("l_quantity") * 2).cast("int").alias("match_score"))
+    return {
+        "cvs": S.cvs(spark, d),
+        "cv_files": c.select(F.col("c_custkey").alias("cv_id"), F.encode("c_name", "UTF-8").alias("content")),
+        "cv_pages": pages.withColumn("image", F.concat_ws("/", "cv_id", "page_number")),
+        "reviews": S.reviews(spark, d).withColumn("suggestions", F.array(F.struct(F.concat(F.lit("s"), F.col("review_id").cast("string")).alias("title"), F.lit("high").alias("priority")))),
+        "job_matches": matches.join(owned, "review_id").select("match_id", "review_id", "cv_id", "match_score"),
+    }
+
+
+def read_back(store: Store) -> DataFrame:
+    """(name, cv_id, id, told) of every row of every table of a store."""
+    told = {"cvs": ("cv_id", F.col("file_name")), "cv_files": ("cv_id", F.decode("content", "UTF-8")), "cv_pages": ("page_number", F.col("image")), "reviews": ("review_id", F.concat_ws(":", "mode", F.col("suggestions")[0]["title"])), "job_matches": ("match_id", F.concat_ws(":", "review_id", "match_score"))}
+    parts = [store.read(name).select(F.lit(name).alias("name"), "cv_id", F.col(key).cast("long").alias("id"), what.alias("told")) for name, (key, what) in told.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+STORED = """st AS (SELECT 'cvs' AS name, c_custkey AS cv_id, c_custkey AS id, c_name AS told FROM customer UNION ALL SELECT 'cv_files', c_custkey, c_custkey, c_name FROM customer
+UNION ALL SELECT 'cv_pages', c_custkey, p, c_custkey || '/' || p FROM (SELECT c_custkey, unnest(range(1, c_nationkey % 3 + 2)) AS p FROM customer)
+UNION ALL SELECT 'reviews', o_custkey, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'mode-b' ELSE 'mode-a' END || ':s' || o_orderkey FROM orders
+UNION ALL SELECT 'job_matches', o_custkey, l_orderkey * 10 + l_linenumber, l_orderkey || ':' || CAST(l_quantity * 2 AS INTEGER) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 2 = 0),"""
+
+
+@query(f"WITH {STORED} z AS (SELECT 1) SELECT * FROM st WHERE cv_id % 3 = 0 OR (cv_id % 3 = 1 AND name <> 'job_matches')")
+def q_write_report(spark, d):
+    """Three batches: whole analyses, ones with a match of another document (refused whole), and documents whose reviews come in a commit of their own."""
+    store, all_of = Store(spark, f"{stored_folder(spark)}/store"), analyses(spark, d)
+    part = lambda k, names: {n: all_of[n].where(F.col("cv_id") % 3 == k) for n in names}
+    wrong = part(2, D.TABLES)
+    wrong["job_matches"] = wrong["job_matches"].withColumn("cv_id", F.when(F.col("match_id") % 10 == 1, F.col("cv_id") + 1).otherwise(F.col("cv_id")))
+    stored = [D.saved(store, b) for b in (part(0, D.TABLES), wrong, part(1, ("cvs", "cv_files", "cv_pages")), part(1, ("reviews",)))]
+    if stored != [True, False, True, True]:
+        raise AssertionError(f"batches kept: {stored}")
+    return read_back(store)
+
+
+@query(f"WITH {STORED} z AS (SELECT 1) SELECT * FROM st WHERE cv_id > (SELECT min(c_custkey) + (max(c_custkey) - min(c_custkey)) // 10 FROM customer) OR cv_id % 2 = 0")
 def q_cascade_delete(spark, d):
-    cvs = S.cvs(spark, d)
-    left = D.cascade_delete({"reviews": S.reviews(spark, d), "cvs": cvs}, cvs.where("cv_id % 7 = 0"))
-    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in left.items()]
-    return counts[0].unionByName(counts[1])
+    """Odd documents of the lowest tenth go; what is left of all five tables."""
+    store, all_of = Store(spark, f"{stored_folder(spark)}/store"), analyses(spark, d)
+    D.saved(store, all_of)
+    span = all_of["cvs"].agg(F.min("cv_id").alias("a"), F.max("cv_id").alias("b")).first()
+    D.cascade_delete(store, all_of["cvs"].where((F.col("cv_id") <= span["a"] + (span["b"] - span["a"]) // 10) & (F.col("cv_id") % 2 == 1)))
+    return read_back(store)
+
+
+def stored_folder(spark) -> str:
+    """A folder of its own where all of a cluster can read and write."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import scoring as R
 from folioscope.operators.hidden import summarize_hidden
+from folioscope.operators.messages import Messages, message
 from folioscope.plans.layout import SUMMARY, screened, typography
 from folioscope.plans.sql import KEYWORDS, SCREENED
 from folioscope.sources import tables as S
@@ -288,12 +289,19 @@ def q_typography_findings(spark, d):
     return R.typography_findings(typography(spark, d)).select("doc_id", "id")
 
 
-@query()
+@query(f"""WITH {CHECKS} hid AS (SELECT doc_id FROM ({SUMMARY}) WHERE has_words), fi AS ({FINDINGS}),
+told AS (SELECT doc_id, posting_id, 0 AS part, 0 AS o, 'hidden-text' AS id FROM pairs JOIN hid USING (doc_id) UNION ALL SELECT doc_id, posting_id, 1, sug_ord, 'sug-0' || sug_ord FROM weak WHERE sug_ord <= 3
+  UNION ALL SELECT doc_id, posting_id, 2, list_position(['typo-font-count', 'typo-font-family', 'typo-title-size', 'typo-body-size', 'typo-line-spacing', 'typo-margins', 'typo-bold-overuse', 'typo-italic-overuse', 'typo-bold-underuse'], id), id FROM pairs JOIN fi USING (doc_id)),
+st AS (SELECT doc_id, posting_id, string_agg(id, ' ' ORDER BY part, o) AS suggestions FROM told GROUP BY ALL),
+sc AS (SELECT doc_id, posting_id, string_agg(check_id || '=' || score || ':' || status, ' ' ORDER BY ord) AS checks FROM banded GROUP BY ALL)
+SELECT doc_id, posting_id, checks, overall_score, coalesce(suggestions, '') AS suggestions FROM sc JOIN overall USING (doc_id, posting_id) LEFT JOIN st USING (doc_id, posting_id)""")
 def q_assemble_report(spark, d):
-    """Checks, suggestions, hidden text and typography in one row a pair; its parts have oracles."""
+    """Checks, suggestions, hidden text and typography in one row a pair."""
     scored = checks(spark, d)
     ranked = R.rank_suggestions(R.weak_checks(scored, S.postings(spark, d)), R.achievement_bullets(lines(spark, d), lexicon(spark)))
-    return R.assemble_report(scored, ranked, hidden_rows(spark, d), R.typography_findings(typography(spark, d)))
+    report = R.assemble_report(scored, ranked, hidden_rows(spark, d), R.typography_findings(typography(spark, d)))
+    told = F.array_join(F.transform("checks", lambda c: F.concat(c["id"], F.lit("="), c["score"].cast("string"), F.lit(":"), c["status"])), " ")
+    return report.select("doc_id", "posting_id", told.alias("checks"), "overall_score", F.array_join("suggestion_ids", " ").alias("suggestions"))
 
 
 @query(f"WITH {CHECKS} z AS (SELECT 1) SELECT doc_id, check_id, check_id || ' hat ' || score || ' Punkte (' || score || ')' AS rendered FROM checks")
@@ -302,3 +310,24 @@ def q_render_text(spark, d):
     templates = spark.createDataFrame([("score", "de", "{0} hat {1} Punkte ({1})"), ("score", "en", "{0} has {1} points")], "key string, language string, template string")
     rows = checks(spark, d).select("doc_id", "check_id", F.lit("score").alias("key"), F.array(F.col("check_id"), F.col("score").cast("string")).alias("values"))
     return R.render_text(rows, templates, "de").select("doc_id", "check_id", "rendered")
+
+
+MESSAGES = Messages({"en": {"keywords": "{name}: {count:number} words. Look for {items:list}."}, "id": {"keywords": "{name}: {count:number} kata. Cari {items:list}. {other}"}})
+
+
+@query(
+    f"""WITH {STOP_SQL} {KEYWORDS}
+k AS (SELECT posting_id, count(*) AS n, string_agg(keyword, ', ' ORDER BY kw_ord) FILTER (WHERE kw_ord <= 15) AS shown FROM keywords GROUP BY posting_id),
+v AS (SELECT doc_id, lang, doc_id * 987.25::DOUBLE AS x, doc_id % (SELECT count(*) FROM benchmark) AS posting_id, unnest(['en', 'id']) AS language FROM documents),
+t AS (SELECT v.*, format('{{:,d}}', CAST(floor(x) AS BIGINT)) AS whole, rtrim(lpad(CAST(CAST((x - floor(x)) * 100 AS INTEGER) AS VARCHAR), 2, '0'), '0') AS part, coalesce(shown, '') AS shown, coalesce(n, 0) AS n FROM v LEFT JOIN k USING (posting_id)),
+w AS (SELECT *, CASE language WHEN 'en' THEN whole || CASE part WHEN '' THEN '' ELSE '.' || part END ELSE replace(whole, ',', '.') || CASE part WHEN '' THEN '' ELSE ',' || part END END AS num,
+  shown || CASE WHEN n <= 15 THEN '' WHEN language = 'en' THEN ', and ' || (n - 15) || ' more' ELSE ', dan ' || (n - 15) || ' lainnya' END AS items FROM t)
+SELECT doc_id, language, lang || CASE language WHEN 'en' THEN ': ' || num || ' words. Look for ' || items || '.' ELSE ': ' || num || ' kata. Cari ' || items || '. {{other}}' END AS message FROM w"""
+)
+def q_render_messages(spark, d):
+    """Every document's posting keywords, cut and counted, in both languages."""
+    listed = keywords(spark, d).groupBy("posting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kw_ord", "keyword"))), lambda k: k["keyword"]).alias("items"))
+    rows = S.pairs(spark, d).join(listed, "posting_id", "left").join(S.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("language", F.explode(F.array(F.lit("en"), F.lit("id"))))
+    lists = F.create_map(F.lit("items"), F.coalesce("items", F.array().cast("array<string>")))
+    told = message(MESSAGES, F.lit("keywords"), F.col("language"), F.create_map(F.lit("name"), F.col("lang")), F.create_map(F.lit("count"), F.col("doc_id") * 987.25), lists)
+    return rows.select("doc_id", "language", told.alias("message"))

@@ -89,15 +89,22 @@ def q_counter_ledger(spark, d):
     return U.counter_ledger(ledger).select(F.col("entry_id").alias("request_id"), "count")
 
 
+def stream_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run(out: DataFrame, at: str, mode: str = "append") -> None:
+    """Runs a stream over what is there, from its checkpoint on."""
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/marks").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
 def streamed(spark: SparkSession, d: str, build, mode: str = "append") -> DataFrame:
     """Runs a stream over the requests, as files, to its end and returns what it wrote."""
-    batch = S.requests(spark, d)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    batch, at = S.requests(spark, d), stream_folder(spark)
     batch.write.parquet(f"{at}/in")
     out = build(spark.readStream.schema(batch.schema).parquet(f"{at}/in"))
-    running = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/marks").outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
+    run(out, at, mode)
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
@@ -116,10 +123,46 @@ def q_usage_stream_day(spark, d):
     return streamed(spark, d, W.usage_stream_day).withColumn("day_start", F.col("day_start").cast("timestamp_ntz"))
 
 
-@query(f"{DAILY} SELECT request_id, network, day, n < 2 AS granted FROM b")
+ENTRIES = f"""WITH {REQ} raw AS (SELECT request_id, ts, network, day, 'reserve' AS action FROM rq UNION ALL SELECT request_id, ts + INTERVAL 10 MINUTE, network, strftime(ts + INTERVAL 490 MINUTE, '%Y-%m-%d'), 'release' FROM rq WHERE NOT succeeded),
+days AS (SELECT network, day, list(request_id ORDER BY ts, request_id, action) AS ids, list(action ORDER BY ts, request_id, action) AS actions, list(ts ORDER BY ts, request_id, action) AS times FROM raw GROUP BY ALL),
+walks AS (SELECT *, list_reduce([[0]] || list_transform(actions, lambda a: [CASE WHEN a = 'reserve' THEN 1 ELSE -1 END]), lambda walk, s: list_append(walk, greatest(0, least(2, walk[len(walk)] + s[1])))) AS walk FROM days),
+judged AS (SELECT network, day, unnest(ids) AS request_id, unnest(actions) AS action, unnest(times) AS ts, unnest(walk[:-2]) AS was, unnest(walk[2:]) AS used FROM walks)
+SELECT request_id, action, network, day, CASE WHEN action = 'reserve' THEN was < 2 END AS granted, CAST(used AS INTEGER) AS used FROM judged"""
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    """Every request reserves a slot; those that fail give it back ten minutes later."""
+    r = S.requests(spark, d)
+    late = r.where(~F.col("succeeded")).withColumn("ts", F.col("ts") + F.expr("interval 10 minutes"))
+    return r.withColumn("action", F.lit("reserve")).unionByName(late.withColumn("action", F.lit("release"))).drop("succeeded")
+
+
+@query(ENTRIES)
+def q_reservations(spark, d):
+    return U.reservations(entries(spark, d), 2)
+
+
+@query(f"{ENTRIES} WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM judged) - INTERVAL 1 HOUR")
 def q_usage_stream_gate(spark, d):
-    """One micro-batch over the whole table, so every request is judged before state expires."""
-    return streamed(spark, d, lambda s: W.usage_stream_gate(s, 2))
+    """Entries up to half an hour out of order in four files; the stream is restarted from its checkpoint for each."""
+    rows = entries(spark, d)
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    length = (span["b"] - span["a"]).total_seconds() or 1
+    moved = F.unix_timestamp("ts") + F.pmod(F.hash("request_id"), F.lit(1800))
+    rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.lit(3), F.floor((moved - F.unix_timestamp(F.lit(span["a"]))) / length * 4))))
+    at = stream_folder(spark)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema = rows.drop("part").schema
+        for part in range(4):
+            rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in")
+            out = W.usage_stream_gate(spark.readStream.schema(schema).parquet(f"{at}/in"), 2)
+            run(out, at)
+    finally:
+        spark.conf.set(key, was) if was else spark.conf.unset(key)
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
 ADDRESS = """ad AS (SELECT event_id, list_extract(['8.8.8.8', '10.1.2.' || user_id % 250, '169.254.169.254', '100.64.0.1', '100.100.100.200', '::1', 'fd00::1', 'fd00:ec2::254', '2606:4700::1', '2001:db8::1', '::ffff:10.0.0.1', '64:ff9b::808:808', '300.1.1.1', 'x', 'fe80::1', '[2002::1]'], CAST(event_id % 16 + 1 AS BIGINT)) AS address FROM events)"""

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folioscope.operators.usage import client_network, quota_day
 
@@ -25,26 +26,66 @@ def usage_stream_day(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return out.select("network", F.col("window.start").alias("day_start"), "n")
 
 
-def usage_stream_gate(stream: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
-    """Admits or refuses each request: a day's slots are used by successes; state goes after the day.
+class Gate(StatefulProcessor):
+    """Slots of one network's day: entries wait until the watermark has passed their minute, then are judged in order.
 
-    Rows of a micro-batch are taken in (ts, request_id) order; state per network and day is one number.
+    State is the number of slots taken and, by minute, the entries that wait. A timer at each such
+    minute's end judges it, one after the day's end clears what is left.
     """
 
-    def gate(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        granted = []
-        for ok in rows["succeeded"]:
-            granted.append(used < limit)
-            used += int(used < limit and bool(ok))
-        state.update((used,))
-        reset = pd.Timestamp(key[1]) + pd.Timedelta(hours=16)  # the next local midnight, in UTC
-        state.setTimeoutTimestamp(max(int(reset.tz_localize("UTC").timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"request_id": rows["request_id"], "network": key[0], "day": key[1], "granted": granted})
-
-    keyed = stream.withWatermark("ts", late).withColumn("network", client_network(F.col("client_ip"))).withColumn("day", quota_day(F.col("ts")))
-    return keyed.groupBy("network", "day").applyInPandasWithState(gate, "request_id long, network string, day string, granted boolean", "used int", "append", "EventTimeTimeout")
+    OUT = "request_id long, action string, network string, day string, granted boolean, used int"
+    MINUTE = 60_000
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", "n int")
+        self.waiting = handle.getMapState("waiting", "minute long", "at array<long>, ids array<long>, actions array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            at = part["ts"].dt.tz_localize(None).astype("datetime64[us]").astype("int64")
+            for minute, mine in part.assign(at=at).groupby(at // 1000 // self.MINUTE):
+                held = self.waiting.getValue((minute,)) if self.waiting.containsKey((minute,)) else ([], [], [])
+                new = (mine["at"].tolist(), mine["request_id"].tolist(), mine["action"].tolist())
+                self.waiting.updateValue((minute,), tuple(list(old) + more for old, more in zip(held, new, strict=True)))
+                self.handle.registerTimer((minute + 1) * self.MINUTE)
+        # the next midnight at +8 hours, in UTC
+        reset = pd.Timestamp(key[1]) + pd.Timedelta(hours=16)
+        self.handle.registerTimer(int(reset.timestamp() * 1000) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(minute for (minute,) in self.waiting.keys() if (minute + 1) * self.MINUTE <= now)
+        for minute in due:
+            yield self.judge(key, sorted(zip(*self.waiting.getValue((minute,)), strict=True)))
+            self.waiting.removeKey((minute,))
+        if now % self.MINUTE:  # the timer of the day's end
+            self.used.clear()
+
+    def judge(self, key, entries: list[tuple]) -> pd.DataFrame:
+        used = self.used.get()[0] if self.used.exists() else 0
+        out = []
+        for _, request_id, action in entries:
+            free = used < self.limit
+            used = used + int(free) if action == "reserve" else max(0, used - 1)
+            out.append((request_id, action, key[0], key[1], free if action == "reserve" else None, used))
+        self.used.update((used,))
+        return pd.DataFrame(out, columns=["request_id", "action", "network", "day", "granted", "used"]).astype({"granted": object, "used": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def usage_stream_gate(stream: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
+    """``reservations`` as a stream of (request_id, ts, client_ip, action): the same rows, whatever order entries come in.
+
+    An entry is judged when the watermark has passed its minute; what comes later than ``late`` is
+    dropped. Needs the RocksDB state store. Entries without a time or an address are dropped.
+    """
+    told = stream.where("ts IS NOT NULL AND client_ip IS NOT NULL").withWatermark("ts", late)
+    keyed = told.withColumn("network", client_network(F.col("client_ip"))).withColumn("day", quota_day(F.col("ts"))).select("network", "day", "request_id", "ts", "action")
+    return keyed.groupBy("network", "day").transformWithStateInPandas(Gate(limit), Gate.OUT, "Append", "EventTime")

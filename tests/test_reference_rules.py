@@ -9,6 +9,7 @@ from folioscope.operators import hidden as H
 from folioscope.operators import highlight as L
 from folioscope.operators import scoring as R
 from folioscope.operators import store as D
+from folioscope.operators.commit import Store
 from folioscope.operators import typography as Y
 from folioscope.operators import usage as U
 from folioscope.params import OTHER_HEADINGS
@@ -206,4 +207,27 @@ def test_batches_are_whole(spark, tmp_path):
     assert not D.write_report(spark, cvs, reviews, good.withColumn("cv_id", F.lit(2).cast("long")), at)
     assert not (tmp_path / "store").exists()
     assert D.write_report(spark, cvs, reviews, good, at)
-    assert spark.read.parquet(f"{at}/batch-*/matches").count() == 1
+    assert Store(spark, at).read("job_matches").count() == 1
+
+
+def test_background_on_a_grid_is_that_of_all_pairs(spark):
+    """Shapes of any size and place, points beyond the grid, against every pair of run and shape."""
+    import random
+
+    dice = random.Random(7)
+    at = lambda: dice.choice([dice.uniform(-200, 2500), 96.0 * dice.randrange(-2, 20), 0.0])
+    runs = [(1, dice.choice([1, 2]), i, at(), at(), dice.choice([0.0, 40.0]), 10.0, dice.randrange(100)) for i in range(300)]
+    shapes = []
+    for order in range(100):
+        x, y = at(), at()
+        shapes.append((1, dice.choice([1, 2]), (x, y, x + dice.choice([-5.0, 0.0, 50.0, 700.0, 5000.0]), y + dice.choice([0.0, 80.0, 900.0])), dice.choice(["fill", "image"]), dice.choice(["#112233", None, f"#0000{order:02x}"]), dice.choice([0.0, 0.5, 1.0]), order))
+    r = spark.createDataFrame(runs, "doc_id long, page_number int, run_ord int, x double, y double, width double, font_size double, paint_order int")
+    s = spark.createDataFrame(shapes, "doc_id long, page_number int, box struct<x0:double,y0:double,x1:double,y1:double>, kind string, color string, alpha double, paint_order int")
+    got = {x["run_ord"]: x["background"] for x in H.background_at(r, s).collect()}
+    want = {}
+    for _, page, i, x, y, w, size, order in runs:
+        px, py = x + w / 2, y + size * 0.3
+        under = [q for q in shapes if q[1] == page and q[5] >= 0.05 and q[2][0] <= px <= q[2][2] and q[2][1] <= py <= q[2][3] and q[6] <= order]
+        top = max(under, key=lambda q: q[6], default=None)
+        want[i] = "#ffffff" if top is None else top[4] if top[3] == "fill" and top[5] >= 0.9 else None
+    assert got == want and len(set(want.values())) > 5
