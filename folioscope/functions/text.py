@@ -19,7 +19,8 @@ def rounded(x: Column, digits: int = 0) -> Column:
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    """Without white space at either end; one pass from each end, however long the text."""
+    return F.regexp_extract(x, f"(?s)^{WS}*+(.*[^{WS[1:]})", 1)
 
 
 def collapse_ws(x: Column) -> Column:

@@ -176,7 +176,9 @@ def pick_answer(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> Da
     empty = trimmed(F.coalesce("raw", F.lit(""))) == ""
     first = F.when(~empty, F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text))
     rows = answers.select("answer_id", "mode", "language", "raw", first.alias("__first"))
-    rows = rows.withColumn("answer", F.when(valid(F.col("__first")), F.from_json("__first", ANSWER, {"mode": "PERMISSIVE"}))).drop("__first")
+    # as a generator's output, an answer is parsed once and not again for each mention of it in the filters below
+    read = F.when(valid(F.col("__first")), F.from_json("__first", ANSWER, {"mode": "PERMISSIVE"}))
+    rows = rows.select("answer_id", "mode", "language", "raw", F.explode(F.array(read)).alias("answer"))
     rows = answer_complete(rows, limits).drop("answer")
     at_once = rows.where("complete").select("answer_id", "mode", "language", F.lit(0).alias("cand_ord"), F.lit(0).alias("variant"), F.lit(None).cast("string").alias("reason"))
     rest = rows.where("NOT coalesce(complete, false)").drop("complete")

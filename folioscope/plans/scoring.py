@@ -37,7 +37,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
         every,
         lambda line, n: F.when((n == 1) & (i % 3 != 0), "The.").when((n == 3) & (i % 4 != 0), "AND.:").when((n == 5) & (i % 5 != 0), "**Of.**").when((n == 7) & (i % 2 == 0), "# is.").when(n % 4 == 2, F.concat(F.lit("- "), line)).when((n % 9 == 4) & (i % 2 == 0), F.concat(F.lit("2. "), line)).otherwise(line),
     )
-    return S.texts(spark, d).select("doc_id", F.array_join(made, "\n").alias("text"))
+    return S.spread(S.texts(spark, d)).select("doc_id", F.array_join(made, "\n").alias("text"))
 
 
 TEXTS = """
@@ -292,9 +292,9 @@ def q_typography_findings(spark, d):
 @query(f"""WITH {CHECKS} hid AS (SELECT doc_id FROM ({SUMMARY}) WHERE has_words), fi AS ({FINDINGS}),
 told AS (SELECT doc_id, posting_id, 0 AS part, 0 AS o, 'hidden-text' AS id FROM pairs JOIN hid USING (doc_id) UNION ALL SELECT doc_id, posting_id, 1, sug_ord, 'sug-0' || sug_ord FROM weak WHERE sug_ord <= 3
   UNION ALL SELECT doc_id, posting_id, 2, list_position(['typo-font-count', 'typo-font-family', 'typo-title-size', 'typo-body-size', 'typo-line-spacing', 'typo-margins', 'typo-bold-overuse', 'typo-italic-overuse', 'typo-bold-underuse'], id), id FROM pairs JOIN fi USING (doc_id)),
-st AS (SELECT doc_id, posting_id, string_agg(id, ' ' ORDER BY part, o) AS suggestions FROM told GROUP BY ALL),
-sc AS (SELECT doc_id, posting_id, string_agg(check_id || '=' || score || ':' || status, ' ' ORDER BY ord) AS checks FROM banded GROUP BY ALL)
-SELECT doc_id, posting_id, checks, overall_score, coalesce(suggestions, '') AS suggestions FROM sc JOIN overall USING (doc_id, posting_id) LEFT JOIN st USING (doc_id, posting_id)""")
+sgs AS (SELECT doc_id, posting_id, string_agg(id, ' ' ORDER BY part, o) AS suggestions FROM told GROUP BY ALL),
+scs AS (SELECT doc_id, posting_id, string_agg(check_id || '=' || score || ':' || status, ' ' ORDER BY ord) AS checks FROM banded GROUP BY ALL)
+SELECT doc_id, posting_id, checks, overall_score, coalesce(suggestions, '') AS suggestions FROM scs JOIN overall USING (doc_id, posting_id) LEFT JOIN sgs USING (doc_id, posting_id)""")
 def q_assemble_report(spark, d):
     """Checks, suggestions, hidden text and typography in one row a pair."""
     scored = checks(spark, d)
