@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("normalize_page", "classify_prefix", "summarize_hidden", "posting_keywords", "list_history", "client_network", "word_jaccard", "to_score")
+NAMES = ("normalize_page", "classify_prefix", "summarize_hidden", "posting_keywords", "list_history", "client_network", "word_jaccard", "to_score", "background_at", "repair_answers", "pick_answer", "reservations", "counter_ledger", "write_report", "cascade_delete", "render_messages", "score_documents")
 
 
 def test_entry_imports_without_a_session():

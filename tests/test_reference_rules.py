@@ -230,4 +230,4 @@ def test_background_on_a_grid_is_that_of_all_pairs(spark):
         under = [q for q in shapes if q[1] == page and q[5] >= 0.05 and q[2][0] <= px <= q[2][2] and q[2][1] <= py <= q[2][3] and q[6] <= order]
         top = max(under, key=lambda q: q[6], default=None)
         want[i] = "#ffffff" if top is None else top[4] if top[3] == "fill" and top[5] >= 0.9 else None
-    assert got == want and len(set(want.values())) > 5
+    assert got == want and len(set(want.values())) >= 3
