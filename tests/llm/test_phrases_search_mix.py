@@ -197,8 +197,10 @@ def test_mix_meets_its_targets(spark, seed):
         taken[source] += r["taken"]
         longest[source] = max(longest[source], r["size"])
     assert sum(taken.values()) == sum(sizes.values()) * 3 // 2
+    # documents are whole, so at the cut each source has at most its longest document less than its share of the time
+    late = sum(longest.values()) / sum(want.values())
     for source in sizes:
-        assert abs(taken[source] - want[source]) <= 2 * longest[source]
+        assert -longest[source] - 1 <= taken[source] - want[source] <= late * want[source] + 1
     again = [r.asDict() for r in mixed(spark, table(spark, rows[::-1]).repartition(3)).collect()]
     key = lambda r: repr(sorted(r.items()))
     assert sorted(got, key=key) == sorted(again, key=key)
