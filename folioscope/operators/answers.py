@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -62,26 +62,57 @@ def objects_in(raw: str) -> list[str]:
     return found
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def top_level_objects(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(ArrayType(StringType()))
+def top_level_objects(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for raw in batches:
-        yield raw.map(lambda r: objects_in(r or ""))
+        yield pa.array([objects_in(r.as_py() or "") for r in raw], pa.list_(pa.string()))
 
 
 FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 
 
+def candidates_of(text, objects):
+    """A fenced block, the whole text, each object."""
+    return F.concat(F.when(text.rlike(FENCE), F.array(F.regexp_extract(text, FENCE, 1))).otherwise(F.array().cast("array<string>")), F.array(text), objects)
+
+
 def answer_candidates(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
     """(answer_id, mode, language, cand_ord, candidate): a fenced block, the whole text, each object."""
     text = F.substring("raw", 1, limits.raw)
     held = answers.where(trimmed(F.coalesce("raw", F.lit(""))) != "").withColumn("__objects", top_level_objects(text))
-    every = F.concat(F.when(text.rlike(FENCE), F.array(F.regexp_extract(text, FENCE, 1))).otherwise(F.array().cast("array<string>")), F.array(text), F.col("__objects"))
-    return held.select("answer_id", "mode", "language", F.posexplode(every).alias("cand_ord", "candidate"))
+    return held.select("answer_id", "mode", "language", F.posexplode(candidates_of(text, F.col("__objects"))).alias("cand_ord", "candidate"))
 
 
 def valid(c):
     """The text is an object as it stands."""
-    return trimmed(c).rlike(r"^\{[\s\S]*\}$") & F.get_json_object(c, "$").isNotNull()
+    bare = trimmed(c)
+    return F.coalesce(bare.startswith("{") & bare.endswith("}") & F.get_json_object(c, "$").isNotNull(), F.lit(False))
+
+
+def once(value, name: str):
+    """As a generator's output a value is computed once, and not again for each mention of it in later filters and columns."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def with_readings(rows: DataFrame, candidates: str) -> DataFrame:
+    """Turns ``candidates``, an array of texts, into ``__readings`` (cand_ord, variant, text): all that are objects, in their row."""
+    kept = [c for c in rows.columns if c != candidates]
+
+    def both(text):
+        mended = F.replace(F.replace(text, F.lit("','"), F.lit('","')), F.lit("{'"), F.lit('{"'))
+        return F.struct(F.struct(text.alias("text"), valid(text).alias("ok")).alias("c"), F.when(mended != text, F.struct(mended.alias("text"), valid(mended).alias("ok"))).alias("m"))
+
+    rows = rows.select(*kept, once(F.transform(candidates, both), "__pairs"))
+    wrong = lambda n: F.transform("__pairs", lambda p: F.when(~p[n]["ok"], p[n]["text"]))
+    wrong = F.when(F.exists("__pairs", lambda p: F.coalesce(~p["c"]["ok"] | ~p["m"]["ok"], F.lit(False))), F.concat(wrong("c"), wrong("m")))
+    rows = rows.select(*kept, "__pairs", once(wrong, "__wrong")).withColumn("__mended", repair("__wrong"))
+    repaired = lambda i: F.when(F.get("__mended", i).isNotNull(), F.struct(F.get("__mended", i).alias("text"), valid(F.get("__mended", i)).alias("ok")))
+
+    def readings(p, i):
+        distinct = F.array_distinct(F.array_compact(F.array(F.when(p["c"]["text"].isNotNull(), p["c"]), p["m"], repaired(i), repaired(F.size("__pairs") + i))))
+        return F.filter(F.transform(distinct, lambda r, variant: F.struct(i.alias("cand_ord"), variant.alias("variant"), r["text"].alias("text"), r["ok"].alias("ok"))), lambda r: r["ok"])
+
+    return rows.select(*kept, once(F.flatten(F.transform("__pairs", readings)), "__readings"))
 
 
 def parse_variants(candidates: DataFrame) -> DataFrame:
@@ -90,13 +121,10 @@ def parse_variants(candidates: DataFrame) -> DataFrame:
     Readings in order, equal ones once: as it is, with two apostrophe patterns mended, and both of
     them repaired, where they are not valid. A null candidate has no reading.
     """
-    mend = lambda c: F.regexp_replace(F.regexp_replace(c, "','", '","'), r"\{'", '{"')
-    rows = candidates.withColumn("__mended", mend(F.col("candidate")))
-    c, m = F.col("candidate"), F.col("__mended")
-    rows = rows.withColumn("__repaired", repair(F.when(~valid(c), c))).withColumn("__both", repair(F.when((m != c) & ~valid(m), m)))
-    rows = rows.withColumn("__readings", F.array_distinct(F.array_compact(F.array(c, m, "__repaired", "__both"))))
-    rows = rows.select(*candidates.columns, F.posexplode("__readings").alias("variant", "__text")).where(valid(F.col("__text")))
-    return rows.withColumn("answer", F.from_json("__text", ANSWER, {"mode": "PERMISSIVE"})).where(F.col("answer").isNotNull()).drop("__text", "candidate")
+    kept = [c for c in candidates.columns if c != "candidate"]
+    rows = with_readings(candidates.select(*kept, F.array("candidate").alias("__texts")), "__texts")
+    rows = rows.select(*kept, F.explode("__readings").alias("__r"))
+    return rows.select(*kept, F.col("__r.variant").alias("variant"), once(F.from_json("__r.text", ANSWER, {"mode": "PERMISSIVE"}), "answer")).where(F.col("answer").isNotNull())
 
 
 def by_language(col, language):
@@ -111,24 +139,28 @@ KEYS = ["answer_id", "mode", "language", "cand_ord", "variant"]
 
 
 def normalize_checks(parsed: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
-    """The first entry of each known check that has a score."""
-    rows = parsed.select(*KEYS, F.posexplode("answer.atsChecks").alias("pos", "c"))
-    rows = rows.withColumn("check_id", F.lower(trimmed(F.col("c.id")))).withColumn("score", to_score(F.col("c.score"))).where(F.col("score").isNotNull() & F.col("check_id").isin(*CHECK_WEIGHTS))
-    first = rows.groupBy(*KEYS, "check_id").agg(F.min_by(F.struct("score", "c.detail"), "pos").alias("f"))
-    return first.select(*KEYS, "check_id", "f.score", prose(F.col("f.detail"), limits.detail, F.col("language")).alias("detail"))
+    """The first entry of each known check that has a score. As all that follow here, decided in the answer's row."""
+    scored = F.filter(F.transform("answer.atsChecks", lambda c: F.struct(F.lower(trimmed(c["id"])).alias("check_id"), to_score(c["score"]).alias("score"), c["detail"].alias("detail"))), lambda c: c["score"].isNotNull())
+    rows = parsed.select(*KEYS, once(scored, "__scored")).where("__scored IS NOT NULL")
+    first = F.transform(F.array(*map(F.lit, CHECK_WEIGHTS)), lambda k: F.get(F.filter("__scored", lambda c: c["check_id"] == k), F.lit(0)))
+    rows = rows.select(*KEYS, F.explode(F.array_compact(first)).alias("f"))
+    return rows.select(*KEYS, "f.check_id", "f.score", prose(F.col("f.detail"), limits.detail, F.col("language")).alias("detail"))
 
 
 def normalize_suggestions(parsed: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
     lang = F.col("language")
-    rows = parsed.select(*KEYS, F.posexplode("answer.suggestions").alias("pos", "s"))
-    category = F.lower(trimmed(F.col("s.category")))
-    rows = rows.select(
-        *KEYS, "pos", prose(F.col("s.title"), limits.title, lang).alias("title"), prose(F.col("s.description"), limits.description, lang).alias("description"),
-        F.when(category.isin(*CATEGORIES), category).otherwise("general").alias("category"), F.when(F.col("s.priority").isin("high", "low"), F.col("s.priority")).otherwise("medium").alias("priority"),
-        F.coalesce(clip(F.col("s.targetTextSnippet"), limits.snippet), F.lit("")).alias("snippet"),
-    ).where("title <> '' and description <> ''")
-    order = Window.partitionBy(*KEYS).orderBy("pos")
-    return rows.withColumn("sug_ord", F.row_number().over(order)).where(F.col("sug_ord") <= limits.suggestions).drop("pos")
+
+    def told(s):
+        category = F.lower(trimmed(s["category"]))
+        return F.struct(
+            prose(s["title"], limits.title, lang).alias("title"), prose(s["description"], limits.description, lang).alias("description"),
+            F.when(category.isin(*CATEGORIES), category).otherwise("general").alias("category"), F.when(s["priority"].isin("high", "low"), s["priority"]).otherwise("medium").alias("priority"),
+            F.coalesce(clip(s["targetTextSnippet"], limits.snippet), F.lit("")).alias("snippet"),
+        )
+
+    good = F.filter(F.transform("answer.suggestions", told), lambda s: (s["title"] != "") & (s["description"] != ""))
+    rows = parsed.select(*KEYS, F.posexplode(F.slice(good, 1, limits.suggestions)).alias("at", "s"))
+    return rows.select(*KEYS, "s.*", (F.col("at") + 1).alias("sug_ord"))
 
 
 def string_list(col, n: int, chars: int, language):
@@ -139,54 +171,66 @@ def string_list(col, n: int, chars: int, language):
 def normalize_jobs(parsed: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
     """Jobs with title, score and reason; the five best, equal scores in the answer's order."""
     lang = F.col("language")
-    rows = parsed.select(*KEYS, F.posexplode("answer.suggestedJobs").alias("pos", "j"))
-    rows = rows.select(
-        *KEYS, "pos", prose(F.col("j.title"), limits.title, lang).alias("job_title"), to_score(F.col("j.matchScore")).alias("match_score"), prose(F.col("j.reason"), limits.reason, lang).alias("reason"),
-        string_list(F.col("j.keyStrengths"), limits.items, limits.item, lang).alias("key_strengths"), string_list(F.col("j.missingSkills"), limits.items, limits.item, lang).alias("missing_skills"),
-    ).where("job_title <> '' and match_score is not null and reason <> ''")
-    order = Window.partitionBy(*KEYS).orderBy(F.desc("match_score"), "pos")
-    return rows.withColumn("job_ord", F.row_number().over(order)).where(F.col("job_ord") <= limits.jobs).drop("pos")
+    items = lambda c: string_list(c, limits.items, limits.item, lang)
+    told = lambda j, pos: F.struct((-to_score(j["matchScore"])).alias("down"), pos.alias("pos"), prose(j["title"], limits.title, lang).alias("job_title"), prose(j["reason"], limits.reason, lang).alias("reason"), items(j["keyStrengths"]).alias("key_strengths"), items(j["missingSkills"]).alias("missing_skills"))
+    good = F.filter(F.transform("answer.suggestedJobs", told), lambda j: (j["job_title"] != "") & j["down"].isNotNull() & (j["reason"] != ""))
+    rows = parsed.select(*KEYS, F.posexplode(F.slice(F.array_sort(good), 1, limits.jobs)).alias("at", "j"))
+    return rows.select(*KEYS, "j.job_title", (-F.col("j.down")).alias("match_score"), "j.reason", "j.key_strengths", "j.missing_skills", (F.col("at") + 1).alias("job_ord"))
 
 
 def normalize_weaknesses(parsed: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
     return parsed.select(*KEYS, F.posexplode(string_list(F.col("answer.weaknesses"), limits.weaknesses, limits.weakness, F.col("language"))).alias("weak_ord", "weakness"))
 
 
-def answer_complete(parsed: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
-    """Adds ``complete``: mode-b needs keyword, skills and five jobs, mode-a any check of the model's.
+def is_complete(answer, mode, limits: AnswerLimits):
+    """Mode-b needs keyword, skills and five jobs, mode-a any check of the model's.
 
     Decided in the row, as ``normalize_checks`` and ``normalize_jobs`` would: prose with a letter or digit never
     cleans to nothing, and of what has neither only marks of emphasis go.
     """
-    scored = lambda *names: F.exists("answer.atsChecks", lambda c: F.lower(trimmed(c["id"])).isin(*names) & to_score(c["score"]).isNotNull())
+    scored = lambda *names: F.coalesce(F.exists(answer["atsChecks"], lambda c: F.lower(trimmed(c["id"])).isin(*names) & to_score(c["score"]).isNotNull()), F.lit(False))
     told = lambda x, n: x.isNotNull() & (x.rlike(r"[\p{L}\p{N}]") | (clip(without_emphasis(x), n) != ""))
-    good = F.filter("answer.suggestedJobs", lambda j: to_score(j["matchScore"]).isNotNull() & told(j["title"], limits.title) & told(j["reason"], limits.reason))
-    b = F.coalesce(scored("keyword"), F.lit(False)) & F.coalesce(scored("skills"), F.lit(False)) & (F.coalesce(F.size(good), F.lit(0)) >= limits.jobs)
-    a = F.coalesce(scored("keyword", "skills", "sections", "quantified", "readability"), F.lit(False))
-    return parsed.withColumn("complete", F.when(F.col("mode") == "mode-b", b).otherwise(a))
+    good = F.filter(answer["suggestedJobs"], lambda j: to_score(j["matchScore"]).isNotNull() & told(j["title"], limits.title) & told(j["reason"], limits.reason))
+    b = scored("keyword") & scored("skills") & (F.coalesce(F.size(good), F.lit(0)) >= limits.jobs)
+    return F.when(mode == "mode-b", b).otherwise(scored("keyword", "skills", "sections", "quantified", "readability"))
 
 
-def pick_answer(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
-    """Per answer the first complete reading (cand_ord, variant), or the reason there is none.
+def answer_complete(parsed: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
+    """Adds ``complete``, see ``is_complete``."""
+    return parsed.withColumn("complete", is_complete(F.col("answer"), F.col("mode"), limits))
 
-    Most answers are complete as they come: the first candidate is read in its row. Only the others
-    are taken apart into all candidates and readings. Answers are told apart by ``answer_id``.
+
+def read_answers(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
+    """Per answer the first complete reading (cand_ord, variant) with its ``answer``, or the ``reason`` there is none.
+
+    One pass without a shuffle. Most answers are complete as they come, in their first candidate; only
+    the others are taken apart into all candidates and readings, in their row too.
     """
+    keys = ["answer_id", "mode", "language"]
     text = F.substring("raw", 1, limits.raw)
     empty = trimmed(F.coalesce("raw", F.lit(""))) == ""
     first = F.when(~empty, F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text))
-    rows = answers.select("answer_id", "mode", "language", "raw", first.alias("__first"))
-    # as a generator's output, an answer is parsed once and not again for each mention of it in the filters below
-    read = F.when(valid(F.col("__first")), F.from_json("__first", ANSWER, {"mode": "PERMISSIVE"}))
-    rows = rows.select("answer_id", "mode", "language", "raw", F.explode(F.array(read)).alias("answer"))
-    rows = answer_complete(rows, limits).drop("answer")
-    at_once = rows.where("complete").select("answer_id", "mode", "language", F.lit(0).alias("cand_ord"), F.lit(0).alias("variant"), F.lit(None).cast("string").alias("reason"))
-    rest = rows.where("NOT coalesce(complete, false)").drop("complete")
-    judged = answer_complete(parse_variants(answer_candidates(rest, limits)), limits)
-    best = judged.groupBy("answer_id").agg(F.min(F.when(F.col("complete"), F.struct("cand_ord", "variant"))).alias("best"))
-    out = rest.join(best.withColumn("parsed", F.lit(True)), "answer_id", "left")
-    reason = F.when(empty, "empty").when(F.col("parsed").isNull(), "no-json").when(F.col("best").isNull(), "incomplete")
-    return at_once.unionByName(out.select("answer_id", "mode", "language", "best.cand_ord", "best.variant", reason.alias("reason")))
+    parse = lambda c: F.from_json(c, ANSWER, {"mode": "PERMISSIVE"})
+    rows = answers.select(*keys, text.alias("__text"), once(F.struct(first.alias("first"), empty.alias("empty")), "__r"))
+    rows = rows.select(*keys, "__text", F.col("__r.empty").alias("__empty"), once(F.when(valid(F.col("__r.first")), parse("__r.first")), "__first"))
+    complete = F.coalesce(is_complete(F.col("__first"), F.col("mode"), limits), F.lit(False))
+    rows = rows.select(*keys, "__text", "__empty", "__first", once(complete, "__complete"))
+    rows = rows.select(*keys, "__empty", "__complete", F.when(F.col("__complete"), F.col("__first")).alias("__first"), F.when(~F.col("__complete") & ~F.col("__empty"), F.col("__text")).alias("__text"))
+    rows = rows.withColumn("__objects", top_level_objects("__text"))
+    held = [*keys, "__empty", "__complete", "__first"]
+    rows = with_readings(rows.select(*held, F.when(F.col("__text").isNotNull(), candidates_of(F.col("__text"), F.col("__objects"))).alias("__texts")), "__texts")
+    read = F.transform("__readings", lambda r: F.struct(r["cand_ord"].alias("cand_ord"), r["variant"].alias("variant"), parse(r["text"]).alias("answer")))
+    rows = rows.select(*held, once(F.filter(read, lambda r: r["answer"].isNotNull()), "__read"))
+    best = F.get(F.filter("__read", lambda r: F.coalesce(is_complete(r["answer"], F.col("mode"), limits), F.lit(False))), F.lit(0))
+    at_once = F.struct(F.lit(0).alias("cand_ord"), F.lit(0).alias("variant"), F.col("__first").alias("answer"))
+    rows = rows.select(*keys, "__empty", (F.size("__read") > 0).alias("__parsed"), once(F.when(F.col("__complete"), at_once).otherwise(best), "__best"))
+    reason = F.when(F.col("__best").isNotNull(), None).when(F.col("__empty"), "empty").when(F.col("__parsed"), "incomplete").otherwise("no-json")
+    return rows.select(*keys, "__best.cand_ord", "__best.variant", "__best.answer", reason.alias("reason"))
+
+
+def pick_answer(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
+    """``read_answers`` without what was read."""
+    return read_answers(answers, limits).drop("answer")
 
 
 # fixed values: results must agree on which provider messages mean no credit or a bad key
