@@ -12,16 +12,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from folioscope.operators.usage import client_network, quota_day
 
 
-def usage_stream_hour(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+def usage_stream_hour(stream: DataFrame, late: str = "1 hour", digits: int = 4) -> DataFrame:
     """Requests per network and clock hour; what comes later than ``late`` is dropped."""
-    keyed = stream.withWatermark("ts", late).withColumn("network", client_network(F.col("client_ip")))
+    keyed = stream.withWatermark("ts", late).withColumn("network", client_network(F.col("client_ip"), digits))
     out = keyed.groupBy("network", F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
     return out.select("network", F.col("window.start").alias("hour_start"), "n")
 
 
-def usage_stream_day(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+def usage_stream_day(stream: DataFrame, late: str = "1 hour", digits: int = 4) -> DataFrame:
     """Successful requests per network and day at +8 hours (16:00 to 16:00 UTC)."""
-    keyed = stream.withWatermark("ts", late).where("succeeded").withColumn("network", client_network(F.col("client_ip")))
+    keyed = stream.withWatermark("ts", late).where("succeeded").withColumn("network", client_network(F.col("client_ip"), digits))
     out = keyed.groupBy("network", F.window("ts", "1 day", "1 day", "16 hours")).agg(F.count("*").alias("n"))
     return out.select("network", F.col("window.start").alias("day_start"), "n")
 
@@ -80,12 +80,12 @@ class Gate(StatefulProcessor):
         pass
 
 
-def usage_stream_gate(stream: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
+def usage_stream_gate(stream: DataFrame, limit: int, late: str = "1 hour", digits: int = 4) -> DataFrame:
     """``reservations`` as a stream of (request_id, ts, client_ip, action): the same rows, whatever order entries come in.
 
     An entry is judged when the watermark has passed its minute; what comes later than ``late`` is
     dropped. Needs the RocksDB state store. Entries without a time or an address are dropped.
     """
     told = stream.where("ts IS NOT NULL AND client_ip IS NOT NULL").withWatermark("ts", late)
-    keyed = told.withColumn("network", client_network(F.col("client_ip"))).withColumn("day", quota_day(F.col("ts"))).select("network", "day", "request_id", "ts", "action")
+    keyed = told.withColumn("network", client_network(F.col("client_ip"), digits)).withColumn("day", quota_day(F.col("ts"))).select("network", "day", "request_id", "ts", "action")
     return keyed.groupBy("network", "day").transformWithStateInPandas(Gate(limit), Gate.OUT, "Append", "EventTime")

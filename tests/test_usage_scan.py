@@ -66,3 +66,10 @@ def test_scans_of_nothing_and_of_nulls(spark):
     assert U.daily_quota(spark.createDataFrame([], ROWS), 2).collect() == []
     odd = spark.createDataFrame([(1, None, None, None, None, None), (2, START, None, True, "reserve", 1), (2, START, None, True, "reserve", 1)], ROWS)
     assert sorted(r["total"] for r in running_total(odd, ["client_ip"], "ts", "request_id", F.col("change"), 60, "total").collect()) == [0, 1, 2]
+
+
+def test_networks_of_made_up_addresses_with_wide_groups(spark):
+    table = spark.createDataFrame([("2001:db8:15f90::3",), ("2001:db8:ffff::3",)], "ip string")
+    network = lambda *digits: [r[0] for r in table.select(U.client_network(F.col("ip"), *digits)).collect()]
+    assert network() == ["2001:db8:15f90::3", "2001:db8:ffff:0::/64"]  # no address of the network has such a group
+    assert network(16) == ["2001:db8:15f90:0::/64", "2001:db8:ffff:0::/64"]
