@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from folioscope.functions.text import trimmed
+from folioscope.functions.text import clean_prose, rewritten_prose, trimmed
 from folioscope.operators import answers as N
 
 RAW = '{"atsChecks": [{"id": " Skills ", "score": "7.5", "detail": "a"}, {"id": "skills", "score": 9}, {"id": "keyword", "score": "x"}, {"id": "other", "score": 1}], "weaknesses": ["w", " "], "suggestions": [{"title": "", "description": "d"}, {"title": "t", "description": "d"}], "suggestedJobs": [{"title": "J0", "matchScore": 5, "reason": "r"}, {"title": "J1", "matchScore": 8, "reason": "r"}, {"title": "J2", "matchScore": 8, "reason": "r"}, {"title": "J3", "reason": "r"}]}'
@@ -34,3 +36,20 @@ def test_trimmed(spark):
     row = spark.createDataFrame([("﻿　 a b \t\x0b ", " \n", None, "\x85a")], "a string, b string, c string, d string").select(*(trimmed(c) for c in "abcd")).first()
     assert tuple(row) == ("a b", "", None, "\x85a")
     assert "regexp" not in str(trimmed("a"))
+
+
+def test_clean_prose_of_texts_without_words_equals_its_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, ""), (2, "12 345."), (3, "éè 文"), (4, None), (5, "one two"), (6, "Example of")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, text FROM ({entry.oracle_sql()['clean_prose']}) ORDER BY 1").fetchall()
+    assert [tuple(r) for r in entry.queries()["clean_prose"](spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+
+
+def test_prose_with_nothing_to_clean_is_only_trimmed(spark):
+    texts = [" a b ", "a  b", "**a** b", "x — y", "Example: a", "such as example: b", "a\tb", "a\t\tb", "a_b", "__a__", None, ""]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r["a"] == r["b"] for r in table.select(clean_prose(F.col("t")).alias("a"), rewritten_prose(F.col("t"), "en").alias("b")).collect())
