@@ -64,6 +64,55 @@ def subword_codes(word: str, params: LangIdParams) -> tuple[list[int], list[int]
     return [zlib.crc32(s.encode()) for s in short], [zlib.crc32(s.encode()) for s in (*long, marked)]
 
 
+def grams_of(words: list[str], params: LangIdParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``subword_codes`` of many words: the short ones of all, how many each word has, and the same of the long ones.
+
+    In ASCII words a subword is a slice of bytes, so a word is encoded once.
+    """
+    crc, short, long, n_short, n_long = zlib.crc32, [], [], [], []
+    for word in words:
+        if word.isascii():
+            at_short, at_long, marked = len(short), len(long), f"<{word}>".encode()
+            size = len(marked)
+            for n in range(1, params.telling):
+                edge = n == 1
+                short += [crc(marked[i : i + n]) for i in range(edge, size - n + 1 - edge)]
+            for n in range(params.telling, params.longest + 1):
+                long += [crc(marked[i : i + n]) for i in range(size - n + 1)]
+            long.append(crc(marked))
+            n_short.append(len(short) - at_short)
+            n_long.append(len(long) - at_long)
+        else:
+            a, b = subword_codes(word, params)
+            short += a
+            long += b
+            n_short.append(len(a))
+            n_long.append(len(b))
+    return np.array(short, np.int64), np.array(n_short, np.int64), np.array(long, np.int64), np.array(n_long, np.int64)
+
+
+def sums_by_word(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of the given sizes; 0 for an empty run."""
+    out = np.zeros((len(sizes), *values.shape[1:]))
+    held = np.flatnonzero(sizes)
+    if len(held):
+        starts = (np.cumsum(sizes) - sizes)[held]
+        out[held] = np.add.reduceat(values, starts, axis=0)
+    return out
+
+
+def word_scores(words: list[str], table: np.ndarray, seen: np.ndarray, params: LangIdParams) -> np.ndarray:
+    """Of each word: the sum of its subwords' rows of ``table``, their number, the share of telling ones that were met, and 1; zeros without a letter."""
+    short, n_short, long, n_long = grams_of(words, params)
+    k = table.shape[1]
+    out = np.zeros((len(words), k + 3))
+    out[:, :k] = sums_by_word(table[short % params.cells], n_short) + sums_by_word(table[long % params.cells], n_long)
+    out[:, k] = n_short + n_long
+    out[:, k + 1] = sums_by_word(seen[long % SEEN_CELLS].astype(np.float64), n_long) / np.maximum(n_long, 1)
+    out[:, k + 2] = n_long > 0
+    return out
+
+
 def subwords(word: str, params: LangIdParams) -> list[int]:
     """Cells of a word's subwords in the table of embeddings."""
     short, long = subword_codes(word, params)
@@ -263,13 +312,14 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, params: LangIdPa
             for (text,) in rows_of(iter([batch]), "text", at_once=200):
                 words = WORD.findall((text or "").lower()) if k else []
                 distinct = set(words)
-                for word in distinct.difference(number):
-                    at = number[word] = len(number)
-                    if at >= len(scores):
+                fresh = list(distinct.difference(number))
+                for begin in range(0, len(fresh), 4096):
+                    some = fresh[begin : begin + 4096]
+                    at = len(number)
+                    while at + len(some) > len(scores):
                         scores = held["scores"] = np.concatenate([scores, np.zeros_like(scores)])
-                    short, long = subword_codes(word, params)
-                    scores[at, :k], scores[at, k] = table[[c % params.cells for c in short + long]].sum(axis=0), len(short) + len(long)
-                    scores[at, k + 1 :] = (familiar.seen[[c % SEEN_CELLS for c in long]].mean(), 1) if long else (0, 0)
+                    scores[at : at + len(some)] = word_scores(some, table, familiar.seen, params)
+                    number.update(zip(some, range(at, at + len(some)), strict=True))
                 total = scores[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].sum(axis=0)
                 if total[k] == 0:
                     langs.append(UNDETERMINED)

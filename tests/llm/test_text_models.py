@@ -172,3 +172,20 @@ def test_numbers_beside_other_words_are_found(spark, before, value, after, kind)
         assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
     if kind == "card":
         assert luhn("".join(filter(str.isdigit, new)))
+
+
+def test_scores_of_many_words_are_those_of_each():
+    import numpy as np
+
+    from folioscope.llm.lang_id import SEEN_CELLS, subwords, telling_subwords, word_scores
+
+    params = LangIdParams(cells=1 << 10)
+    dice = np.random.default_rng(5)
+    table, seen = dice.normal(size=(params.cells, 3)), dice.random(SEEN_CELLS) < 0.5
+    words = ["a", "the", "\u00b2", "\u00e9t\u00e9", "word", "\u00e0", "x" * 50]
+    got = word_scores(words, table, seen, params)
+    for word, row in zip(words, got, strict=True):
+        cells, long = subwords(word, params), telling_subwords(word, params)
+        assert np.allclose(row[:3], table[cells].sum(axis=0)) and row[3] == len(cells)
+        assert (row[4], row[5]) == ((seen[long].mean(), 1) if long else (0, 0))
+    assert word_scores([], table, seen, params).shape == (0, 6)
