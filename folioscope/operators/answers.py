@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from folioscope.functions.text import clean_prose, clip, escape_data_tags, to_score, trimmed, without_emphasis
+from folioscope.functions.text import clean_prose, clip, escape_data_tags, once, to_score, trimmed, without_emphasis
 from folioscope.operators.repair import repair
 from folioscope.params import CHECK_WEIGHTS, AnswerLimits
 
@@ -89,11 +89,6 @@ def valid(c):
     return F.coalesce(bare.startswith("{") & bare.endswith("}") & F.get_json_object(c, "$").isNotNull(), F.lit(False))
 
 
-def once(value, name: str):
-    """As a generator's output a value is computed once, and not again for each mention of it in later filters and columns."""
-    return F.explode(F.array(value)).alias(name)
-
-
 def with_readings(rows: DataFrame, candidates: str) -> DataFrame:
     """Turns ``candidates``, an array of texts, into ``__readings`` (cand_ord, variant, text): all that are objects, in their row."""
     kept = [c for c in rows.columns if c != candidates]
