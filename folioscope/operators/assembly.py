@@ -82,12 +82,11 @@ def assemble_visible(runs: DataFrame) -> DataFrame:
     shown = F.sum((~F.col("hidden")).cast("int"))
     grouped = runs.withColumn("strength", strength).withColumn("since", F.coalesce(shown.over(before()), F.lit(0)))
     in_group = Window.partitionBy("doc_id", "since").orderBy("run_ord").rowsBetween(Window.unboundedPreceding, 0)
-    seen = grouped.withColumn("pending", F.max("strength").over(in_group)).where("not hidden")
-    left = F.last(F.when(F.col("text") != "", F.col("text")), ignorenulls=True).over(before())
+    seen = grouped.withColumn("pending", F.max("strength").over(in_group))
+    left = F.last(F.when(~F.col("hidden") & (F.col("text") != ""), F.col("text")), ignorenulls=True).over(before())
     sep = F.when(F.col("pending") == 2, "\n").when(F.col("pending") == 1, " ").otherwise("")
-    pieces = seen.withColumn("piece", F.concat(F.when(left.isNull(), "").otherwise(joint(ends_blank(left), sep, F.col("text"))), F.col("text")))
-    visible = pieces.groupBy("doc_id").agg(joined(F.col("piece"), "").alias("visible_text"))
-    return runs.select("doc_id").distinct().join(visible, "doc_id", "left").select("doc_id", F.coalesce("visible_text", F.lit("")).alias("visible_text"))
+    pieces = seen.withColumn("left", left).withColumn("piece", F.concat(F.when(F.col("left").isNull(), "").otherwise(joint(ends_blank(F.col("left")), sep, F.col("text"))), F.col("text")))
+    return pieces.groupBy("doc_id").agg(joined(F.when(~F.col("hidden"), F.col("piece")), "").alias("visible_text"))  # null pieces are not joined
 
 
 def page_spans(placed: DataFrame, raw: DataFrame) -> DataFrame:
