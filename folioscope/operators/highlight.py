@@ -18,13 +18,18 @@ def page_text_map(runs: DataFrame, raw: DataFrame) -> DataFrame:
     ``source`` joins the page's runs, with one space of no run where white space stands between two;
     ``text`` is its collapsed form. ``runs`` has where each run begins in ``source`` (from 0), its
     number and its length, in order. ``runs`` of the input carries text_start and text_end, ``raw``
-    doc_id and raw_text.
+    doc_id and raw_text. Where runs carry their lead and text too, these are taken, and a running count
+    tells whether white space stands between two: cutting a long raw text for every run costs the square.
     """
     by_page = Window.partitionBy(*PAGE).orderBy("text_start", "run_ord")
-    held = runs.select(*PAGE, "run_ord", "text_start", "text_end", F.lag("text_end").over(by_page).alias("before")).join(raw, "doc_id")
-    between = F.when(F.col("before").isNotNull(), F.substring("raw_text", F.col("before") + 1, F.col("text_start") - F.col("before"))).otherwise("")
-    own = F.substring("raw_text", F.col("text_start") + 1, F.col("text_end") - F.col("text_start"))
-    parts = held.select(*PAGE, "text_start", "run_ord", F.when(between.rlike(WS), " ").otherwise("").alias("lead"), own.alias("own"))
+    if {"lead", "text"} <= set(runs.columns):
+        blank = lambda c: F.col(c).rlike(WS).cast("int")
+        by_doc = Window.partitionBy("doc_id").orderBy("text_start", "run_ord").rowsBetween(Window.unboundedPreceding, 0)
+        held = runs.select(*PAGE, "run_ord", "text_start", F.col("text").alias("own"), blank("text").alias("inside"), F.sum(blank("lead") + blank("text")).over(by_doc).alias("blanks"))
+        between = F.col("blanks") - F.col("inside") > F.lag("blanks").over(by_page)  # null for the first of a page
+        parts = held.select(*PAGE, "text_start", "run_ord", F.when(between, " ").otherwise("").alias("lead"), "own")
+    else:
+        parts = cut_pieces(runs, raw)
     ends = F.sum(F.length("lead") + F.length("own")).over(by_page.rowsBetween(Window.unboundedPreceding, 0))
     parts = parts.withColumn("at", (ends - F.length("own")).cast("int"))
     pages = parts.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("text_start", "run_ord", "at", F.length("own").alias("n"), F.concat("lead", "own").alias("piece")))).alias("items"))
@@ -32,6 +37,15 @@ def page_text_map(runs: DataFrame, raw: DataFrame) -> DataFrame:
     return pages.select(*PAGE, source.alias("source"), F.transform("items", lambda i: F.struct(i["at"].alias("at"), i["run_ord"].alias("run_ord"), i["n"].alias("n"))).alias("runs")).withColumn("text", collapse_ws(F.col("source")))
 
 
+def cut_pieces(runs: DataFrame, raw: DataFrame) -> DataFrame:
+    """Runs with their own text and what stands before it, cut from the raw text by their offsets."""
+    by_page = Window.partitionBy(*PAGE).orderBy("text_start", "run_ord")
+    held = runs.select(*PAGE, "run_ord", "text_start", "text_end", F.lag("text_end").over(by_page).alias("before")).join(raw, "doc_id")
+    between = F.when(F.col("before").isNotNull(), F.substring("raw_text", F.col("before") + 1, F.col("text_start") - F.col("before"))).otherwise("")
+    own = F.substring("raw_text", F.col("text_start") + 1, F.col("text_end") - F.col("text_start"))
+    return held.select(*PAGE, "text_start", "run_ord", F.when(between.rlike(WS), " ").otherwise("").alias("lead"), own.alias("own"))
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE, "text")
 
