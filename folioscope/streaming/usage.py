@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,8 +29,9 @@ def usage_stream_day(stream: DataFrame, late: str = "1 hour", digits: int = 4) -
 class Gate(StatefulProcessor):
     """Slots of one network's day: entries wait until the watermark has passed their minute, then are judged in order.
 
-    State is the number of slots taken and, by minute, the entries that wait. A timer at each such
-    minute's end judges it, one after the day's end clears what is left.
+    State is the number of slots taken and, by minute, the entries that wait. One timer stands at the
+    end of the earliest such minute; it judges all that are due, a minute at a time, and sets the next.
+    After the last of them it stands at the day's end, which clears what is left.
     """
 
     OUT = "request_id long, action string, network string, day string, granted boolean, used int"
@@ -44,37 +45,40 @@ class Gate(StatefulProcessor):
         self.used = handle.getValueState("used", "n int")
         self.waiting = handle.getMapState("waiting", "minute long", "at array<long>, ids array<long>, actions array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            at = part["ts"].dt.tz_localize(None).astype("datetime64[us]").astype("int64")
-            for minute, mine in part.assign(at=at).groupby(at // 1000 // self.MINUTE):
-                held = self.waiting.getValue((minute,)) if self.waiting.containsKey((minute,)) else ([], [], [])
-                new = (mine["at"].tolist(), mine["request_id"].tolist(), mine["action"].tolist())
-                self.waiting.updateValue((minute,), tuple(list(old) + more for old, more in zip(held, new, strict=True)))
-                self.handle.registerTimer((minute + 1) * self.MINUTE)
-        # the next midnight at +8 hours, in UTC
-        reset = pd.Timestamp(key[1]) + pd.Timedelta(hours=16)
-        self.handle.registerTimer(int(reset.timestamp() * 1000) + 1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new: dict[int, tuple[list, list, list]] = {}
+        for row in rows:
+            mine = new.setdefault(row["at"] // 1000 // self.MINUTE, ([], [], []))
+            for column, value in zip(mine, (row["at"], row["request_id"], row["action"]), strict=True):
+                column.append(value)
+        for minute, mine in new.items():
+            held = self.waiting.getValue((minute,))
+            self.waiting.updateValue((minute,), tuple(list(old) + more for old, more in zip(held, mine, strict=True)) if held else mine)
+        if new:
+            self.handle.registerTimer((min(new) + 1) * self.MINUTE)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted(minute for (minute,) in self.waiting.keys() if (minute + 1) * self.MINUTE <= now)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        minutes = sorted(minute for (minute,) in self.waiting.keys())
+        due = [minute for minute in minutes if (minute + 1) * self.MINUTE <= now]
+        was = self.used.get()
+        used = was[0] if was else 0
         for minute in due:
-            yield self.judge(key, sorted(zip(*self.waiting.getValue((minute,)), strict=True)))
+            for _, request_id, action in sorted(zip(*self.waiting.getValue((minute,)), strict=True)):
+                free = used < self.limit
+                used = used + int(free) if action == "reserve" else max(0, used - 1)
+                yield Row(request_id=request_id, action=action, network=key[0], day=key[1], granted=free if action == "reserve" else None, used=used)
             self.waiting.removeKey((minute,))
-        if now % self.MINUTE:  # the timer of the day's end
-            self.used.clear()
-
-    def judge(self, key, entries: list[tuple]) -> pd.DataFrame:
-        used = self.used.get()[0] if self.used.exists() else 0
-        out = []
-        for _, request_id, action in entries:
-            free = used < self.limit
-            used = used + int(free) if action == "reserve" else max(0, used - 1)
-            out.append((request_id, action, key[0], key[1], free if action == "reserve" else None, used))
-        self.used.update((used,))
-        return pd.DataFrame(out, columns=["request_id", "action", "network", "day", "granted", "used"]).astype({"granted": object, "used": "int32"})
+        # the next midnight at +8 hours, in UTC
+        reset = int((datetime.fromisoformat(key[1]).replace(tzinfo=UTC) + timedelta(hours=16)).timestamp() * 1000)
+        if reset < now:
+            if was:
+                self.used.clear()
+            return
+        if due:
+            self.used.update((used,))
+        self.handle.registerTimer((minutes[len(due)] + 1) * self.MINUTE if len(due) < len(minutes) else reset + 1)
 
     def close(self) -> None:
         pass
@@ -87,5 +91,5 @@ def usage_stream_gate(stream: DataFrame, limit: int, late: str = "1 hour", digit
     dropped. Needs the RocksDB state store. Entries without a time or an address are dropped.
     """
     told = stream.where("ts IS NOT NULL AND client_ip IS NOT NULL").withWatermark("ts", late)
-    keyed = told.withColumn("network", client_network(F.col("client_ip"), digits)).withColumn("day", quota_day(F.col("ts"))).select("network", "day", "request_id", "ts", "action")
-    return keyed.groupBy("network", "day").transformWithStateInPandas(Gate(limit), Gate.OUT, "Append", "EventTime")
+    keyed = told.withColumn("network", client_network(F.col("client_ip"), digits)).withColumn("day", quota_day(F.col("ts"))).select("network", "day", "request_id", "ts", F.unix_micros("ts").alias("at"), "action")
+    return keyed.groupBy("network", "day").transformWithState(Gate(limit), Gate.OUT, "Append", "EventTime")
