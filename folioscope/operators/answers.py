@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from folioscope.functions.text import clean_prose, clip, escape_data_tags, once, to_score, trimmed, without_emphasis
 from folioscope.operators.repair import repair
-from folioscope.params import CHECK_WEIGHTS, AnswerLimits
+from folioscope.params import CHECK_WEIGHTS, WS_CHARS, AnswerLimits
 
 ANSWER = (
     "atsChecks array<struct<id:string,score:string,detail:string>>, weaknesses array<string>, "
@@ -71,22 +71,32 @@ def top_level_objects(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 
 
+def fenced(text):
+    """The text has a fenced block; most have no fence at all, so no pattern is matched against them."""
+    return text.contains("```") & text.rlike(FENCE)
+
+
+def blank(text):
+    """Nothing but white space; looks no further than the first other character."""
+    return F.ltrim(text, F.lit(WS_CHARS)) == ""
+
+
 def candidates_of(text, objects):
     """A fenced block, the whole text, each object."""
-    return F.concat(F.when(text.rlike(FENCE), F.array(F.regexp_extract(text, FENCE, 1))).otherwise(F.array().cast("array<string>")), F.array(text), objects)
+    return F.concat(F.when(fenced(text), F.array(F.regexp_extract(text, FENCE, 1))).otherwise(F.array().cast("array<string>")), F.array(text), objects)
 
 
 def answer_candidates(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> DataFrame:
     """(answer_id, mode, language, cand_ord, candidate): a fenced block, the whole text, each object."""
     text = F.substring("raw", 1, limits.raw)
-    held = answers.where(trimmed(F.coalesce("raw", F.lit(""))) != "").withColumn("__objects", top_level_objects(text))
+    held = answers.where(~blank(F.coalesce("raw", F.lit("")))).withColumn("__objects", top_level_objects(text))
     return held.select("answer_id", "mode", "language", F.posexplode(candidates_of(text, F.col("__objects"))).alias("cand_ord", "candidate"))
 
 
 def valid(c):
     """The text is an object as it stands."""
-    bare = trimmed(c)
-    return F.coalesce(bare.startswith("{") & bare.endswith("}") & F.get_json_object(c, "$").isNotNull(), F.lit(False))
+    ends = lambda x: x.endswith("}")
+    return F.coalesce(F.ltrim(c, F.lit(WS_CHARS)).startswith("{") & (ends(c) | ends(F.rtrim(c, F.lit(WS_CHARS)))) & F.get_json_object(c, "$").isNotNull(), F.lit(False))
 
 
 def with_readings(rows: DataFrame, candidates: str) -> DataFrame:
@@ -203,8 +213,8 @@ def read_answers(answers: DataFrame, limits: AnswerLimits = AnswerLimits()) -> D
     """
     keys = ["answer_id", "mode", "language"]
     text = F.substring("raw", 1, limits.raw)
-    empty = trimmed(F.coalesce("raw", F.lit(""))) == ""
-    first = F.when(~empty, F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text))
+    empty = blank(F.coalesce("raw", F.lit("")))
+    first = F.when(~empty, F.when(fenced(text), F.regexp_extract(text, FENCE, 1)).otherwise(text))
     parse = lambda c: F.from_json(c, ANSWER, {"mode": "PERMISSIVE"})
     rows = answers.select(*keys, text.alias("__text"), once(F.struct(first.alias("first"), empty.alias("empty")), "__r"))
     rows = rows.select(*keys, "__text", F.col("__r.empty").alias("__empty"), once(F.when(valid(F.col("__r.first")), parse("__r.first")), "__first"))

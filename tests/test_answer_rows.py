@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import clean_prose, rewritten_prose, trimmed
 from folioscope.operators import answers as N
+from folioscope.operators import repair as P
 
 RAW = '{"atsChecks": [{"id": " Skills ", "score": "7.5", "detail": "a"}, {"id": "skills", "score": 9}, {"id": "keyword", "score": "x"}, {"id": "other", "score": 1}], "weaknesses": ["w", " "], "suggestions": [{"title": "", "description": "d"}, {"title": "t", "description": "d"}], "suggestedJobs": [{"title": "J0", "matchScore": 5, "reason": "r"}, {"title": "J1", "matchScore": 8, "reason": "r"}, {"title": "J2", "matchScore": 8, "reason": "r"}, {"title": "J3", "reason": "r"}]}'
 
@@ -32,6 +34,21 @@ def test_nothing_is_shuffled_joined_or_read_twice(spark, then):
     assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan") == 1
 
 
+def test_equal_candidates_are_repaired_once(monkeypatch):
+    """A botched answer without text round it is two equal candidates."""
+    asked = []
+    monkeypatch.setattr(P, "repaired", lambda t: asked.append(t) or t.upper())
+    [got] = P.repair.func(iter([pa.array([["a", None, "a", "b"], None, []], pa.list_(pa.string()))]))
+    assert got.to_pylist() == [["A", None, "A", "B"], None, []] and sorted(asked) == ["a", "b"]
+
+
+def test_blank_fenced_and_whole_answers_are_told_at_their_ends(spark):
+    rows = [(" \n\u3000", True, False, False), (None, None, None, False), (" x ", False, False, False), (' \n{"a": 1}\t\n', False, False, True), ('{"a": 1} x', False, False, False), ('```json\n{"a": 1}```', False, True, False), ("``` {", False, False, False)]
+    got = spark.createDataFrame([r[:1] for r in rows], "t string").select("t", N.blank(F.col("t")), N.fenced(F.col("t")), N.valid(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == rows
+    assert "rtrim" in str(N.valid(F.col("t"))) and " trim" not in str(N.valid(F.col("t")))  # an end that is there is not looked for
+
+
 def test_trimmed(spark):
     row = spark.createDataFrame([("﻿　 a b \t\x0b ", " \n", None, "\x85a")], "a string, b string, c string, d string").select(*(trimmed(c) for c in "abcd")).first()
     assert tuple(row) == ("a b", "", None, "\x85a")
