@@ -41,6 +41,11 @@ def locate_snippet(suggestions: DataFrame, visible: DataFrame, spans: DataFrame)
     return out.drop("needle", "found", "visible_text", "pages")
 
 
+def without_model(pairs: DataFrame, model: DataFrame) -> DataFrame:
+    """The pairs of documents that the model has no rows for: only they need the rules' lists. Both have doc_id."""
+    return pairs.join(model.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def merge_suggestions(hidden: DataFrame, model: DataFrame, rules: DataFrame, typography: DataFrame) -> DataFrame:
     """Hidden-text rows, then the model's (renumbered) or else the rules' suggestions, then typography.
 
@@ -49,7 +54,7 @@ def merge_suggestions(hidden: DataFrame, model: DataFrame, rules: DataFrame, typ
     cols = ["doc_id", "part", "sug_ord", "id", "priority"]
     order = Window.partitionBy("doc_id").orderBy("sug_ord")
     numbered = model.withColumn("sug_ord", F.row_number().over(order)).withColumn("id", F.concat(F.lit("sug-"), F.lpad(F.col("sug_ord").cast("string"), 2, "0")))
-    fallback = rules.join(model.select("doc_id").distinct(), "doc_id", "left_anti")
+    fallback = without_model(rules, model)
     parts = ((hidden, 0), (numbered, 1), (fallback, 1), (typography, 2))
     out = None
     for df, part in parts:
@@ -60,7 +65,7 @@ def merge_suggestions(hidden: DataFrame, model: DataFrame, rules: DataFrame, typ
 
 def merge_weaknesses(model: DataFrame, rules: DataFrame) -> DataFrame:
     """The model's list where it has one, else the rules'. Both: doc_id, weak_ord, weakness."""
-    rest = rules.join(model.select("doc_id").distinct(), "doc_id", "left_anti")
+    rest = without_model(rules, model)
     return model.select("doc_id", "weak_ord", "weakness").unionByName(rest.select("doc_id", "weak_ord", "weakness"))
 
 

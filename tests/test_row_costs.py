@@ -104,3 +104,47 @@ def test_keyword_check_reads_a_text_once_and_keeps_every_pair(spark):
     }
     plan = checks._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(text") == 1  # it was cut into lines for each section and joined to itself
+
+
+def test_keywords_of_a_posting_are_made_in_its_row(spark):
+    """They were told apart by three shuffles, whose rows came to the pairs by another."""
+    postings = spark.createDataFrame([(0, "Go, C++ dev. c++ dev\nThe data c++ 2024 end."), (1, None), (2, " . ")], "posting_id long, text string")
+    made = R.posting_rows(postings, ("the",))
+    assert {r["posting_id"]: (r["mode_b"], [k["keyword"] for k in r["wanted"]]) for r in made.collect()} == {
+        0: (False, ["go", "c++", "dev", "data", "end", "c++ dev", "data c++"]), 1: (True, []), 2: (False, []),
+    }
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_only_pairs_without_a_model_list_are_scored_and_texts_shuffled(spark):
+    """Merging scored every document by the rules, and shuffled each text with its words and its posting's keywords."""
+    texts = spark.createDataFrame([(i, f"java {i}\nSkills\nSQL, *spark, | x") for i in range(6)], "doc_id long, text string")
+    postings = spark.createDataFrame([(0, "SQL, spark, scala")], "posting_id long, text string")
+    pairs = spark.createDataFrame([(i, 0) for i in range(6)], "doc_id long, posting_id long")
+    model = spark.createDataFrame([(i, 0, "m") for i in (0, 2, 2, 4)], "doc_id long, weak_ord int, weakness string")
+    lexicon = R.lexicon(spark, {"skills": ("skills",)})
+    weak = lambda p: R.weak_checks(R.score_documents(texts, postings, p, lexicon), postings).select("doc_id", F.col("check_ord").alias("weak_ord"), F.col("check_id").alias("weakness"))
+    kept = G.without_model(pairs, model)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]
+    assert sorted(G.merge_weaknesses(model, weak(kept)).collect()) == sorted(G.merge_weaknesses(model, weak(pairs)).collect())
+    lines = weak(kept)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda what: next(n for n, line in enumerate(lines) if what in line)
+    assert depth("split(text") < depth("Join LeftAnti")  # plans read from the end: pairs are left out before a text is cut
+
+
+def test_functions_of_skill_items_and_pipes(spark):
+    ws = f"[{''.join(f'\\x{{{ord(c):X}}}' for c in WS_CHARS)}]"
+    more = table(spark).union(spark.createDataFrame([(99, "* a1, ** b2,*　c3|*|* , *d, e5\n*"), (98, "|a||")], "i int, t string"))
+    plain = F.size(F.filter(F.transform(F.split("t", r"[,\n|•·-]"), lambda i: F.regexp_replace(T.trimmed(i), rf"^[-*•·|]{ws}*", "")), lambda i: F.length(i) >= 2))
+    rows = more.select("t", T.count_skill_items(F.col("t")).alias("a"), plain.alias("b"), T.pipes(F.col("t")).alias("c"), F.length(F.regexp_replace("t", "[^|]", "")).alias("d")).collect()
+    assert [r["t"] for r in rows if r["a"] != r["b"] or r["c"] != r["d"]] == []
+
+
+def test_suggestions_without_achievements_quote_nothing(spark):
+    """Merging takes ids and priorities only, yet every bullet was cut out, ordered and joined for its quote."""
+    weak = spark.createDataFrame([(1, 0, "quantified", 4, 10, "d"), (1, 0, "skills", 1, 50, "d")], "doc_id long, posting_id long, check_id string, check_ord int, score int, detail string")
+    bullets = spark.createDataFrame([(1, 3, "- made it")], "doc_id long, line_no int, bullet string")
+    plain, quoted = R.rank_suggestions(weak), R.rank_suggestions(weak, bullets)
+    assert plain.columns == quoted.columns and sorted(plain.drop("snippet").collect()) == sorted(quoted.drop("snippet").collect())
+    assert {r["snippet"] for r in plain.collect()} == {None} and {r["snippet"] for r in quoted.collect()} == {"made it", None}
