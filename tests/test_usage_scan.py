@@ -73,3 +73,28 @@ def test_networks_of_made_up_addresses_with_wide_groups(spark):
     network = lambda *digits: [r[0] for r in table.select(U.client_network(F.col("ip"), *digits)).collect()]
     assert network() == ["2001:db8:15f90::3", "2001:db8:ffff:0::/64"]  # no address of the network has such a group
     assert network(16) == ["2001:db8:15f90:0::/64", "2001:db8:ffff:0::/64"]
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """A folder of events with user numbers round and above 65535 (the largest of four hex digits), some at equal times."""
+    folder = str(tmp_path_factory.mktemp("wide"))
+    dice = random.Random(5)
+    kinds = ["view", "error", "click"]
+    rows = [(i, START.replace(tzinfo=None) + timedelta(minutes=dice.randrange(2000)), dice.choice([65532, 65535, 65536, 65538, 66000, 89997, 89999, 3]), dice.choice(kinds)) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["counter_ledger", "daily_quota", "hashed_key", "hourly_limit", "reservations"])
+def test_queries_equal_their_sql_with_wide_user_numbers(spark, wide, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{wide}/events.parquet/*.parquet')")
+    rows = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in rows.description]
+    got = entry.queries()[name](spark, wide)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, rows.fetchall()))
